@@ -65,9 +65,11 @@ def measures_from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("known_customers"),
         count_where(F.col("_orders") >= 2).alias("repeat_customers"),
     )
+    # Contexts may be null, and both sides share their lineage: rename, compare null-safe.
     if by:
-        same = [totals[c].eqNullSafe(customers[c]) for c in by]
-        joined = totals.join(customers, same, "left").drop(*[customers[c] for c in by])
+        customers = customers.withColumnsRenamed({c: f"_{c}" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        joined = totals.join(customers, same, "left")
     else:
         joined = totals.crossJoin(customers)
     zero = F.lit(0)
