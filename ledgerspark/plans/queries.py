@@ -430,13 +430,9 @@ def replay_all_periods(x: Layers) -> DataFrame:
     lines = x.accepted()
     low, high = _period_bounds(lines)
     store = Warehouse(x.spark, x.scratch("replay_all_periods"))
-    second = next_month(low)
     store.run(lines, low, low, high)
-    if second < high:
-        third = next_month(second)
-        store.run(lines, second, low, high)
-        if third <= high:
-            store.run(lines, third, low, high, high=high)
+    if low < high:
+        store.run(lines, next_month(low), low, high, high=high)
     store.run(lines, high, low, high, force=True)
     facts = warehouse.with_natural_keys(store.fact(), store.dims())
     return facts.select(

@@ -8,8 +8,10 @@ run is finished by running it again.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timezone
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,9 @@ class Warehouse:
     def _next_version(self, name: str) -> str:
         return f"{self.root}/{name}/v{max(self._versions(name), default=0) + 1:05d}"
 
+    def _work(self, name: str) -> str:
+        return f"{self.root}/_new/{name}/{len(self._versions(name))}"
+
     # -- loads -----------------------------------------------------------------
 
     def load_staging(self, lines: DataFrame) -> dict[str, int]:
@@ -126,44 +131,56 @@ class Warehouse:
         rows.write.mode("overwrite").parquet(self._next_version(name))
         return self.dim(name).count()
 
-    def _upsert_dimensions(self, scope: DataFrame, bounds: DataFrame) -> dict[str, int]:
-        """Extend all four dimensions with the members of ``scope`` lines."""
-        counts = {}
-        before = {n: 0 if d is None else d.count() for n, d in self.dims().items()}
-
-        days, known = calendar(bounds), self.dim("dim_date")
+    def _upsert_dates(self, bounds: DataFrame) -> dict[str, int]:
+        days, known, before = calendar(bounds), self.dim("dim_date"), 0
         if known is not None:
+            before = known.count()
             days = known.unionByName(days.join(known.select("full_date"), "full_date", "left_anti"))
-        counts["date_inserted"] = self._store_dim("dim_date", days) - before["dim_date"]
-
-        for member, natural in (("customer", "customer_id"), ("country", "country")):
-            name = f"dim_{member}"
-            work = f"{self.root}/_new/{name}/{len(self._versions(name))}"
-            rows = extend_members(
-                self.dim(name), known_members(scope, natural), f"{member}_key", work
-            )
-            added = self._store_dim(name, rows) - before[name]
-            # The UNKNOWN row of a first build is not a member of the lines.
-            counts[f"{member}_inserted"] = added - (1 if before[name] == 0 else 0)
-
-        # Touched codes are ranked again over all staged history, not the new lines only.
-        touched = scope.select("stock_code").distinct()
-        history = self.staging().join(touched, "stock_code", "left_semi")
-        old = self.dim("dim_product")
-        work = f"{self.root}/_new/dim_product/{len(self._versions('dim_product'))}"
-        products = upsert_products(old, canonical_descriptions(history), work)
+        return {"date_inserted": self._store_dim("dim_date", days) - before}
+
+    def _upsert_members(self, scope: DataFrame, member: str, natural: str) -> dict[str, int]:
+        name, known = f"dim_{member}", self.dim(f"dim_{member}")
+        # The UNKNOWN row of a first build is not a member of the lines.
+        before = 1 if known is None else known.count()
+        rows = extend_members(
+            known, known_members(scope, natural), f"{member}_key", self._work(name)
+        )
+        return {f"{member}_inserted": self._store_dim(name, rows) - before}
+
+    def _upsert_products(self, scope: DataFrame, whole_history: bool) -> dict[str, int]:
+        """Touched codes are ranked again over all staged history, not the new lines only."""
+        history, old = self.staging(), self.dim("dim_product")
+        if not whole_history:
+            touched = scope.select("stock_code").distinct()
+            history = history.join(touched, "stock_code", "left_semi")
+        products = upsert_products(old, canonical_descriptions(history), self._work("dim_product"))
         total = self._store_dim("dim_product", products)
-        counts["product_inserted"] = total - before["dim_product"]
-        counts["product_updated"] = 0
-        if old is not None:
-            renamed = old.select("product_key", F.col("description").alias("_old"))
-            counts["product_updated"] = (
-                self.dim("dim_product")
-                .join(renamed, "product_key")
-                .filter(F.col("description") != F.col("_old"))
-                .count()
-            )
-        return counts
+        if old is None:
+            return {"product_inserted": total, "product_updated": 0}
+        renamed = old.select("product_key", F.col("description").alias("_old"))
+        both = self.dim("dim_product").join(renamed, "product_key")
+        return {
+            "product_inserted": total - old.count(),
+            "product_updated": both.filter(F.col("description") != F.col("_old")).count(),
+        }
+
+    def _upsert_dimensions(
+        self, scope: DataFrame, bounds: DataFrame, whole_history: bool
+    ) -> dict[str, int]:
+        """Extend all four dimensions with the members of ``scope`` lines.
+
+        The dimensions do not depend on each other, so their jobs are submitted
+        together and share the executors.
+        """
+        loads = (
+            (self._upsert_dates, bounds),
+            (self._upsert_members, scope, "customer", "customer_id"),
+            (self._upsert_members, scope, "country", "country"),
+            (self._upsert_products, scope, whole_history),
+        )
+        with ThreadPoolExecutor(len(loads)) as pool:
+            done = [pool.submit(inheritable_thread_target(self.spark)(f), *a) for f, *a in loads]
+            return {k: v for future in done for k, v in future.result().items()}
 
     def _append_facts(self, scope: DataFrame) -> dict[str, int]:
         """Append the scope lines that have no fact yet."""
@@ -183,7 +200,7 @@ class Warehouse:
     def bootstrap(self) -> dict[str, int]:
         """Build or re-run the whole star schema from all staged lines."""
         lines = self.staging()
-        counts = self._upsert_dimensions(lines, date_bounds(lines))
+        counts = self._upsert_dimensions(lines, date_bounds(lines), whole_history=True)
         return {**counts, **self._append_facts(lines)}
 
     def upsert_periods(self, low: date, high: date, source_max: date) -> dict:
@@ -202,7 +219,7 @@ class Warehouse:
         final = high == source_max
         last = F.max("invoice_datetime").cast("date") if final else F.last_day(F.lit(high))
         bounds = scope.agg(F.lit(low).alias("first_date"), last.alias("last_date"))
-        counts = self._upsert_dimensions(scope, bounds)
+        counts = self._upsert_dimensions(scope, bounds, whole_history=False)
         facts = self._append_facts(scope)
         return {"first_period": low, "last_period": high, "period_staging_rows": rows, **counts, **facts}
 
