@@ -44,9 +44,9 @@ def reading(spark, layers: Layers) -> tuple[dict, dict]:
     """Median of three reads of the same lines as CSV and as Parquet."""
     base = layers.scratch("reading")
     lines = layers.accepted().select(*ACCEPTED_COLUMNS).limit(READ_ROWS)
-    lines.write.parquet(f"{base}/parquet")
+    lines.repartition(8).write.parquet(f"{base}/parquet")
     stored = spark.read.schema(ACCEPTED_SCHEMA).parquet(f"{base}/parquet")
-    stored.repartition(8).write.option("header", True).csv(f"{base}/csv")
+    stored.write.option("header", True).csv(f"{base}/csv")
     csv = spark.read.schema(ACCEPTED_SCHEMA).option("header", True).csv(f"{base}/csv")
     seconds = {}
     for name, df in (("csv", csv), ("parquet", stored)):

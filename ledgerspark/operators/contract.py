@@ -226,11 +226,12 @@ def long_counts(df: DataFrame, wanted: dict, by: list[str] = ()) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def transform_invariants(assessed: DataFrame) -> DataFrame:
-    """(check_name, violations): what must hold between source, accepted and rejected.
+def transform_invariants(assessed: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """(check_name, value): what must hold between source, accepted and rejected lines.
 
-    Ids are counted by a two-step aggregate, which combines on the map side and
-    needs no row expansion.
+    ``assessed`` may be the stored outcome, to be held against its ``source``. Ids
+    are counted by a two-step aggregate, which combines on the map side and needs no
+    row expansion.
     """
     accepted = F.col("classification").isin(ACCEPT, ACCEPT_FLAGGED)
     rejected = F.col("classification") == REJECT
@@ -241,18 +242,23 @@ def transform_invariants(assessed: DataFrame) -> DataFrame:
         count_where(rejected & (F.col("reject_reason") == "")).alias("no_reason"),
         count_where(accepted & (F.col("reject_reason") != "")).alias("accepted_with_reason"),
     )
-    wide = per_id.agg(
-        F.abs(F.sum("n") - F.sum("accepted") - F.sum("rejected")).alias(
-            "source_minus_accepted_minus_rejected"
-        ),
-        F.sum("no_reason").alias("rejected_without_reason"),
-        F.sum("accepted_with_reason").alias("accepted_with_reject_reason"),
+
+    def total(c: str):
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    found = per_id.agg(
+        total("no_reason").alias("rejected_without_reason"),
+        total("accepted_with_reason").alias("accepted_with_reject_reason"),
         count_where(F.col("source_row_id").isNull()).alias("missing_row_ids"),
         count_where(F.col("n") > 1).alias("duplicated_row_ids"),
-        F.sum("n").alias("source_rows"),
-        F.sum("accepted").alias("accepted_rows"),
-        F.sum("rejected").alias("rejected_rows"),
+        total("accepted").alias("accepted_rows"),
+        total("rejected").alias("rejected_rows"),
+    )
+    counted = (assessed if source is None else source).agg(
+        F.count(F.lit(1)).alias("source_rows")
     )
+    gap = F.abs(F.col("source_rows") - F.col("accepted_rows") - F.col("rejected_rows"))
+    wide = found.crossJoin(counted).withColumn("source_minus_accepted_minus_rejected", gap)
     return wide.unpivot([], wide.columns, "check_name", "value")
 
 

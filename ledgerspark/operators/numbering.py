@@ -89,8 +89,11 @@ def numbered_in_order(
 
 
 def hash_prefix_length(rows: int, rows_per_bucket: int = 4_000_000) -> int:
-    """Hex digits of a SHA-256 id that keep one bucket near ``rows_per_bucket``."""
-    digits = 1
+    """Hex digits of a SHA-256 id that keep any bucket under ``rows_per_bucket`` rows.
+
+    SHA-256 spreads ids evenly, so the bound holds even if one group has every row.
+    """
+    digits = 0
     while rows > rows_per_bucket * 16**digits and digits < 8:
         digits += 1
     return digits
@@ -103,8 +106,9 @@ def numbered_by_hash_id(
 
     The leading hex digits order and evenly split any group, however large, so
     numbering inside (groups, prefix) plus the exact count of earlier buckets is
-    dense without one task seeing a whole group. Only ids are read for the
-    counts, and there are months x 16**digits of them.
+    dense without one task seeing a whole group. Only ids are read for the counts,
+    of which there are groups x 16**digits. Buckets are hashed to tasks, so the
+    input is evaluated once; a range partitioning would first evaluate it to sample.
     """
     keyed = df.withColumn("_bucket", F.substring(id_column, 1, digits))
     keys = [*groups, "_bucket"]
@@ -116,8 +120,7 @@ def numbered_by_hash_id(
     )
     within = Window.partitionBy(*keys).orderBy(id_column)
     return (
-        keyed.repartitionByRange(*keys)
-        .withColumn("_n", F.row_number().over(within))
+        keyed.withColumn("_n", F.row_number().over(within))
         .join(offsets, keys)
         .withColumn(name, F.lit(start) + F.col("_offset") + F.col("_n"))
         .drop("_bucket", "_n", "_offset")

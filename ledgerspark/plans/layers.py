@@ -11,16 +11,16 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerspark.operators import contract
 from ledgerspark.operators.numbering import numbered_in_order, stored_rows, with_position
 from ledgerspark.plans import bridge
 from ledgerspark.plans.warehouse import Warehouse
-from ledgerspark.schema import FIRST_ROW_NUMBER, RAW_COLUMNS, RAW_TEXT_SCHEMA
+from ledgerspark.schema import ACCEPTED_COLUMNS, FIRST_ROW_NUMBER, RAW_COLUMNS, RAW_TEXT_SCHEMA
 from ledgerspark.session import configure, shared_folder
 from ledgerspark.sources import storage
 from ledgerspark.sources.accepted import read_accepted, write_accepted, write_rejected
-from pyspark.sql import types as T
 
 LOADED_AT = datetime(2026, 1, 1)
 _RAW_STORED = T.StructType([T.StructField("source_sheet", T.StringType()), *RAW_TEXT_SCHEMA.fields])
@@ -78,9 +78,8 @@ class Layers:
 
     def accepted(self) -> DataFrame:
         if not self._ready(self.accepted_path):
-            write_accepted(
-                contract.accepted_lines(self.classified()), self.accepted_path, self.root
-            )
+            lines = contract.accepted_lines(self.classified())
+            write_accepted(lines, self.accepted_path, self.root, self.raw_fields().count())
         return read_accepted(self.spark, self.accepted_path)
 
     def rejected(self) -> DataFrame:
@@ -89,6 +88,13 @@ class Layers:
             write_rejected(contract.rejected_lines(self.classified()), path)
         return self.spark.read.parquet(path)
 
+    def outcome(self) -> DataFrame:
+        """Accepted and rejected lines as stored, with their reasons: what became of each
+        raw line, read from the sinks instead of running the contract again."""
+        columns = [*ACCEPTED_COLUMNS, "reject_reason"]
+        kept = self.accepted().withColumn("reject_reason", F.lit(""))
+        return kept.select(*columns).unionByName(self.rejected().select(*columns))
+
     def warehouse(self) -> Warehouse:
         """The star schema over the accepted dataset, which serves as its staging table."""
         self.accepted()

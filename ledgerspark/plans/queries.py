@@ -129,12 +129,12 @@ def table_fingerprint(x: Layers) -> DataFrame:
 
 @query
 def transform_summary(x: Layers) -> DataFrame:
-    return contract.transform_summary(x.classified())
+    return contract.transform_summary(x.outcome())
 
 
 @query
 def transform_invariants(x: Layers) -> DataFrame:
-    return contract.transform_invariants(x.classified())
+    return contract.transform_invariants(x.outcome(), x.raw_fields())
 
 
 # -- contract ----------------------------------------------------------------
@@ -159,7 +159,7 @@ def reject_reasons(x: Layers) -> DataFrame:
 
 @query
 def classification_counts(x: Layers) -> DataFrame:
-    return reconcile.classification_counts(x.classified())
+    return reconcile.classification_counts(x.outcome())
 
 
 @query
@@ -185,7 +185,7 @@ def qualifying_orders(x: Layers) -> DataFrame:
 @query
 def load_contract_violations(x: Layers) -> DataFrame:
     # Every classified line is offered, so the rejected ones show what they break.
-    return reconcile.load_contract_violations(x.classified())
+    return reconcile.load_contract_violations(x.outcome())
 
 
 # -- staging -----------------------------------------------------------------
@@ -334,7 +334,7 @@ def layer_row_diff(x: Layers) -> DataFrame:
     shared = list(FACT_COPIED_COLUMNS)
     pairs = {
         "staging_vs_fact_sales": (staging, fact),
-        "classified_vs_staging": (x.classified(), staging),
+        "classified_vs_staging": (x.outcome(), staging),
     }
     frames = [
         reconcile.row_diff_counts(a, b, shared).select(F.lit(name).alias("comparison"), "*")

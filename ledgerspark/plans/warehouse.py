@@ -117,7 +117,7 @@ class Warehouse:
             new = lines.join(staged.select("source_row_id"), "source_row_id", "left_anti")
             new = new.select(*lines.columns)
         if checked.processed:
-            append_by_month(new, self.staging_path)
+            append_by_month(new, self.staging_path, checked.processed)
         after = self.staging().count()
         inserted = after - before
         return {

@@ -16,6 +16,7 @@ def local_session(cores: str = "8", memory: str = "8g", partitions: int = 8) ->
         .appName("ledgerspark")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .getOrCreate()
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.predicates import count_where
 from ledgerspark.functions.text import utf16_units
+from ledgerspark.operators.numbering import hash_prefix_length
 from ledgerspark.schema import (
     ACCEPTED_SCHEMA,
     ACCEPTED_TABLE_SCHEMA,
@@ -31,18 +32,18 @@ def with_partitions(df: DataFrame) -> DataFrame:
 
 
 def append_by_month(
-    df: DataFrame, path: str, mode: str = "append", max_rows: int = MAX_ROWS_PER_FILE
+    df: DataFrame, path: str, rows: int, mode: str = "append", max_rows: int = MAX_ROWS_PER_FILE
 ) -> None:
-    """Write lines under ``year=YYYY/month=MM``.
+    """Write about ``rows`` lines under ``year=YYYY/month=MM``.
 
-    Ranges over (month, row id) give few files per month, yet split a month that
-    holds a large share of all lines, because ids are spread evenly.
+    Tasks take (month, id prefix) buckets. With few rows the prefix is empty and a
+    month is one task's work; with many it splits every month evenly, including one
+    that holds a large share of all lines. The input is evaluated once.
     """
-    keys = ["year", "month", "source_row_id"]
+    bucket = F.substring("source_row_id", 1, hash_prefix_length(rows))
     (
         with_partitions(df)
-        .repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        .repartition("year", "month", bucket)
         .write.mode(mode)
         .option("maxRecordsPerFile", max_rows)
         .partitionBy("year", "month")
@@ -51,16 +52,22 @@ def append_by_month(
 
 
 def write_accepted(
-    df: DataFrame, path: str, root: str, max_rows: int = MAX_ROWS_PER_FILE
+    df: DataFrame, path: str, root: str, rows: int | None = None, max_rows: int = MAX_ROWS_PER_FILE
 ) -> None:
-    """Replace the accepted dataset at ``path``, which must lie under ``root``."""
+    """Replace the accepted dataset at ``path``, which must lie under ``root``.
+
+    ``rows`` is the size of the source if the caller knows it, else it is counted.
+    An empty dataset is refused before anything is replaced.
+    """
     inside = path.rstrip("/").startswith(root.rstrip("/") + "/")
     if not inside or ".." in path.split("/"):
         raise ValueError(f"Refusing to replace {path}: it is not under {root}.")
     assert_signature(df.schema, ACCEPTED_SCHEMA, "accepted lines")
-    if df.isEmpty():
+    if rows is None:
+        rows = df.count()
+    if not rows or df.isEmpty():
         raise ValueError("An empty accepted dataset is not written.")
-    append_by_month(df, path, "overwrite", max_rows)
+    append_by_month(df, path, rows, "overwrite", max_rows)
 
 
 def read_accepted(spark: SparkSession, path: str) -> DataFrame:

@@ -164,10 +164,10 @@ def test_one_period_reads_one_folder(spark, folder, accepted):
 
 def test_misplaced_and_missing_months_are_reported(spark, folder, accepted):
     wrong = accepted.withColumn("batch_month", F.lit("2010-03-01").cast("date"))
-    sink.append_by_month(wrong, f"{folder}/wrong")
+    sink.append_by_month(wrong, f"{folder}/wrong", 3)
     with pytest.raises(ValueError, match="out_of_period_rows"):
         sink.inspect_period(spark, f"{folder}/wrong", date(2010, 3, 1))
-    sink.append_by_month(accepted, f"{folder}/wrong")
+    sink.append_by_month(accepted, f"{folder}/wrong", 3)
     with pytest.raises(ValueError, match="Missing source partition"):
         sink.source_periods(spark, f"{folder}/wrong")
     lines = sink.read_accepted(spark, f"{folder}/wrong")
