@@ -36,27 +36,21 @@ def store_in_order(df: DataFrame, path: str, order: list[str], keep: list[str])
     )
 
 
-def store_segments(rows: DataFrame, path: str, per: list[str]) -> None:
-    """Offset of each (file, group) run of a stored table, in physical order.
+def store_segments(rows: DataFrame, path: str, keys: list[str], per: list[str]) -> None:
+    """Offset of each run of rows of a stored table, in physical order.
 
-    There is one row per file and group met in it, so the window below sees file
-    counts, not data; storing the result lets Spark judge its size by its files
-    when it chooses how to join it.
+    A run is what ``keys`` tell apart: a file, an input split, or a group's part of
+    one. There is one row per run, so the window below sees file counts, not data;
+    storing the result lets Spark judge its size by its files when it is joined.
     """
-    runs = rows.groupBy("_file", *per).agg(
+    runs = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_index").alias("_first")
     )
-    before = Window.orderBy(file_order(F.col("_file"))).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    if per:
-        before = (
-            Window.partitionBy(*per)
-            .orderBy(file_order(F.col("_file")))
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
+    physical = [file_order(F.col("_file")), *(["_start"] if "_start" in keys else [])]
+    within = Window.partitionBy(*per) if per else Window.partitionBy()
+    before = within.orderBy(*physical).rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
-    runs.select("_file", *per, offset.alias("_offset")).write.mode("overwrite").parquet(path)
+    runs.select(*keys, offset.alias("_offset")).write.mode("overwrite").parquet(path)
 
 
 def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -67,12 +61,13 @@ def stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     )
 
 
-def with_position(rows: DataFrame, segments: DataFrame, per: list[str], name: str) -> DataFrame:
+def with_position(rows: DataFrame, segments: DataFrame, name: str) -> DataFrame:
     """1-based position of each row within its group, in physical order."""
+    keys = [c for c in segments.columns if c != "_offset"]
     return (
-        rows.join(segments, ["_file", *per])
+        rows.join(segments, keys)
         .withColumn(name, F.col("_index") + F.col("_offset") + 1)
-        .drop("_file", "_index", "_offset")
+        .drop("_file", "_start", "_index", "_offset")
     )
 
 
@@ -84,8 +79,8 @@ def numbered_in_order(
     store_in_order(df, f"{path}/rows", order, keep)
     schema = df.select(*keep).schema
     rows = stored_rows(spark, f"{path}/rows", schema)
-    store_segments(rows, f"{path}/segments", per)
-    return with_position(rows, spark.read.parquet(f"{path}/segments"), per, name)
+    store_segments(rows, f"{path}/segments", ["_file", *per], per)
+    return with_position(rows, spark.read.parquet(f"{path}/segments"), name)
 
 
 def hash_prefix_length(rows: int, rows_per_bucket: int = 4_000_000) -> int:

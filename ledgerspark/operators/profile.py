@@ -394,8 +394,15 @@ def country_variants(lines: DataFrame) -> DataFrame:
 
 
 def duplicate_counts(lines: DataFrame) -> DataFrame:
-    """Groups of lines equal in all eight columns, nulls being equal, with their first place."""
-    place = F.struct("source_sheet", "source_row_number")
+    """Groups of lines equal in all eight columns, nulls being equal, with their first place.
+
+    The place (sheet, row) is packed into one long, because a minimum over a long is
+    hash-aggregated while one over a struct would sort every line first. The list of
+    sheets is as long as the list of sources.
+    """
+    names = sorted(r[0] for r in lines.select("source_sheet").distinct().collect())
+    sheet = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source_sheet"))
+    place = F.shiftleft(sheet, 44) + F.col("source_row_number")
     return (
         lines.groupBy(*[raw(c) for c in RAW_COLUMNS])
         .agg(F.count(F.lit(1)).alias("group_size"), F.min(place).alias("first_place"))
@@ -606,35 +613,25 @@ def top_values(lines: DataFrame, columns: list[str] = RAW_COLUMNS, top: int = TO
 def _samples(marked: DataFrame, kinds: dict[str, tuple[Column, Column]]) -> DataFrame:
     """First rows of each kind by its own order, then by physical place.
 
-    A row may belong to several kinds; each map task keeps its best rows per kind
-    before anything is shuffled.
+    Each kind is an ordered limit, for which a task keeps only its best rows; a
+    ranking window would sort all rows of all kinds.
     """
-    tagged = marked.select(
-        F.explode(
-            F.array(
-                *[
-                    F.when(rule, F.struct(F.lit(k).alias("kind"), order.alias("rank_value")))
-                    for k, (rule, order) in kinds.items()
-                ]
-            )
-        ).alias("tag"),
-        "source_sheet",
-        "source_row_number",
-        *[raw(c) for c in RAW_COLUMNS],
-    ).filter(F.col("tag").isNotNull())
+    columns = ["source_sheet", "source_row_number", *RAW_COLUMNS]
+    best = [
+        marked.filter(rule)
+        .select(*[raw(c) for c in columns], order.alias("_order"))
+        .orderBy("_order", "source_sheet", "source_row_number")
+        .limit(SAMPLE_SIZE)
+        .select(F.lit(kind).alias("sample_type"), "*")
+        for kind, (rule, order) in kinds.items()
+    ]
     place = Window.partitionBy("sample_type").orderBy(
-        "_rank_value", "source_sheet", "source_row_number"
+        "_order", "source_sheet", "source_row_number"
     )
     return (
-        tagged.select(
-            F.col("tag.kind").alias("sample_type"),
-            F.col("tag.rank_value").alias("_rank_value"),
-            *[c for c in ("source_sheet", "source_row_number")],
-            *[raw(c) for c in RAW_COLUMNS],
-        )
+        reduce(DataFrame.unionByName, best)
         .withColumn("sample_rank", F.row_number().over(place))
-        .filter(F.col("sample_rank") <= SAMPLE_SIZE)
-        .drop("_rank_value")
+        .drop("_order")
     )
 
 

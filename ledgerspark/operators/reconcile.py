@@ -407,29 +407,55 @@ def sample_rows(staging: DataFrame, fact: DataFrame, dims: dict[str, DataFrame])
 # -- periods -----------------------------------------------------------------
 
 
-def _layer_measures(lines: DataFrame, layer: str) -> DataFrame:
-    """Per month: rows, ids, money, price, month and core-line measures of one layer.
+_LAYERS = ("staging", "fact")
 
-    Grouping by (month, id) first gives exact distinct ids with map-side combining.
+
+def _layer_measures(staging: DataFrame, fact: DataFrame) -> DataFrame:
+    """Per month: rows, ids, money, price, month and core-line measures of both layers.
+
+    Both layers are reduced per (month, id) in one shuffle, which also shows the ids
+    that only one of them has.
     """
     wrong = F.trunc("invoice_datetime", "MM") != F.col("batch_month")
-    per_id = lines.groupBy("batch_month", "source_row_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum("line_amount").alias("amount"),
-        count_where(F.col("unit_price") < 0).alias("negative"),
-        count_where(wrong).alias("wrong_month"),
-        count_where(core_sale()).alias("sale"),
-        count_where(core_cancellation()).alias("cancellation"),
-    )
-    return per_id.groupBy("batch_month").agg(
-        F.sum("rows").alias(f"{layer}_rows"),
-        F.count(F.lit(1)).alias(f"{layer}_distinct_ids"),
-        money_sum("amount").alias(f"{layer}_line_amount_sum"),
-        F.sum("negative").alias(f"{layer}_negative_price_rows"),
-        F.sum("wrong_month").alias(f"{layer}_wrong_invoice_month_rows"),
-        F.sum("sale").alias(f"{layer}_core_commercial_lines"),
-        F.sum("cancellation").alias(f"{layer}_core_cancellation_lines"),
-    )
+
+    def narrow(lines: DataFrame, layer: str) -> DataFrame:
+        return lines.select(
+            "batch_month",
+            "source_row_id",
+            "line_amount",
+            (F.col("unit_price") < 0).alias("negative"),
+            wrong.alias("wrong"),
+            core_sale().alias("sale"),
+            core_cancellation().alias("cancellation"),
+            F.lit(layer).alias("layer"),
+        )
+
+    both = narrow(staging, "staging").unionByName(narrow(fact, "fact"))
+    first, second = [], []
+    for layer in _LAYERS:
+        mine = F.col("layer") == layer
+        first += [
+            count_where(mine).alias(f"{layer}_n"),
+            F.sum(F.when(mine, F.col("line_amount"))).alias(f"{layer}_amount"),
+            *[
+                count_where(mine & F.col(c)).alias(f"{layer}_{c}")
+                for c in ("negative", "wrong", "sale", "cancellation")
+            ],
+        ]
+        second += [
+            F.sum(f"{layer}_n").alias(f"{layer}_rows"),
+            count_where(F.col(f"{layer}_n") > 0).alias(f"{layer}_distinct_ids"),
+            money_sum(f"{layer}_amount").alias(f"{layer}_line_amount_sum"),
+            F.sum(f"{layer}_negative").alias(f"{layer}_negative_price_rows"),
+            F.sum(f"{layer}_wrong").alias(f"{layer}_wrong_invoice_month_rows"),
+            F.sum(f"{layer}_sale").alias(f"{layer}_core_commercial_lines"),
+            F.sum(f"{layer}_cancellation").alias(f"{layer}_core_cancellation_lines"),
+        ]
+    for layer, other in (_LAYERS, _LAYERS[::-1]):
+        only = F.when(F.col(f"{other}_n") == 0, F.col(f"{layer}_n"))
+        second.append(F.sum(only).alias(f"{layer}_ids_missing_{other}"))
+    per_id = both.groupBy("batch_month", "source_row_id").agg(*first)
+    return per_id.groupBy("batch_month").agg(*second)
 
 
 _LAYER_MEASURES = (
@@ -468,27 +494,13 @@ def period_reconciliation(
     staging: DataFrame, fact: DataFrame, dims: dict[str, DataFrame]
 ) -> DataFrame:
     """22 measures for every month at once; a month missing from a layer shows as zero."""
-    s, f = _layer_measures(staging, "staging"), _layer_measures(fact, "fact")
     orphans = fk_orphans(fact, dims, ["batch_month"])
     compared = compared_lines(staging, fact, dims, ["batch_month"])
-    ids = (
-        staging.select("batch_month", "source_row_id", F.lit(1).alias("l"), F.lit(0).alias("r"))
-        .unionByName(
-            fact.select("batch_month", "source_row_id", F.lit(0).alias("l"), F.lit(1).alias("r"))
-        )
-        .groupBy("batch_month", "source_row_id")
-        .agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        .groupBy("batch_month")
-        .agg(
-            F.sum(F.when(F.col("r") == 0, F.col("l"))).alias("staging_ids_missing_fact"),
-            F.sum(F.when(F.col("l") == 0, F.col("r"))).alias("fact_ids_missing_staging"),
-        )
-    )
-    joined = s.join(f, "batch_month", "full_outer")
-    for part in (ids, orphans, compared.drop("compared_rows")):
+    joined = _layer_measures(staging, fact)
+    for part in (orphans, compared.drop("compared_rows")):
         joined = joined.join(part, "batch_month", "left")
     counts = [
-        *[f"{layer}_{m}" for m in _LAYER_MEASURES for layer in ("staging", "fact")],
+        *[f"{layer}_{m}" for m in _LAYER_MEASURES for layer in _LAYERS],
         *ZERO_MEASURES[:6],
         *ZERO_MEASURES[-2:],
     ]

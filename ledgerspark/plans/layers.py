@@ -57,7 +57,7 @@ class Layers:
             )
         rows = stored_rows(self.spark, f"{path}/rows", _RAW_STORED)
         segments = self.spark.read.parquet(f"{path}/segments")
-        numbered = with_position(rows, segments, ["source_sheet"], "position")
+        numbered = with_position(rows, segments, "position")
         return numbered.select(
             "source_sheet",
             (F.col("position") + FIRST_ROW_NUMBER - 1).alias("source_row_number"),

@@ -87,7 +87,7 @@ def accepted_roundtrip(x: Layers) -> DataFrame:
     return x.accepted().groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("row_count"),
         reconcile.money_sum("line_amount").alias("line_amount_sum"),
-        F.min("source_row_id").alias("first_source_row_id"),
+        F.sum("source_row_number").alias("row_number_sum"),
     )
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerspark.operators.numbering import file_order
+from ledgerspark.operators.numbering import store_segments, with_position
 from ledgerspark.schema import (
     FIRST_ROW_NUMBER,
     LINEAGE_COLUMNS,
@@ -16,6 +18,7 @@ from ledgerspark.schema import (
     RAW_TEXT_SCHEMA,
     assert_raw_header,
 )
+from ledgerspark.session import shared_folder
 
 
 def source_row_id(sheet: Column, row_number: Column) -> Column:
@@ -26,31 +29,35 @@ def source_row_id(sheet: Column, row_number: Column) -> Column:
 def with_row_lineage(df: DataFrame, sheet: str) -> DataFrame:
     """Prefix a file-backed frame with sheet, physical row number and row id.
 
-    Works for any splittable file format: rows of one input split stay together
-    and in order in one task, so a row's position is its split's offset plus its
-    distance from the split's first row. Offsets are per split, not per row.
+    A row's number is its file's or split's offset plus its place inside it; the
+    offsets, one per file or split, are stored in the shared folder. Parquet knows a
+    row's place in its file. Text does not, so a text sheet is first landed as
+    Parquet, each row with its input split and its order in it: split boundaries may
+    change from one scan to the next, so they are fixed by writing them down.
     """
     clash = sorted(set(LINEAGE_COLUMNS) & set(df.columns))
     if clash:
         raise ValueError(f"{sheet}: reserved lineage columns in source: {clash}")
-    split = ["_file", "_start"]
-    rows = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    runs = rows.groupBy(*split).agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
-    earlier = Window.orderBy(file_order(F.col("_file")), "_start").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = runs.select(
-        *split, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")
-    )
-    number = F.col("_id") - F.col("_first") + F.col("_before") + FIRST_ROW_NUMBER
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    work = f"{shared_folder(spark)}/ledgerspark/{app}/sheets/{uuid4().hex}"
+    file = F.col("_metadata.file_path").alias("_file")
+    try:
+        rows, keys = df.select("*", file, F.col("_metadata.row_index").alias("_index")), ["_file"]
+    except AnalysisException:
+        keys = ["_file", "_start"]
+        df.select(
+            "*",
+            file,
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_index"),
+        ).write.parquet(f"{work}/rows")
+        rows = spark.read.parquet(f"{work}/rows")
+    store_segments(rows, f"{work}/segments", keys, [])
+    numbered = with_position(rows, spark.read.parquet(f"{work}/segments"), "_position")
+    number = F.col("_position") + FIRST_ROW_NUMBER - 1
     return (
-        rows.join(offsets, split)
-        .withColumn("source_sheet", F.lit(sheet))
+        numbered.withColumn("source_sheet", F.lit(sheet))
         .withColumn("source_row_number", number.cast("bigint"))
         .withColumn(
             "source_row_id", source_row_id(F.col("source_sheet"), F.col("source_row_number"))
