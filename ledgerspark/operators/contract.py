@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import dates, numbers, text
+from ledgerspark.functions.frames import side_by_side
 from ledgerspark.functions.predicates import (
     STANDARD_INVOICE,
     core_cancellation,
@@ -258,7 +259,7 @@ def transform_invariants(assessed: DataFrame, source: DataFrame | None = None) -
         F.count(F.lit(1)).alias("source_rows")
     )
     gap = F.abs(F.col("source_rows") - F.col("accepted_rows") - F.col("rejected_rows"))
-    wide = found.crossJoin(counted).withColumn("source_minus_accepted_minus_rejected", gap)
+    wide = side_by_side(found, counted).withColumn("source_minus_accepted_minus_rejected", gap)
     return wide.unpivot([], wide.columns, "check_name", "value")
 
 

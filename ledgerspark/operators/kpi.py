@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.frames import side_by_side
 from ledgerspark.functions.predicates import core_cancellation, core_sale, count_where
 
 UNKNOWN = "UNKNOWN"
@@ -71,7 +72,7 @@ def measures_from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
         joined = totals.join(customers, same, "left")
     else:
-        joined = totals.crossJoin(customers)
+        joined = side_by_side(totals, customers)
     zero = F.lit(0)
     return joined.select(
         *by,

@@ -95,7 +95,13 @@ def hash_prefix_length(rows: int, rows_per_bucket: int = 4_000_000) -> int:
 
 
 def numbered_by_hash_id(
-    df: DataFrame, id_column: str, groups: list[str], name: str, start: int, digits: int
+    df: DataFrame,
+    id_column: str,
+    groups: list[str],
+    name: str,
+    start: int,
+    digits: int,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Dense numbers after ``start``, ordered by (groups, id), ids being SHA-256 text.
 
@@ -104,12 +110,15 @@ def numbered_by_hash_id(
     dense without one task seeing a whole group. Only ids are read for the counts,
     of which there are groups x 16**digits. Buckets are hashed to tasks, so the
     input is evaluated once; a range partitioning would first evaluate it to sample.
+    ``counted`` may be a cheaper frame with the same ids to take the counts from.
     """
-    keyed = df.withColumn("_bucket", F.substring(id_column, 1, digits))
+    bucket = F.substring(id_column, 1, digits)
+    keyed = df.withColumn("_bucket", bucket)
+    counted = (df if counted is None else counted).withColumn("_bucket", bucket)
     keys = [*groups, "_bucket"]
     earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy(*keys)
+        counted.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )

@@ -347,19 +347,18 @@ def country_profile(lines: DataFrame) -> DataFrame:
             "missing_customer_rows"
         ),
     )
-    total = summary.agg(F.sum("row_count").alias("_total"))
+    total = lines.agg(F.count(F.lit(1))).scalar()
     status = (
         F.when(label.isNull(), "null").when(strip(label) == "", "blank").otherwise("value")
     )
     named = F.col("value_status") == "value"
     return (
-        summary.crossJoin(total)
-        .withColumn("value_status", status)
+        summary.withColumn("value_status", status)
         .select(
             "country_value",
             "value_status",
             "row_count",
-            percentage(F.col("row_count"), F.col("_total")).alias("row_percentage"),
+            percentage(F.col("row_count"), total).alias("row_percentage"),
             "distinct_invoices",
             "known_customers",
             "missing_customer_rows",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.dates import date_key
+from ledgerspark.functions.frames import side_by_side
 from ledgerspark.functions.predicates import (
     core_cancellation,
     core_sale,
@@ -262,9 +263,7 @@ def unknown_member_usage(staging: DataFrame, fact: DataFrame, dims: dict) -> Dat
             count_where((F.col(key) == 0) & F.col(natural).isNull()).alias("unknown_members")
         )
         frames.append(
-            facts.crossJoin(lines)
-            .crossJoin(members)
-            .select(F.lit(member).alias("member"), "*")
+            side_by_side(facts, lines, members).select(F.lit(member).alias("member"), "*")
         )
     return _union(frames)
 
@@ -273,7 +272,7 @@ def line_amount_reconciliation(staging: DataFrame, fact: DataFrame) -> DataFrame
     """Signed amount of all accepted lines in both layers: load fidelity, not sales."""
     s = staging.agg(money_sum("line_amount").alias("staging_line_amount_sum"))
     f = fact.agg(money_sum("line_amount").alias("fact_line_amount_sum"))
-    return s.crossJoin(f).withColumn(
+    return side_by_side(s, f).withColumn(
         "difference",
         (F.col("staging_line_amount_sum") - F.col("fact_line_amount_sum")).cast("decimal(38,4)"),
     )
@@ -551,10 +550,8 @@ def progress(periods: DataFrame) -> DataFrame:
         F.coalesce("input_rows", F.lit(0)).alias("input_rows"),
         F.coalesce("passed", F.lit(False)).alias("passed"),
     )
-    broken = joined.agg(F.min(F.when(~F.col("passed"), F.col("period"))).alias("first_broken"))
-    marked = joined.crossJoin(broken).withColumn(
-        "behind_mark", F.col("first_broken").isNull() | (F.col("period") < F.col("first_broken"))
-    )
+    so_far = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = joined.withColumn("behind_mark", F.min("passed").over(so_far))
     mark = F.max(F.when(F.col("behind_mark"), F.col("period"))).over(Window.partitionBy())
     return marked.select("period", "input_rows", "passed", "behind_mark", mark.alias("mark"))
 

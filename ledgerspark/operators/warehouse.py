@@ -210,15 +210,8 @@ def fact_rows(lines: DataFrame, dims: dict[str, DataFrame], start: int, rows: in
     A key that does not resolve stops the job inside the same pass, so no line is
     ever dropped by a join and no second pass is needed to check.
     """
-    numbered = numbered_by_hash_id(
-        with_partitions(lines),
-        "source_row_id",
-        ["year", "month"],
-        "sales_key",
-        start,
-        hash_prefix_length(rows),
-    )
-    resolved = resolve_keys(numbered, dims)
+    lines = with_partitions(lines)
+    resolved = resolve_keys(lines, dims)
     checked = {
         key: F.when(
             F.col(key).isNull(),
@@ -226,7 +219,17 @@ def fact_rows(lines: DataFrame, dims: dict[str, DataFrame], start: int, rows: in
         ).otherwise(F.col(key))
         for key, _ in DIMENSIONS.values()
     }
-    return resolved.withColumns(checked).select(*FACT_COLUMNS, "year", "month")
+    # Numbering comes last: its shuffle by month is the one the monthly files need.
+    numbered = numbered_by_hash_id(
+        resolved.withColumns(checked),
+        "source_row_id",
+        ["year", "month"],
+        "sales_key",
+        start,
+        hash_prefix_length(rows),
+        counted=lines,
+    )
+    return numbered.select(*FACT_COLUMNS, "year", "month")
 
 
 def with_natural_keys(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:

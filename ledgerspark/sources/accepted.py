@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.frames import side_by_side
 from ledgerspark.functions.predicates import count_where
 from ledgerspark.functions.text import utf16_units
 from ledgerspark.operators.numbering import hash_prefix_length
@@ -122,7 +123,7 @@ def check_output(spark: SparkSession, path: str) -> DataFrame:
             )
         )
     )
-    return by_file.crossJoin(ids)
+    return side_by_side(by_file, ids)
 
 
 def text_length_profile(lines: DataFrame) -> DataFrame:
@@ -174,7 +175,7 @@ def staging_preflight(lines: DataFrame) -> DataFrame:
         F.countDistinct("stock_code").alias("stock_codes"),
         F.countDistinct("country").alias("known_country_labels"),
     )
-    return totals.crossJoin(ids).crossJoin(distinct)
+    return side_by_side(totals, ids, distinct)
 
 
 def periods(lines: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerspark.functions.frames import side_by_side
 from ledgerspark.operators.numbering import store_segments, with_position
 from ledgerspark.schema import (
     FIRST_ROW_NUMBER,
@@ -142,7 +143,7 @@ def sheet_row_counts(raw: DataFrame) -> DataFrame:
     per_sheet = raw.groupBy("source_sheet").agg(F.count(F.lit(1)).alias("row_count"))
     total = raw.agg(F.count(F.lit(1)).alias("combined_row_count"))
     summed = per_sheet.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("sheet_row_count"))
-    check = total.crossJoin(summed).select(
+    check = side_by_side(total, summed).select(
         F.lit("ALL SHEETS").alias("source_sheet"),
         F.col("combined_row_count").alias("row_count"),
         (F.col("combined_row_count") == F.col("sheet_row_count")).alias("reconciled"),
