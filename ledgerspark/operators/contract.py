@@ -22,7 +22,6 @@ from ledgerspark.functions.predicates import (
 from ledgerspark.schema import (
     ACCEPT,
     ACCEPT_FLAGGED,
-    ACCEPTED_COLUMNS,
     ACCEPTED_SCHEMA,
     AMOUNT_TYPE,
     DERIVED_COLUMNS,
