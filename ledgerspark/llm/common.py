@@ -62,3 +62,12 @@ def words_in(text: Column) -> Column:
 def held_out(doc_id: Column, parts: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == remainder, F.lit(False))
+
+
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker, across its tasks."""
+    import sys
+    from types import ModuleType
+
+    name = "_ledgerspark_worker"
+    return vars(sys.modules.setdefault(name, ModuleType(name)))
