@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import mixing, sharding
+from ledgerspark.llm import media, mixing, sharding, simhash
 from ledgerspark.llm.common import table
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -20,6 +28,8 @@ def op8_shard_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_media_columns": op2_media_columns,
+        "op5_simhash_components": op5_simhash_components,
         "op7_mix_sources": op7_mix_sources,
         "op8_shard_linked": op8_shard_linked,
     }
