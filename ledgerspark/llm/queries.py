@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import media, mixing, sharding, simhash
+from ledgerspark.llm import fertility, media, mixing, quality, sharding, simhash
 from ledgerspark.llm.common import table
 
 
@@ -14,10 +14,18 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,9 @@ def op8_shard_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op4_quality_score": op4_quality_score,
         "op5_simhash_components": op5_simhash_components,
+        "op6_fertility_rules": op6_fertility_rules,
         "op7_mix_sources": op7_mix_sources,
         "op8_shard_linked": op8_shard_linked,
     }
