@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import fertility, media, mixing, quality, sharding, simhash
+from ledgerspark.llm import fertility, media, mixing, pieces, quality, sharding, simhash
 from ledgerspark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op8_shard_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
@@ -42,4 +46,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fertility_rules": op6_fertility_rules,
         "op7_mix_sources": op7_mix_sources,
         "op8_shard_linked": op8_shard_linked,
+        "op10_piece_codec": op10_piece_codec,
     }
