@@ -40,5 +40,34 @@ FROM rates
 """
 
 
+_SUBSTRINGS = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM split),
+windows AS (
+  SELECT doc_id, unnest(range(len(words) - 12)) AS place, words FROM split WHERE len(words) > 12),
+named AS (
+  SELECT doc_id, place, array_to_string(words[place + 1:place + 13], ' ') AS words FROM windows),
+firsts AS (SELECT words, min(doc_id) AS least FROM named GROUP BY words),
+marked AS (
+  SELECT DISTINCT n.doc_id, n.place + k AS place
+  FROM named n JOIN firsts f USING (words), range(13) r(k)
+  WHERE n.doc_id > f.least),
+judged AS (
+  SELECT p.doc_id, p.word, p.place, m.doc_id IS NOT NULL AS gone
+  FROM placed p LEFT JOIN marked m USING (doc_id, place)),
+sums AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY place) FILTER (WHERE NOT gone) AS kept
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words,
+       coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN sums USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix_sources": _MIX}
+    return {"op3_substring_dedup": _SUBSTRINGS, "op7_mix_sources": _MIX}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import fertility, media, mixing, pieces, quality, sharding, simhash
+from ledgerspark.llm import fertility, media, mixing, pieces, quality, sharding, simhash, substrings
 from ledgerspark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_score": op4_quality_score,
         "op5_simhash_components": op5_simhash_components,
         "op6_fertility_rules": op6_fertility_rules,
