@@ -191,8 +191,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; columns unchanged.
 
-    A component's first id keeps its rows; among repeated rows of that id one stays.
-    Rows without an id are kept when their component has no id at all.
+    A component's first id keeps its rows, repeated ones included. Rows without an id are
+    kept when some component has no id at all.
     """
     seen = near_duplicates(docs, **options)
     first = seen.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
