@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import fertility, media, mixing, pieces, quality, sharding, simhash, substrings
+from ledgerspark.llm import fertility, katz, media, mixing, pieces, quality, sharding, simhash, substrings
 from ledgerspark.llm.common import table
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_katz_scores": op1_katz_scores,
         "op2_media_columns": op2_media_columns,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_quality_score": op4_quality_score,
