@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import fertility, katz, media, mixing, pieces, quality, sharding, simhash, substrings
+from ledgerspark.llm import fertility, katz, media, mixing, pieces, quality, sharding, simhash, substrings, urls
 from ledgerspark.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op8_shard_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return urls.judge(urls.labelled(pages, labels))
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
@@ -56,5 +61,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fertility_rules": op6_fertility_rules,
         "op7_mix_sources": op7_mix_sources,
         "op8_shard_linked": op8_shard_linked,
+        "op9_url_templates": op9_url_templates,
         "op10_piece_codec": op10_piece_codec,
     }
