@@ -169,9 +169,9 @@ def payload(media: bytes) -> bytes:
 
 
 def encode(docs: DataFrame, name: str = "media") -> DataFrame:
-    """``docs`` with its texts stored as media files in column ``name``."""
+    """``docs`` with its texts stored as media files in column ``name`` (an earlier one goes)."""
     prepare(docs.sparkSession)
-    # the text goes last, under a name no column can clash with by place
+    docs = docs.drop(name)
     row = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,8 +127,8 @@ def _bucket_links(radius: int, limit: int):
             edges = [0, *cuts.tolist(), len(fp)]
             for i, j in zip(edges, edges[1:]):
                 if at != (mask[i], key[i]):
-                    if held and not crowded and (n := sum(map(len, held))) > 1:
-                        yield links(np.concatenate(held)) if n > 1 else None
+                    if held and not crowded and sum(map(len, held)) > 1:
+                        yield links(np.concatenate(held))
                     at, held, crowded = (mask[i], key[i]), [], False
                 if crowded:
                     yield again(int(at[0]), fp[i:j])
@@ -198,4 +198,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = seen.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
     loose = seen.where("component_id is null").select(F.lit(None).cast("long").alias("keep_id")).limit(1)
     keep = stored(first.union(loose), "keep")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
