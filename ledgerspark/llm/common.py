@@ -14,7 +14,7 @@ from ledgerspark.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Rows of text reach Python in batches of at most so many bytes, whatever their length.
-BATCH_BYTES = "16777216"
+BATCH_BYTES = "4194304"
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -37,10 +37,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 10
 VARIANTS = 4
-KEPT = 1_000_000  # units that a worker keeps; beyond it starts anew
+KEPT = 400_000  # units that a worker keeps; beyond it starts anew
 SPACE = "▁"
 TOGETHER = 48  # longer units have a heap of their own
-STRETCH = 2_000_000  # bytes of text cut at once
+STRETCH = 1_000_000  # bytes of text cut at once
 BLOCK = 1 << 14  # units of one length that go together
 UNIT = re.compile(r" *[^ ]+| +")
 NONE = np.int32(1 << 30)
@@ -75,12 +75,12 @@ class Pieces:
         if any(len(p) > 1 and any(c not in self.ids for c in p) for p in self.ids):
             raise ValueError("a character of a piece is no piece itself")
         self.bar, self.seed = int(dropout * (1 << 32)), seed
-        # a symbol is a piece's id, or minus the code point of a character without a piece
-        self.symbol = -np.arange(0x110000, dtype=np.int32)
+        # a symbol is a piece's id, or ~ of the code point of a character without a piece
+        self.symbol = ~np.arange(0x110000, dtype=np.int32)
         for piece, k in self.ids.items():
             if len(piece) == 1:
                 self.symbol[ord(piece)] = k
-        self.symbol[ord(" ")], self.symbol[ord(SPACE)] = self.ids[SPACE], -ord(SPACE)
+        self.symbol[ord(" ")], self.symbol[ord(SPACE)] = self.ids[SPACE], ~ord(SPACE)
         order = sorted(self.ids, key=lambda q: (-self.scores[q], self.ids[q]))
         self.of_rank = np.array([self.ids[q] for q in order], np.int32)
         rank = {q: k for k, q in enumerate(order)}
@@ -206,7 +206,7 @@ class Pieces:
         strange = np.flatnonzero(flat < 0)
         if not len(strange):
             return flat, count
-        coded = [[self.bytes[b] for b in chr(-x).encode()] for x in flat[strange].tolist()]
+        coded = [[self.bytes[b] for b in chr(~x).encode()] for x in flat[strange].tolist()]
         wide = np.ones(len(flat), np.int64)
         wide[strange] = [len(c) for c in coded]
         unit = np.repeat(np.arange(len(count)), count)
@@ -265,9 +265,8 @@ class Pieces:
         if len(kept_key) + len(new) > KEPT or len(pool) > 8 * KEPT:
             self.kept = (key[:0], begin[:0], number[:0], pool[:0])
         else:
-            keys_ = np.concatenate([kept_key, key[new]])
-            order = np.argsort(keys_)
-            self.kept = (keys_[order], np.concatenate([kept_at, begin[new]])[order], np.concatenate([kept_n, number[new]])[order], pool)
+            place = np.searchsorted(kept_key, key[new])
+            self.kept = (np.insert(kept_key, place, key[new]), np.insert(kept_at, place, begin[new]), np.insert(kept_n, place, number[new]), pool)
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, ends)]
         out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
         for i, t in enumerate(texts):
@@ -314,9 +313,10 @@ def _model(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """``docs`` with a column ``tokens`` (array of int)."""
+    """``docs`` with a column ``tokens`` (array of int); an earlier one of that name goes."""
     prepare(docs.sparkSession)
     model = _model(model_path)
+    docs = docs.drop("tokens")
     rows = docs.select(F.struct("*").alias("row"), "text", F.col("doc_id").cast("string").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,9 +339,10 @@ def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, s
 
 
 def decode(coded: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """``coded`` with a column ``decoded``, from ``tokens`` alone."""
+    """``coded`` with a column ``decoded``, from ``tokens`` alone; an earlier one goes."""
     prepare(coded.sparkSession)
     model = _model(model_path)
+    coded = coded.drop("decoded")
     rows = coded.select(F.struct("*").alias("row"), "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
