@@ -192,10 +192,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; columns unchanged.
 
     A component's first id keeps its rows, repeated ones included. Rows without an id are
-    kept when some component has no id at all.
+    kept when some component has no id at all. The ids that go are the smaller table, so
+    they are what the texts are joined with.
     """
     seen = near_duplicates(docs, **options)
-    first = seen.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    loose = seen.where("component_id is null").select(F.lit(None).cast("long").alias("keep_id")).limit(1)
-    keep = stored(first.union(loose), "keep")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
+    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")
+    gone = seen.groupBy(F.col("doc_id").alias("gone_id")).agg(first).where("not first")
+    gone = stored(gone.select("gone_id"), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
