@@ -9,7 +9,12 @@ from pyspark.sql import types as T
 from ledgerspark.functions.text import strip
 
 # Text layouts tried after the ISO form, month before day.
-EXTRA_LAYOUTS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyyMMdd")
+EXTRA_LAYOUTS = (
+    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy",
+    "yyyy/M/d H:mm:ss", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy", "MMM d, yyyy H:mm", "d MMM yyyy",
+    "d MMMM yyyy", "d-MMM-yyyy", "d-MMM-yyyy H:mm",
+)
+LAST_YEAR = 9999
 
 
 def wall_clock(c: Column, dtype: T.DataType) -> Column:
@@ -19,8 +24,10 @@ def wall_clock(c: Column, dtype: T.DataType) -> Column:
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     text = strip(c)
+    iso = text.try_cast("timestamp_ntz")
     return F.coalesce(
-        text.try_cast("timestamp_ntz"),
+        # six digits alone would be read as one year
+        F.when(F.year(iso).between(1, LAST_YEAR), iso),
         *[F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in EXTRA_LAYOUTS],
     )
 

@@ -167,15 +167,15 @@ def average_order_value(lines: DataFrame, by: list[str]) -> DataFrame:
 
 def repeat_customers(lines: DataFrame, by: list[str]) -> DataFrame:
     """Known customers, those with two or more orders, and their share, per context."""
-    pairs = (
-        lines.filter(core_sale() & F.col("customer_id").isNotNull())
-        .select(*by, "customer_id", "invoice_no")
-        .distinct()
-    )
-    per_customer = pairs.groupBy(*by, "customer_id").agg(F.count(F.lit(1)).alias("n"))
+    customer = F.when(core_sale(), F.col("customer_id"))
+    # a context without a known customer keeps its row of nulls, and so its zeros
+    pairs = lines.select(
+        *by, customer.alias("_customer"), F.when(customer.isNotNull(), F.col("invoice_no")).alias("_invoice")
+    ).distinct()
+    per_customer = pairs.groupBy(*by, "_customer").agg(F.count("_invoice").alias("n"))
     counted = per_customer.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("known_customers"),
-        count_where(F.col("n") >= 2).alias("repeat_customers"),
+        F.count("_customer").alias("known_customers"),
+        count_where(F.col("_customer").isNotNull() & (F.col("n") >= 2)).alias("repeat_customers"),
     )
     return counted.withColumn(
         "repeat_rate", ratio(F.col("repeat_customers"), F.col("known_customers"))
@@ -186,13 +186,13 @@ def cancellation_rate(lines: DataFrame, by: list[str]) -> DataFrame:
     """Share of invoices, ordered or cancelled, that are cancelled; never a row share."""
     active = core_sale() | F.col("is_cancelled")
     per_invoice = (
-        lines.filter(active)
-        .groupBy(*by, "invoice_no")
+        lines.select(*by, F.when(active, F.col("invoice_no")).alias("_invoice"), "is_cancelled")
+        .groupBy(*by, "_invoice")
         .agg(F.max("is_cancelled").alias("cancelled"))
     )
     counted = per_invoice.groupBy(*by).agg(
-        count_where(F.col("cancelled")).alias("cancelled_invoices"),
-        F.count(F.lit(1)).alias("active_invoices"),
+        count_where(F.col("_invoice").isNotNull() & F.col("cancelled")).alias("cancelled_invoices"),
+        F.count("_invoice").alias("active_invoices"),
     )
     return counted.withColumn(
         "cancellation_rate", ratio(F.col("cancelled_invoices"), F.col("active_invoices"))

@@ -83,15 +83,8 @@ def numbered_in_order(
     return with_position(rows, spark.read.parquet(f"{path}/segments"), name)
 
 
-def hash_prefix_length(rows: int, rows_per_bucket: int = 4_000_000) -> int:
-    """Hex digits of a SHA-256 id that keep any bucket under ``rows_per_bucket`` rows.
-
-    SHA-256 spreads ids evenly, so the bound holds even if one group has every row.
-    """
-    digits = 0
-    while rows > rows_per_bucket * 16**digits and digits < 8:
-        digits += 1
-    return digits
+# Hex digits of a SHA-256 id that split every group, whatever its size: 256 even parts.
+ID_PREFIX_DIGITS = 2
 
 
 def numbered_by_hash_id(
@@ -100,27 +93,28 @@ def numbered_by_hash_id(
     groups: list[str],
     name: str,
     start: int,
-    digits: int,
-    counted: DataFrame | None = None,
+    digits: int = ID_PREFIX_DIGITS,
 ) -> DataFrame:
     """Dense numbers after ``start``, ordered by (groups, id), ids being SHA-256 text.
 
     The leading hex digits order and evenly split any group, however large, so
     numbering inside (groups, prefix) plus the exact count of earlier buckets is
-    dense without one task seeing a whole group. Only ids are read for the counts,
-    of which there are groups x 16**digits. Buckets are hashed to tasks, so the
-    input is evaluated once; a range partitioning would first evaluate it to sample.
-    ``counted`` may be a cheaper frame with the same ids to take the counts from.
+    dense without one task seeing a whole group. Prefixes are summed within their
+    group, and only group totals, one row each, are summed over all groups. ``df``
+    is read twice, so it should be a stored table or a narrow plan over one.
     """
-    bucket = F.substring(id_column, 1, digits)
-    keyed = df.withColumn("_bucket", bucket)
-    counted = (df if counted is None else counted).withColumn("_bucket", bucket)
+    keyed = df.withColumn("_bucket", F.substring(id_column, 1, digits))
     keys = [*groups, "_bucket"]
-    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*groups).orderBy("_bucket")
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    totals = buckets.groupBy(*groups).agg(F.sum("_n").alias("_total"))
+    earlier = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*groups, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     offsets = (
-        counted.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+        buckets.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .join(before, groups)
+        .select(*keys, (F.col("_before") + F.col("_inside")).alias("_offset"))
     )
     within = Window.partitionBy(*keys).orderBy(id_column)
     return (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.dates import date_key
 from ledgerspark.functions.predicates import core_sale, count_where
-from ledgerspark.operators.numbering import hash_prefix_length, numbered_by_hash_id, numbered_in_order
+from ledgerspark.operators.numbering import numbered_by_hash_id, numbered_in_order
 from ledgerspark.schema import ACCEPTED_CLASSES, FACT_COLUMNS, UNKNOWN_DESCRIPTION
 from ledgerspark.sources.accepted import with_partitions
 
@@ -204,14 +204,16 @@ def unresolved_keys(lines: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     return wide.unpivot([], wide.columns, "dimension_name", "unresolved_rows")
 
 
-def fact_rows(lines: DataFrame, dims: dict[str, DataFrame], start: int, rows: int) -> DataFrame:
+def fact_rows(lines: DataFrame, dims: dict[str, DataFrame], start: int) -> DataFrame:
     """Fact rows of accepted lines, numbered after ``start`` by (month, row id).
 
     A key that does not resolve stops the job inside the same pass, so no line is
     ever dropped by a join and no second pass is needed to check.
     """
-    lines = with_partitions(lines)
-    resolved = resolve_keys(lines, dims)
+    numbered = numbered_by_hash_id(
+        with_partitions(lines), "source_row_id", ["year", "month"], "sales_key", start
+    )
+    resolved = resolve_keys(numbered, dims)
     checked = {
         key: F.when(
             F.col(key).isNull(),
@@ -219,17 +221,7 @@ def fact_rows(lines: DataFrame, dims: dict[str, DataFrame], start: int, rows: in
         ).otherwise(F.col(key))
         for key, _ in DIMENSIONS.values()
     }
-    # Numbering comes last: its shuffle by month is the one the monthly files need.
-    numbered = numbered_by_hash_id(
-        resolved.withColumns(checked),
-        "source_row_id",
-        ["year", "month"],
-        "sales_key",
-        start,
-        hash_prefix_length(rows),
-        counted=lines,
-    )
-    return numbered.select(*FACT_COLUMNS, "year", "month")
+    return resolved.withColumns(checked).select(*FACT_COLUMNS, "year", "month")
 
 
 def with_natural_keys(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:

@@ -79,7 +79,7 @@ class Layers:
     def accepted(self) -> DataFrame:
         if not self._ready(self.accepted_path):
             lines = contract.accepted_lines(self.classified())
-            write_accepted(lines, self.accepted_path, self.root, self.raw_fields().count())
+            write_accepted(lines, self.accepted_path, self.root)
         return read_accepted(self.spark, self.accepted_path)
 
     def rejected(self) -> DataFrame:

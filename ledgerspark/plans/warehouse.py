@@ -35,7 +35,13 @@ from ledgerspark.schema import (
     assert_signature,
 )
 from ledgerspark.sources import storage
-from ledgerspark.sources.accepted import append_by_month, next_month
+from ledgerspark.sources.accepted import (
+    append_by_month,
+    assert_inspected,
+    by_month,
+    inspect_periods,
+    next_month,
+)
 
 
 class Warehouse:
@@ -117,7 +123,7 @@ class Warehouse:
             new = lines.join(staged.select("source_row_id"), "source_row_id", "left_anti")
             new = new.select(*lines.columns)
         if checked.processed:
-            append_by_month(new, self.staging_path, checked.processed)
+            append_by_month(new, self.staging_path)
         after = self.staging().count()
         inserted = after - before
         return {
@@ -132,9 +138,16 @@ class Warehouse:
         return self.dim(name).count()
 
     def _upsert_dates(self, bounds: DataFrame) -> dict[str, int]:
-        days, known, before = calendar(bounds), self.dim("dim_date"), 0
+        """Extend the calendar without a hole: it goes on from the last day it has."""
+        known, before = self.dim("dim_date"), 0
         if known is not None:
             before = known.count()
+            first, last = known.agg(F.min("full_date"), F.max("full_date")).first()
+            due = F.least("first_date", F.date_add(F.lit(last), 1))
+            until = F.greatest("last_date", F.date_sub(F.lit(first), 1))
+            bounds = bounds.select(due.alias("first_date"), until.alias("last_date"))
+        days = calendar(bounds)
+        if known is not None:
             days = known.unionByName(days.join(known.select("full_date"), "full_date", "left_anti"))
         return {"date_inserted": self._store_dim("dim_date", days) - before}
 
@@ -183,18 +196,26 @@ class Warehouse:
             return {k: v for future in done for k, v in future.result().items()}
 
     def _append_facts(self, scope: DataFrame) -> dict[str, int]:
-        """Append the scope lines that have no fact yet."""
-        stored = self.fact()
-        before = start = 0
-        new = scope
+        """Append the scope lines that have no fact yet.
+
+        Only facts of the scope's months can hold them, so the anti join reads those
+        folders; its result is stored, as numbering reads it twice.
+        """
+        stored, start, new = self.fact(), 0, scope
+        rows = scope.count()
         if stored is not None:
-            before = stored.count()
             start = stored.agg(F.max("sales_key")).first()[0] or 0
-            new = scope.join(stored.select("source_row_id"), "source_row_id", "left_anti")
-        rows = scope.count()
-        facts = fact_rows(new, self.dims(), start, rows)
-        facts.write.mode("append").partitionBy("year", "month").parquet(f"{self.root}/fact_sales")
-        inserted = self.fact().count() - before
+            months = scope.agg(F.min("batch_month"), F.max("batch_month")).first()
+            known = months_between(stored, *months) if rows else stored.limit(0)
+            work = f"{self.root}/_new/fact_scope"
+            fresh = scope.join(known.select("source_row_id"), "source_row_id", "left_anti")
+            fresh.select(*scope.columns).write.mode("overwrite").parquet(work)
+            new = self.spark.read.schema(scope.schema).parquet(work)
+        inserted = new.count()
+        facts = fact_rows(new, self.dims(), start)
+        by_month(facts).write.mode("append").partitionBy("year", "month").parquet(
+            f"{self.root}/fact_sales"
+        )
         return {"fact_inserted": inserted, "fact_skipped_existing": rows - inserted}
 
     def bootstrap(self) -> dict[str, int]:
@@ -280,15 +301,18 @@ class Warehouse:
         if force and high > self.mark():
             raise ValueError("A forced run may not pass the mark.")
         lines = months_between(accepted, low, high)
-        inputs = {
-            r.batch_month: r["count"] for r in lines.groupBy("batch_month").count().collect()
-        }
+        # Nothing is written before the months themselves have been looked at.
+        inspected = [r.asDict() for r in inspect_periods(lines).collect()]
+        for found in inspected:
+            assert_inspected(found)
+        inputs = {found["period"]: found["row_count"] for found in inspected}
         period, wanted = low, []
         while period <= high:
             wanted.append(period)
             period = next_month(period)
         if sorted(inputs) != wanted:
             raise ValueError(f"Source months {sorted(inputs)} are not {wanted}.")
+        before = self._facts_per_month(low, high)
         staged = self.load_staging(lines)
         built = self.upsert_periods(low, high, source_max)
         measures = {r.period: r.asDict() for r in self.reconciliation(low, high).collect()}
@@ -297,13 +321,21 @@ class Warehouse:
                 raise ValueError(f"Period {period} has no reconciliation.")
             reconcile.assert_period(measures[period], inputs[period])
         if not force:
-            self._log(wanted, inputs, built["fact_inserted"])
+            after = self._facts_per_month(low, high)
+            self._log([(p, inputs[p], after.get(p, 0) - before.get(p, 0)) for p in wanted])
         return {"decision": decision, **staged, **built, "mark": self.mark()}
 
-    def _log(self, wanted: list[date], inputs: dict[date, int], inserted: int) -> None:
+    def _facts_per_month(self, low: date, high: date) -> dict[date, int]:
+        """Fact rows of each month, from the file footers."""
+        fact = self.fact()
+        if fact is None:
+            return {}
+        months = months_between(fact, low, high).groupBy("year", "month").count().collect()
+        return {date(int(r.year), int(r.month), 1): r["count"] for r in months}
+
+    def _log(self, months: list[tuple[date, int, int]]) -> None:
         now = datetime.now(timezone.utc)
-        each = {p: inputs[p] for p in wanted}
-        rows = [(p, n, n if inserted else 0, True, now) for p, n in each.items()]
+        rows = [(period, n, inserted, True, now) for period, n, inserted in months]
         log = self.spark.createDataFrame(rows, RUN_LOG_SCHEMA)
         log.coalesce(1).write.mode("append").parquet(f"{self.root}/run_log")
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.frames import side_by_side
 from ledgerspark.functions.predicates import count_where
 from ledgerspark.functions.text import utf16_units
-from ledgerspark.operators.numbering import hash_prefix_length
 from ledgerspark.schema import (
     ACCEPTED_SCHEMA,
     ACCEPTED_TABLE_SCHEMA,
@@ -32,19 +31,21 @@ def with_partitions(df: DataFrame) -> DataFrame:
     )
 
 
-def append_by_month(
-    df: DataFrame, path: str, rows: int, mode: str = "append", max_rows: int = MAX_ROWS_PER_FILE
-) -> None:
-    """Write about ``rows`` lines under ``year=YYYY/month=MM``.
+def by_month(df: DataFrame) -> DataFrame:
+    """Lines dealt to tasks by month; a large month is split and small ones share a task.
 
-    Tasks take (month, id prefix) buckets. With few rows the prefix is empty and a
-    month is one task's work; with many it splits every month evenly, including one
-    that holds a large share of all lines. The input is evaluated once.
+    Spark sizes the tasks from the shuffled bytes, so no month is one task's work
+    because of its size, and no task writes to every month.
     """
-    bucket = F.substring("source_row_id", 1, hash_prefix_length(rows))
+    return df.hint("rebalance", F.col("year"), F.col("month"))
+
+
+def append_by_month(
+    df: DataFrame, path: str, mode: str = "append", max_rows: int = MAX_ROWS_PER_FILE
+) -> None:
+    """Write lines under ``year=YYYY/month=MM``; the input is evaluated once."""
     (
-        with_partitions(df)
-        .repartition("year", "month", bucket)
+        by_month(with_partitions(df))
         .write.mode(mode)
         .option("maxRecordsPerFile", max_rows)
         .partitionBy("year", "month")
@@ -53,22 +54,19 @@ def append_by_month(
 
 
 def write_accepted(
-    df: DataFrame, path: str, root: str, rows: int | None = None, max_rows: int = MAX_ROWS_PER_FILE
+    df: DataFrame, path: str, root: str, max_rows: int = MAX_ROWS_PER_FILE
 ) -> None:
     """Replace the accepted dataset at ``path``, which must lie under ``root``.
 
-    ``rows`` is the size of the source if the caller knows it, else it is counted.
     An empty dataset is refused before anything is replaced.
     """
     inside = path.rstrip("/").startswith(root.rstrip("/") + "/")
     if not inside or ".." in path.split("/"):
         raise ValueError(f"Refusing to replace {path}: it is not under {root}.")
     assert_signature(df.schema, ACCEPTED_SCHEMA, "accepted lines")
-    if rows is None:
-        rows = df.count()
-    if not rows or df.isEmpty():
+    if df.isEmpty():
         raise ValueError("An empty accepted dataset is not written.")
-    append_by_month(df, path, rows, "overwrite", max_rows)
+    append_by_month(df, path, "overwrite", max_rows)
 
 
 def read_accepted(spark: SparkSession, path: str) -> DataFrame:
@@ -88,8 +86,8 @@ def write_rejected(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 
-def check_output(spark: SparkSession, path: str) -> DataFrame:
-    """One-row verification of a written accepted dataset.
+def check_output(spark: SparkSession, path: str, max_rows: int = MAX_ROWS_PER_FILE) -> DataFrame:
+    """One-row verification of an accepted dataset written with ``max_rows`` per file.
 
     The file schema is asserted on read; ids are counted in two steps so that
     uniqueness needs one shuffle with map-side combining.
@@ -112,7 +110,7 @@ def check_output(spark: SparkSession, path: str) -> DataFrame:
         F.max("high").alias("maximum_batch_month"),
         count_where(~F.col("file").rlike(PARTITION_FOLDER)).alias("bad_partition_folders"),
         count_where((F.col("low") != label) | (F.col("high") != label)).alias("misplaced_files"),
-        count_where(F.col("n") > MAX_ROWS_PER_FILE).alias("oversized_files"),
+        count_where(F.col("n") > max_rows).alias("oversized_files"),
     )
     ids = (
         lines.groupBy("source_row_id")
@@ -272,8 +270,12 @@ def inspect_period(spark: SparkSession, path: str, period: date) -> dict:
     rows = inspect_periods(in_period(read_accepted(spark, path), period)).collect()
     if not rows:
         raise ValueError(f"No accepted lines for {period} under {path}.")
-    found = rows[0].asDict()
+    return assert_inspected(rows[0].asDict())
+
+
+def assert_inspected(found: dict) -> dict:
+    """The inspection of one month, or an error that names its first problem."""
     for problem in ("duplicated_source_row_ids", "invalid_source_row_ids", "out_of_period_rows"):
         if found[problem]:
-            raise ValueError(f"Period {period}: {problem} = {found[problem]}.")
+            raise ValueError(f"Period {found['period']}: {problem} = {found[problem]}.")
     return found

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +26,7 @@ def source_row_id(sheet: Column, row_number: Column) -> Column:
     return F.sha2(F.concat(sheet, F.lit("|"), row_number.cast("string")), 256)
 
 
-def with_row_lineage(df: DataFrame, sheet: str) -> DataFrame:
+def with_row_lineage(df: DataFrame, sheet: str, fmt: str = "parquet") -> DataFrame:
     """Prefix a file-backed frame with sheet, physical row number and row id.
 
     A row's number is its file's or split's offset plus its place inside it; the
@@ -43,9 +42,9 @@ def with_row_lineage(df: DataFrame, sheet: str) -> DataFrame:
     app = spark.sparkContext.applicationId
     work = f"{shared_folder(spark)}/ledgerspark/{app}/sheets/{uuid4().hex}"
     file = F.col("_metadata.file_path").alias("_file")
-    try:
+    if fmt == "parquet":
         rows, keys = df.select("*", file, F.col("_metadata.row_index").alias("_index")), ["_file"]
-    except AnalysisException:
+    else:
         keys = ["_file", "_start"]
         df.select(
             "*",
@@ -76,6 +75,8 @@ def read_sheet(
         header = spark.read.option("header", True).csv(path).columns
         assert_raw_header(header, path)
         reader = spark.read.schema(schema or RAW_TEXT_SCHEMA)
+        # A record may hold line breaks; one with too few or too many fields fails the read.
+        reader = reader.option("multiLine", True).option("mode", "FAILFAST")
         return reader.option("header", True).option("enforceSchema", False).csv(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     df = reader.format(fmt).load(path)
@@ -93,7 +94,7 @@ def read_raw(
     if not sheets:
         raise ValueError("No source sheets were given.")
     frames = [
-        with_row_lineage(read_sheet(spark, path, fmt, schema), name)
+        with_row_lineage(read_sheet(spark, path, fmt, schema), name, fmt)
         for name, path in sheets.items()
     ]
     types = {tuple((f.name, f.dataType.simpleString()) for f in d.schema) for d in frames}
@@ -154,9 +155,12 @@ def sheet_row_counts(raw: DataFrame) -> DataFrame:
 def fingerprint(df: DataFrame, columns: list[str] = RAW_COLUMNS) -> DataFrame:
     """Order-free content fingerprint: equal before and after means nothing changed.
 
+    A row's hash is the first 60 bits of the MD5 of its fields, null told from any text.
     The sum is kept beside the xor because equal pairs cancel out in an xor.
     """
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    fields = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in columns]
+    digest = F.md5(F.concat_ws("\x1f", *fields))
+    row_hash = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
         F.bit_xor(row_hash).alias("xor_hash"),

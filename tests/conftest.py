@@ -1,3 +1,4 @@
+import itertools
 import sys
 from datetime import datetime
 from pathlib import Path
@@ -11,17 +12,14 @@ from ledgerspark.operators import contract  # noqa: E402
 from ledgerspark.schema import RAW_COLUMNS  # noqa: E402
 from ledgerspark.session import local_session, shared_folder  # noqa: E402
 
-LOADED_AT = datetime(2026, 9, 21, 3, 4, 5)
-VALID = {
-    "Invoice": "489434",
-    "StockCode": "85048",
-    "Description": "  RED WOOLLY HOTTIE  ",
-    "Quantity": "2",
-    "InvoiceDate": "2009-12-01 07:45:00",
-    "Price": "6.95",
-    "Customer ID": "13085.0",
-    "Country": " United Kingdom ",
-}
+LOADED_AT = datetime(2025, 2, 3, 14, 30)
+# One sound line; a test names the fields in which its lines differ from it.
+SOUND = dict(
+    zip(
+        RAW_COLUMNS,
+        ("700001", "52017", "\tbrass kettle ", "4", "2009-12-05 10:20:00", "3.25", "20417.0", " Norway"),
+    )
+)
 
 
 @pytest.fixture(scope="session")
@@ -41,23 +39,22 @@ def folder(spark, request):
 
 @pytest.fixture(scope="session")
 def raw_frame(spark):
-    """Raw lines from overrides of one valid row; ``types`` retypes columns."""
-
-    def make(*overrides, sheet="Year 2009-2010", types=None, numbers=None):
-        types = types or {}
-        schema = T.StructType(
-            [
-                T.StructField("source_sheet", T.StringType()),
-                T.StructField("source_row_number", T.LongType()),
-                *[T.StructField(c, types.get(c, T.StringType())) for c in RAW_COLUMNS],
-            ]
-        )
-        rows = [{**VALID, **row} for row in (overrides or ({},))]
-        numbers = numbers or range(2, len(rows) + 2)
-        data = [(sheet, n, *[r[c] for c in RAW_COLUMNS]) for n, r in zip(numbers, rows)]
+    """A frame of raw lines, one for each dictionary of fields that differ from ``SOUND``."""
+
+    def frame(*differing, sheet="Year 2009-2010", types=None, numbers=None):
+        kinds = dict.fromkeys(RAW_COLUMNS, T.StringType()) | (types or {})
+        schema = T.StructType().add("source_sheet", "string").add("source_row_number", "long")
+        for name in RAW_COLUMNS:
+            schema = schema.add(name, kinds[name])
+        differing = list(differing) or [{}]
+        numbers = numbers or itertools.count(2)
+        data = []
+        for number, fields in zip(numbers, differing):
+            line = SOUND | fields
+            data.append([sheet, number] + [line[name] for name in RAW_COLUMNS])
         return spark.createDataFrame(data, schema)
 
-    return make
+    return frame
 
 
 @pytest.fixture(scope="session")

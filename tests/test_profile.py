@@ -24,7 +24,7 @@ def lines(raw_frame):
         ]
     ]
     rows += [
-        {"Invoice": "C2", "Quantity": "-1", "StockCode": "85048a", "Description": None},
+        {"Invoice": "C2", "Quantity": "-1", "StockCode": "85123a", "Description": None},
         {"Invoice": " C3", "Quantity": None, "StockCode": "POST"},
         {"Invoice": None, "Quantity": "inf", "StockCode": None, "Price": "nan"},
         {"Invoice": "  ", "Quantity": "1.5.2", "StockCode": " ", "InvoiceDate": "bad"},

@@ -3,7 +3,8 @@
 from datetime import date
 
 import pytest
-from conftest import LOADED_AT, VALID
+from conftest import LOADED_AT, SOUND
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import contract
@@ -23,7 +24,7 @@ def sheet(spark, first, n, parts=3):
     rows = spark.range(first, first + n, 1, parts)
     return rows.select(
         *[
-            (F.col("id").cast("string") if c == "Invoice" else F.lit(VALID[c])).alias(c)
+            (F.col("id").cast("string") if c == "Invoice" else F.lit(SOUND[c])).alias(c)
             for c in RAW_COLUMNS
         ]
     )
@@ -164,10 +165,10 @@ def test_one_period_reads_one_folder(spark, folder, accepted):
 
 def test_misplaced_and_missing_months_are_reported(spark, folder, accepted):
     wrong = accepted.withColumn("batch_month", F.lit("2010-03-01").cast("date"))
-    sink.append_by_month(wrong, f"{folder}/wrong", 3)
+    sink.append_by_month(wrong, f"{folder}/wrong")
     with pytest.raises(ValueError, match="out_of_period_rows"):
         sink.inspect_period(spark, f"{folder}/wrong", date(2010, 3, 1))
-    sink.append_by_month(accepted, f"{folder}/wrong", 3)
+    sink.append_by_month(accepted, f"{folder}/wrong")
     with pytest.raises(ValueError, match="Missing source partition"):
         sink.source_periods(spark, f"{folder}/wrong")
     lines = sink.read_accepted(spark, f"{folder}/wrong")
@@ -194,3 +195,22 @@ def test_utf16_widths(spark, accepted):
 def test_csv_types_are_never_inferred(spark, folder):
     sheet(spark, 0, 3, 1).write.option("header", True).csv(folder)
     assert read_raw(spark, {"S": folder}, "csv").select(*RAW_COLUMNS).schema == RAW_TEXT_SCHEMA
+
+
+def _sheet(folder, text):
+    """A text sheet of the given lines below the header."""
+    spark = SparkSession.getActiveSession()
+    header = ",".join(RAW_COLUMNS)
+    spark.createDataFrame([(f"{header}\n{text}",)], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
+def test_csv_records_are_whole(spark, folder):
+    good = '1,A,"two\nlines, one cell",2,2010-01-02,1.5,7,Norway\n2,B,x,1,2010-01-03,1.5,7,Norway'
+    rows = read_raw(spark, {"S": _sheet(f"{folder}/good", good)}, fmt="csv").collect()
+    assert [(r.source_row_number, r.Invoice, r.Description) for r in sorted(rows, key=lambda r: r.Invoice)] == [
+        (2, "1", "two\nlines, one cell"), (3, "2", "x"),
+    ]
+    for name, bad in (("long", "1,A,x,2,2010-01-02,1.5,7,Norway,ninth"), ("short", "1,A")):
+        with pytest.raises(Exception, match="MALFORMED|malformed"):
+            read_raw(spark, {"S": _sheet(f"{folder}/{name}", bad)}, fmt="csv").collect()

@@ -23,4 +23,16 @@ def test_drain_is_idempotent(spark, folder, raw_frame):
         assert query.exception() is None
     assert store.staging().count() == store.fact().count() == 3
     facts = store.fact().join(store.dim("dim_product"), "product_key")
-    assert sorted(r.stock_code for r in facts.collect()) == ["85048", "85048", "B"]
+    assert sorted(r.stock_code for r in facts.collect()) == ["52017", "52017", "B"]
+
+
+def test_two_drains_leave_no_hole_in_the_calendar(spark, folder, raw_frame):
+    first = raw_frame({"InvoiceDate": "2009-12-10 07:45:00"})
+    later = raw_frame({"InvoiceDate": "2010-01-15 08:00:00"}, numbers=[3])
+    store = Warehouse(spark, f"{folder}/store")
+    for raw in (first, later):
+        lines = contract.accepted_lines(contract.classify(raw, LOADED_AT))
+        sink.append_by_month(lines, f"{folder}/accepted")
+        drain_months(spark, f"{folder}/accepted", store, f"{folder}/checkpoint").awaitTermination()
+    days = [r.full_date for r in store.dim("dim_date").orderBy("full_date").collect()]
+    assert len(days) == (days[-1] - days[0]).days + 1 == 46  # from the first of December on

@@ -66,9 +66,9 @@ def test_dimensions(built):
     assert (day.date_key, day.month_name, day.weekday_name) == (20100102, "January", "Saturday")
     assert day.is_weekend and day.quarter == 1
     assert {r.customer_id: r.customer_key for r in dims["dim_customer"]} == {
-        None: 0, "13085": 1, "77": 2,
+        None: 0, "20417": 1, "77": 2,
     }
-    assert {r.country for r in dims["dim_country"]} == {None, "United Kingdom", "Unspecified"}
+    assert {r.country for r in dims["dim_country"]} == {None, "Norway", "Unspecified"}
     products = {r.stock_code: r.description for r in dims["dim_product"]}
     # 'new' and 'old' tie on... frequency decides: two core 'new' lines against one 'old'.
     assert products == {"A": "new", "B": "UNKNOWN DESCRIPTION", "Z": "zero", "a": "lower"}
@@ -128,7 +128,7 @@ def test_facts_resolve_every_line(built, source):
     }
     assert found["dim_product"] == 1
     with pytest.raises(Exception, match="no product_key"):
-        warehouse.fact_rows(source, dims, 0, 10).collect()
+        warehouse.fact_rows(source, dims, 0).collect()
 
 
 def test_rerun_changes_nothing(built):
@@ -306,7 +306,7 @@ def test_kpis_by_brute_force(source):
     assert total.known_customers == 2 and total.repeat_customers == 1
     assert total.repeat_rate == 0.5
     assert total.cancellation_rate == 1 / 5
-    assert (total.units_sold, total.cancelled_units) == (10, 2)
+    assert (total.units_sold, total.cancelled_units) == (20, 2)
     assert total.average_order_value == float(sum(r.line_amount for r in rows if sale(r))) / 4
     levels = {
         (r.level, r.batch_month_context): r
@@ -317,4 +317,45 @@ def test_kpis_by_brute_force(source):
     assert sum(r.repeat_customers for k, r in levels.items() if k[0] == 0) == 0
     empty = kpi.kpis(source.filter("is_cancelled")).first()
     assert empty.orders == 0 and empty.average_order_value is None and empty.repeat_rate is None
-    assert {r.customer_id for r in kpi.top_customers(source).collect()} == {"13085", "77"}
+    assert {r.customer_id for r in kpi.top_customers(source).collect()} == {"20417", "77"}
+
+
+def test_a_bad_month_is_not_stored_and_loads_once_mended(spark, folder, source):
+    store = Warehouse(spark, folder)
+    store.run(source, DEC, DEC, FEB)
+    early = F.when(F.col("batch_month") == F.lit(JAN), F.col("invoice_datetime") - F.expr("interval 40 days"))
+    bad = source.withColumn("invoice_datetime", F.coalesce(early, F.col("invoice_datetime")))
+    before = store.staging().count(), store.fact().count()
+    with pytest.raises(ValueError, match="out_of_period_rows"):
+        store.run(bad, JAN, DEC, FEB)
+    assert (store.staging().count(), store.fact().count()) == before and store.mark() == DEC
+    assert store.run(source, JAN, DEC, FEB)["mark"] == JAN
+
+
+def test_the_log_counts_each_months_own_facts(spark, folder, source):
+    store = Warehouse(spark, folder)
+    dec = source.filter(F.col("batch_month") == F.lit(DEC)).select(*ACCEPTED_COLUMNS)
+    store.load_staging(dec)
+    store.bootstrap()
+    store.run(source, DEC, DEC, FEB, high=FEB)
+    logged = {r.period: (r.input_rows, r.inserted_rows) for r in store.run_log().collect()}
+    per = {r.batch_month: r["count"] for r in source.groupBy("batch_month").count().collect()}
+    assert logged == {DEC: (per[DEC], 0), JAN: (per[JAN], per[JAN]), FEB: (per[FEB], per[FEB])}
+
+
+def test_facts_are_numbered_without_one_window_over_all_prefixes(built):
+    plan = warehouse.fact_rows(built.staging(), built.dims(), 0)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 3  # rows in a bucket, buckets in a month, months
+    assert sum("_bucket" in w for w in windows) == 2
+    assert all("[year" in w.replace("[_", "") for w in windows if "_bucket" in w)
+
+
+def test_a_month_of_unknown_customers_keeps_its_row(source):
+    unknown = source.withColumn("customer_id", F.when(F.col("batch_month") != F.lit(JAN), F.col("customer_id")))
+    rows = {r.batch_month: r for r in kpi.repeat_customers(unknown, ["batch_month"]).collect()}
+    assert (rows[JAN].known_customers, rows[JAN].repeat_customers, rows[JAN].repeat_rate) == (0, 0, None)
+    idle = source.withColumn("unit_price", F.lit(0).cast("decimal(19,4)")).withColumn("is_cancelled", F.lit(False))
+    rates = kpi.cancellation_rate(idle, ["batch_month"]).collect()
+    assert len(rates) == 3
+    assert {(r.cancelled_invoices, r.active_invoices, r.cancellation_rate) for r in rates} == {(0, 0, None)}
