@@ -39,8 +39,8 @@ from ledgerspark.llm.words import LOWER, hashes, mixed, raw, split, stretches
 K = 5
 HEAD_WORDS = 1 << 18
 HEAD_PAIRS = 1 << 20
-SHARE = 12_000_000  # bytes of text for each bucket of the model
-FLUSH = 3_000_000  # pairs that a task gathers before it sends blocks
+SHARE = 8_000_000  # bytes of text for each bucket of the model
+FLUSH = 1_000_000  # pairs that a task gathers before it sends blocks
 STEPS = 4  # parts of a doubling in count histograms
 END = np.uint64(0x6C62272E07BB0142)
 START = np.uint64(0xCBF29CE484222325)
@@ -83,6 +83,11 @@ def find(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == keys, at, -1)
 
 
+def take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values at places; 0 where the place is -1."""
+    return np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at), values.dtype)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed block."""
     head = b"".join(struct.pack("<3sI", a.dtype.str.encode(), len(a)) for a in arrays)
@@ -128,7 +133,7 @@ class Words:
         lost = sum(n * (r - self.discount.d[r] * r) for r, n in enumerate(of_count[:K], 1))
         self.all = total if lost > 0 else total + 1
         self.unknown = (lost if lost > 0 else 1) / self.all
-        self.w = self.n = np.zeros(0, np.uint64)
+        self.w, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.g = self.a = np.zeros(0)
 
     def p(self, n: np.ndarray) -> np.ndarray:
@@ -167,7 +172,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             if size > FLUSH:
                 held = [summed(*(np.concatenate(x) for x in zip(*held)))[:2]]
                 size = len(held[0][0])
-                if size > FLUSH // 2:
+                if size > FLUSH:
                     yield from _batches(["w", "n"], held[0][0].view(np.int64), held[0][1])
                     held, size = [], 0
         if held:
@@ -261,7 +266,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, byte
 def _tail(blocks: list[list[np.ndarray]], columns: int) -> list[np.ndarray]:
     """Rare words of a bucket, sorted by hash."""
     if not blocks:
-        return [np.zeros(0, np.uint64), *[np.zeros(0)] * columns]
+        return [np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0)] * (columns - 1)]
     w, *rest = (np.concatenate(x) for x in zip(*blocks))
     w = w.view(np.uint64)
     order = np.argsort(w)
@@ -295,7 +300,7 @@ def _pairs_counted(words: Words):
             vs += [v, v2]
             ws += [words.w[place], w2]
             ns += [n, n2]
-            ps += [words.p(words.n[place]), words.p(np.where(at >= 0, tail_n[at], 0)) if len(w2) else np.zeros(0)]
+            ps += [words.p(words.n[place]), words.p(take(tail_n, at))]
         v, w, n, p = (np.concatenate(x) for x in (vs, ws, ns, ps))
         key, n, first = summed(pair(v, w), n.astype(np.int64))
         v, p = v[first], p[first]
@@ -409,7 +414,8 @@ def fit(texts: DataFrame) -> Model:
 
 
 ASKED = "bucket int, kind int, block binary, row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double"
-ANSWERED = "row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, v long"
+ANSWERED = "row long, doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, v long, block binary"
+SUMMED = "row long, n_known long, base double, score double"
 
 
 def _questions(model: Shared, schema: str):
@@ -419,6 +425,7 @@ def _questions(model: Shared, schema: str):
 
     def ask(held: list) -> Iterator[pa.RecordBatch]:
         at, row, v, w, what = (np.concatenate(x) for x in zip(*held))
+        origin = row.min(keepdims=True)  # these texts are asked for together, and nowhere else
 
         def block(row, v, w, what):
             rows, which = np.unique(row, return_inverse=True)
@@ -427,7 +434,7 @@ def _questions(model: Shared, schema: str):
                 own = what == k
                 first = pair(v[own], w[own]) if k == 1 else w[own]
                 parts += [which[own].astype("<u4"), first, *([v[own]] if k == 2 else [])]
-            return pack(np.diff(rows, prepend=0), *parts)
+            return pack(origin, np.diff(rows, prepend=0), *parts)
 
         for b in _send([row, v, w, what], at, ASK, block):
             n = b.num_rows
@@ -448,7 +455,7 @@ def _questions(model: Shared, schema: str):
             row = batch.column(0).to_numpy()
             place = find(words.w, w)
             common = place >= 0
-            total = lambda x, of: np.bincount(of, x, m)
+            total = lambda x, of: np.bincount(of, x, m).astype(float)
             n = words.n[place[common]]
             base = total(words.base(n), text[common])
             known = total((n > 0).astype(float), text[common])
@@ -481,24 +488,26 @@ def _questions(model: Shared, schema: str):
 
 
 def _answers(model: Shared, schema: str):
-    """Per bucket: sums per text; histories of pairs not seen that only their own bucket knows."""
+    """Per block of questions one of answers, sums per text; and histories of pairs not seen
+    that only their own bucket knows."""
     words = model.words
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def out(kind, rows, known, base, score, v=None) -> pa.RecordBatch:
+    def out(kind, rows, v=None, block: bytes | None = None) -> pa.RecordBatch:
         n = len(rows)
-        columns = [pa.array(rows), pa.nulls(n, kind), pa.nulls(n, pa.bool_()), pa.array(np.zeros(n, np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
-        return pa.record_batch([*columns, pa.nulls(n, pa.int64()) if v is None else pa.array(v)], names)
+        blank = [pa.nulls(n, t) for t in (kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+        last = [pa.nulls(n, pa.int64()) if v is None else pa.array(v), pa.array([block] * n, pa.binary())]
+        return pa.record_batch([pa.array(rows), *blank, *last], names)
 
     def answer(kind, block: list, rare: list, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows, t0, w0, t1, k1, t2, w2, v2 = block
-        rows = np.cumsum(rows)
+        origin, steps, t0, w0, t1, k1, t2, w2, v2 = block
+        rows = np.cumsum(steps)
         m = len(rows)
         at = find(rare[0], w0)
-        n = np.where(at >= 0, rare[1][at], 0) if len(rare[0]) else np.zeros(len(w0), np.int64)
-        base = np.bincount(t0, words.base(n), m)
+        n = take(rare[1], at)
+        base = np.bincount(t0, words.base(n), m).astype(float)
         known = np.bincount(t0, (n > 0).astype(float), m)
-        score = np.bincount(t0, np.where(at >= 0, rare[2][at], 0.0), m) if len(rare[0]) else np.zeros(m)
+        score = np.bincount(t0, take(rare[2], at), m).astype(float)
         at = find(key, k1)
         score += np.bincount(t1, np.log10(model.discount.kept(count[at])), m) if len(t1) else 0
         if len(t2):
@@ -508,17 +517,15 @@ def _answers(model: Shared, schema: str):
                 score += np.bincount(t2[seen], np.log10(model.discount.kept(count[at[seen]])), m)
             t2, w2, v2 = t2[~seen], w2[~seen], v2[~seen]
             place, tail = find(words.w, w2), find(rare[0], w2)
-            n = np.where(place >= 0, words.n[place], np.where(tail >= 0, rare[1][tail], 0) if len(rare[0]) else 0)
+            n = take(words.n, place) + take(rare[1], tail)
             score += np.bincount(t2, np.log10(words.p(n)), m) if len(t2) else 0
             before = find(words.w, v2)
             own = before >= 0
             if own.any():
                 score += np.bincount(t2[own], words.a[before[own]] - words.g[before[own]], m)
             if not own.all():
-                far = rows[t2[~own]]
-                zero = np.zeros(len(far))
-                yield out(kind, far, zero, zero, zero, v2[~own].view(np.int64))
-        yield out(kind, rows, known, base, score)
+                yield out(kind, rows[t2[~own]], v2[~own].view(np.int64))
+        yield out(kind, origin, block=pack(steps, known.astype("<u4"), base, score))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rare, tail, key, count = None, [], None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -535,11 +542,32 @@ def _answers(model: Shared, schema: str):
                 yield from answer(batch.column(4).type, unpack(block), tail, key, count)
             else:
                 own = batch.slice(i, 1)
-                yield pa.record_batch([*own.columns[3:], pa.nulls(1, pa.int64())], names)
+                yield pa.record_batch([*own.columns[3:], pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names)
 
     return work
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the answers to one origin's questions, over rows (origin, block) sorted by origin."""
+
+    def sums(blocks: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        rows, *values = (np.concatenate(x) for x in zip(*blocks))
+        rows, known, base, score, _ = summed(rows, *values)
+        yield from _batches([c.split()[0] for c in SUMMED.split(", ")], rows, known, base, score)
+
+    origin, held = None, []
+    for batch in batches:
+        for at, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if at != origin and held:
+                yield from sums(held)
+                held = []
+            steps, known, base, score = unpack(block.as_py())
+            origin = at
+            held.append([np.cumsum(steps), known.astype(np.int64), base, score])
+    if held:
+        yield from sums(held)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -554,11 +582,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     every = questions.union(known.select("bucket", "kind", "block", *extra))
     dealt = every.repartition(model.shared.buckets, "bucket").sortWithinPartitions("bucket", "kind")
     answers = stored(dealt.mapInArrow(_answers(model.shared, answered), answered), "answers")
-    sums = answers.where("v is null").drop("v")
+    sums = answers.where("v is null and block is null").drop("v", "block")
+    told = answers.where("block is not null").select("row", "block").repartition("row").sortWithinPartitions("row")
+    told = told.mapInArrow(_added, SUMMED)
     far = answers.where("v is not null").select("row", "v").join(model.table, F.col("v") == F.col("w"))
     far = far.select("row", (F.col("a") - F.col("g")).alias("score"))
+    fields = [f for f in sums.schema.fields if f.name not in ("row", "n_known", "base", "score")]
+    told = told.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     blank = [F.lit(0).cast(f.dataType).alias(f.name) if f.name in ("n_tokens", "n_known", "base") else F.lit(None).cast(f.dataType).alias(f.name) for f in sums.schema.fields if f.name not in ("row", "score")]
-    both = sums.unionByName(far.select("row", "score", *blank))
+    both = sums.unionByName(told).unionByName(far.select("row", "score", *blank))
     return both.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
         F.lit(model.shared.words.total).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
