@@ -20,8 +20,6 @@ from ledgerspark.session import local_session
 
 READ_ROWS = 100_000
 READ_COLUMNS = ["source_row_id", "invoice_no", "quantity", "line_amount"]
-# These write and reconcile whole warehouses of their own; BENCH_ALL=1 adds them.
-LONG = {"replay_all_periods", "period_upsert"}
 
 
 def timed(action) -> float:
@@ -69,8 +67,6 @@ def main() -> None:
     seconds["build_star"] = timed(layers.warehouse)
     failed = []
     for name, run in registry.queries().items():
-        if name in LONG and not os.environ.get("BENCH_ALL"):
-            continue
         try:
             seconds[name] = timed(lambda: drain(run(spark, sf_dir)))
         except Exception as error:  # a broken query must not hide the others
