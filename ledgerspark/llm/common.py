@@ -47,10 +47,10 @@ def stored(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFram
     return back
 
 
-def release(*frames: DataFrame) -> None:
-    """Delete tables of ``stored`` that no later plan reads."""
+def release(*frames: DataFrame, part: str = "") -> None:
+    """Delete tables of ``stored``, or one partition folder of theirs, that no later plan reads."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df._stored_at}/{part}".rstrip("/"))
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -39,8 +39,8 @@ from ledgerspark.llm.words import LOWER, hashes, mixed, raw, split, stretches
 K = 5
 HEAD_WORDS = 1 << 18
 HEAD_PAIRS = 1 << 20
-SHARE = 8_000_000  # bytes of text for each bucket of the model
-FLUSH = 1_000_000  # pairs that a task gathers before it sends blocks
+SHARE = 6_000_000  # bytes of text for each bucket of the model
+FLUSH = 800_000  # pairs that a task gathers before it sends blocks
 STEPS = 4  # parts of a doubling in count histograms
 END = np.uint64(0x6C62272E07BB0142)
 START = np.uint64(0xCBF29CE484222325)
@@ -395,6 +395,7 @@ def fit(texts: DataFrame) -> Model:
     order = np.argsort(w.view(np.uint64))
     words.w, words.n, words.g, words.a = w.view(np.uint64)[order], n[order], g[order], a[order]
     release(counts)
+    release(counted, part=f"kind={SUMS}")
     pairs = counted.where(F.col("kind") == PAIRS).select("bucket", "kind", "block")
     level = _least_level({r["r"]: r["n"] for r in shape if r["v"] == 1}, HEAD_PAIRS)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-STRETCH = 2_000_000  # bytes looked at together
+STRETCH = 500_000  # bytes looked at together
 _POWERS = np.cumprod(np.full(1 << 12, 0x9E3779B97F4A7C15, np.uint64))
 
 
