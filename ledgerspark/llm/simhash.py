@@ -189,13 +189,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; columns unchanged.
+    """``docs`` without the rows whose component has a smaller id; columns unchanged."""
+    return keep_first(docs, near_duplicates(docs, **options))
+
+
+def keep_first(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose component in ``seen`` (doc_id, component_id) has a smaller id.
 
     A component's first id keeps its rows, repeated ones included. Rows without an id are
     kept when some component has no id at all. The ids that go are the smaller table, so
     they are what the texts are joined with.
     """
-    seen = near_duplicates(docs, **options)
     first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("first")
     gone = seen.groupBy(F.col("doc_id").alias("gone_id")).agg(first).where("not first")
     gone = stored(gone.select("gone_id"), "gone")

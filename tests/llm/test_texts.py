@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from ledgerspark.llm import katz, simhash, substrings
+from ledgerspark.llm import katz, nearcopies, simhash, substrings
 from ledgerspark.llm.words import hashes, raw, split
 
 K = katz.K
@@ -244,3 +244,62 @@ def test_words_in_bytes():
     words = [(int(t), data[a:b].tobytes()) for a, b, t in zip(starts, stops, text)]
     assert words == [(k, w) for k, t in enumerate(texts) for w in (t or "").encode().split()]
     assert len(np.unique(hashes(data, starts, stops))) == len(words)
+
+
+def plain_copies(docs):
+    """Component of each row by the Jaccard similarity of all pairs of five-word sets."""
+    sets = [frozenset(nearcopies.shingles((t or "").encode())) for _, t in docs]
+    distinct = list(dict.fromkeys(sets))
+    root = {s: s for s in distinct}
+
+    def top(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for k, a in enumerate(distinct):
+        for b in distinct[:k]:
+            if 4 * max(len(a), len(b)) <= 5 * min(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                root[top(a)] = top(b)
+    least = {}
+    for (i, _), s in zip(docs, sets):
+        if i is not None:
+            least[top(s)] = min(least.get(top(s), i), i)
+    return [(i, least.get(top(s))) for (i, _), s in zip(docs, sets)]
+
+
+def chain_family(spark):
+    """Texts that differ by ever more words: neighbours are near copies, the ends are not."""
+    base, rows = [f"v{k}" for k in range(120)], []
+    for k in range(40):
+        w = list(base)
+        w[: k * 3] = [f"z{j}" for j in range(k * 3)]
+        rows.append((2000 + k * 7 % 40, " ".join(w)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("options", [{}, {"sample": 1, "often": 2}])
+def test_near_copies_against_all_pairs(spark, docs, options):
+    df = docs.select("doc_id", "text").union(near_family(spark)).union(chain_family(spark))
+    want = in_order(plain_copies(rows_of(df, "doc_id", "text")))
+    assert in_order(rows_of(nearcopies.near_copies(df, **options), "doc_id", "component_id")) == want
+    assert {c for i, c in want if i >= 2000} == {2000}
+
+
+def test_near_copies_odd_rows(clashing, none):
+    want = in_order(plain_copies(rows_of(clashing, "doc_id", "text")))
+    assert in_order(rows_of(nearcopies.near_copies(clashing), "doc_id", "component_id")) == want
+    assert nearcopies.near_copies(none).collect() == []
+
+
+def test_the_pipeline_drops_near_copies_of_five_words(spark):
+    """A copy with one word in sixty changed differs in more than three bits of op5's fingerprint."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(60)]
+    other = [*words[:30], "changed", *words[31:]]
+    apart = plain_fingerprint(" ".join(words)) ^ plain_fingerprint(" ".join(other))
+    assert apart.bit_count() > 3
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "quite another text")], "doc_id long, text string")
+    kept = corpus_pipeline.one_of_near_copies(spark, df, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
