@@ -2,12 +2,17 @@
 
 A public merge vocabulary with byte fallback is read, never trained. Each unit (spaces and
 the word after them) starts as characters; an agenda holds candidate merges by score, then
-place; a candidate that comes up is skipped when a hash keyed by seed, variant, unit and
-span falls below the dropout. Which of ``VARIANTS`` variants an occurrence takes is a hash
-of seed, document id and place, so one word is cut in different ways within and across
-documents, reruns agree, and a worker can keep what it has cut. No piece of the vocabulary
-holds a space after another character (checked on loading), so units are independent and
-the agenda per unit gives what an agenda over the whole text would.
+place; a candidate that comes up is skipped when a hash keyed by seed, document id, place
+of the occurrence and span falls below the dropout. Every occurrence has draws of its own,
+so one word is cut in different ways within and across documents, and reruns agree. No
+piece of the vocabulary holds a space after another character (checked on loading), so
+units are independent and the agenda per unit gives what an agenda over the whole text
+would.
+
+A span comes up once at most, so which spans were skipped fixes the cut. A worker keeps,
+for a unit and the spans skipped so far, the tokens and the merges that follow if no
+further one is skipped; an occurrence draws for those merges, and with the first that it
+skips it goes on to the way that has this one skipped too.
 
 Characters outside the vocabulary, and a literal U+2581 (the vocabulary's sign for a
 space), become byte pieces; decoding therefore returns every text exactly.
@@ -36,8 +41,7 @@ from ledgerspark.llm.common import prepare, worker_state
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 10
-VARIANTS = 4
-KEPT = 400_000  # units that a worker keeps; beyond it starts anew
+KEPT = 400_000  # ways of cutting that a worker keeps; beyond it starts anew
 SPACE = "▁"
 TOGETHER = 48  # longer units have a heap of their own
 STRETCH = 1_000_000  # bytes of text cut at once
@@ -47,6 +51,66 @@ NONE = np.int32(1 << 30)
 _POWERS = np.cumprod(np.full(1 << 12, 0x5851F42D4C957F2D, np.uint64))
 
 
+def _span(left, middle, end):
+    with np.errstate(over="ignore"):
+        return (left << np.uint64(40)) + (middle << np.uint64(20)) + end
+
+
+def _base(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What an occurrence's draws are keyed by: its document's hash and its place there."""
+    with np.errstate(over="ignore"):
+        x = place * np.uint64(0x9E3779B97F4A7C15) + seed
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+
+
+def _longer(held: np.ndarray, length: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` written at ``length``; room doubles when it is short."""
+    if length + len(more) > len(held):
+        held = np.concatenate([held[:length], np.zeros(length + 2 * len(more), held.dtype)])
+    held[length : length + len(more)] = more
+    return held
+
+
+class Ways:
+    """Tokens of units with given spans skipped, and the merges after the last of those, by hash."""
+
+    def __init__(self):
+        self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.tokens_at, self.tokens_n, self.merges_at, self.merges_n = (np.zeros(0, np.int64) for _ in range(4))
+        self._tokens, self._merges, self._lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64), [0, 0]
+
+    @property
+    def tokens(self) -> np.ndarray:
+        return self._tokens[: self._lengths[0]]
+
+    @property
+    def merges(self) -> np.ndarray:
+        return self._merges[: self._lengths[1]]
+
+    def full(self) -> bool:
+        return len(self.key) > KEPT or max(self._lengths) > 8 * KEPT
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.row[at], -1)
+
+    def add(self, key, tokens, tokens_n, merges, merges_n) -> None:
+        rows = len(self.key) + np.arange(len(key))
+        order = np.argsort(key)
+        place = np.searchsorted(self.key, key[order])
+        self.key, self.row = np.insert(self.key, place, key[order]), np.insert(self.row, place, rows[order])
+        self.tokens_at = np.append(self.tokens_at, self._lengths[0] + np.cumsum(tokens_n) - tokens_n)
+        self.merges_at = np.append(self.merges_at, self._lengths[1] + np.cumsum(merges_n) - merges_n)
+        self.tokens_n, self.merges_n = np.append(self.tokens_n, tokens_n), np.append(self.merges_n, merges_n)
+        self._tokens = _longer(self._tokens, self._lengths[0], tokens)
+        self._merges = _longer(self._merges, self._lengths[1], merges)
+        self._lengths = [self._lengths[0] + len(tokens), self._lengths[1] + len(merges)]
+
+
 class Pieces:
     """The vocabulary and the cutting of units."""
 
@@ -92,7 +156,7 @@ class Pieces:
         )
         self.join, self.join_rank = (np.array(x) for x in zip(*joins))
         self.join_rank = self.join_rank.astype(np.int32)
-        self.kept: tuple = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.kept = Ways()
 
     def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the piece that neighbours make; ``NONE`` where they make none."""
@@ -100,22 +164,25 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.join, key), len(self.join) - 1)
         return np.where((self.join[at] == key) & (left > 0) & (right > 0), self.join_rank[at], NONE)
 
-    def _skips(self, base, left, middle, end):
-        """Whether the keyed hash of unit, variant and span falls below the dropout."""
+    def _skips(self, base, span):
+        """Whether the keyed hash of occurrence and span falls below the dropout."""
         with np.errstate(over="ignore"):
-            x = base + (left << np.uint64(40)) + (middle << np.uint64(20)) + end
+            x = base + span
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return (x >> np.uint64(32)) < np.uint64(self.bar)
 
-    def together(self, points: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Final symbols and their number for units of one length (rows of code points).
+    def together(self, points: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Final symbols and their number for units of one length (rows of code points),
+        and the merges after the last skip, in order, and their number.
 
-        All agendas go in step: each round takes every unit's best candidate.
+        All agendas go in step: each round takes every unit's best candidate, and leaves
+        out those whose span is in its row of ``skipped`` (0 is no span).
         """
         n, size = points.shape
         symbols = self.symbol[points]
         out, count = symbols.copy(), np.full(n, size)
+        merges, number = np.zeros((n, size), np.uint64), np.zeros(n, np.int64)
         place = np.tile(np.arange(size + 1, dtype=np.int16), (n, 1))
         rank = np.full((n, size), NONE, np.int32)
         rank[:, :-1] = self.look(symbols[:, :-1], symbols[:, 1:])
@@ -128,12 +195,15 @@ class Pieces:
             if not more.all():
                 ended = who[~more]
                 out[ended], count[ended] = symbols[~more], live[~more]
-                symbols, place, rank, live, base, who, at = (x[more] for x in (symbols, place, rank, live, base, who, at))
+                symbols, place, rank, live, skipped, who, at = (x[more] for x in (symbols, place, rank, live, skipped, who, at))
                 line = np.arange(len(who))
-            if self.bar:
-                skip = self._skips(base, *(place[line, at + k].astype(np.uint64) for k in range(3)))
-                rank[line[skip], at[skip]] = NONE
-                line, at = line[~skip], at[~skip]
+            span = _span(*(place[line, at + k].astype(np.uint64) for k in range(3)))
+            skip = (skipped == span[:, None]).any(1)
+            rank[line[skip], at[skip]] = NONE
+            number[who[skip]] = 0
+            line, at, span = line[~skip], at[~skip], span[~skip]
+            merges[who[line], number[who[line]]] = span
+            number[who[line]] += 1
             if not len(line):
                 continue
             piece = self.of_rank[rank[line, at]]
@@ -151,7 +221,7 @@ class Pieces:
                 ok = (a >= 0) & (a + 1 < live[line])
                 r, a = line[ok], a[ok]
                 rank[r, a] = self.look(symbols[r, a], symbols[r, a + 1])
-        return out, count
+        return out, count, merges, number
 
     def alone(self, points: np.ndarray, base: np.uint64) -> np.ndarray:
         """Final symbols of one long unit: its agenda is a heap."""
@@ -174,7 +244,7 @@ class Pieces:
             rank, left, middle, end = heapq.heappop(agenda)
             if symbols[left] is None or ends[left] != middle or ends[middle] != end:
                 continue
-            if self.bar and self._skips(base, np.uint64(left), np.uint64(middle), np.uint64(end)):
+            if self.bar and self._skips(base, _span(np.uint64(left), np.uint64(middle), np.uint64(end))):
                 continue
             symbols[left], symbols[middle], ends[left] = int(self.of_rank[rank]), None, end
             if end < n:
@@ -184,22 +254,44 @@ class Pieces:
                 push(before[left], left, end)
         return np.array([x for x in symbols if x is not None], np.int32)
 
-    def cut(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> list[tuple]:
-        """(units, tokens, number of tokens of each) for units at ``starts`` of ``points``."""
-        done = []
+    def cut(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, skipped: np.ndarray) -> Iterator[tuple]:
+        """(units, tokens, number of tokens, merges, number of merges) of units at ``starts`` of ``points``."""
         for size in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == size)
-            if size > TOGETHER:
-                for r in rows.tolist():
-                    flat = self.alone(points[starts[r] : starts[r] + size], base[r])
-                    done.append((np.array([r]), *self._bytes(flat, np.array([len(flat)]))))
-                continue
             for k in range(0, len(rows), BLOCK):
                 block = rows[k : k + BLOCK]
-                symbols, count = self.together(points[starts[block][:, None] + np.arange(size)], base[block])
-                flat = symbols[np.arange(size)[None, :] < count[:, None]]
-                done.append((block, *self._bytes(flat, count)))
-        return done
+                symbols, count, merges, number = self.together(points[starts[block][:, None] + np.arange(size)], skipped[block])
+                flat, count = self._bytes(symbols[np.arange(size)[None, :] < count[:, None]], count)
+                yield block, flat, count, merges[np.arange(size)[None, :] < number[:, None]], number
+
+    def _walk(self, points, starts, sizes, unit, base) -> np.ndarray:
+        """The kept way of each unit, by its own draws."""
+        kept = self.kept
+        way = np.empty(len(unit), np.int64)
+        todo, key, skipped = np.arange(len(unit)), unit, np.zeros((len(unit), 0), np.uint64)
+        while len(todo):
+            at = kept.find(key)
+            if (at < 0).any():
+                new, first = np.unique(key[at < 0], return_index=True)
+                first = np.flatnonzero(at < 0)[first]
+                found = self.cut(points, starts[todo[first]], sizes[todo[first]], skipped[first])
+                rows, *found = (np.concatenate(x) for x in zip(*found))
+                kept.add(new[rows], *found)
+                at = kept.find(key)
+            way[todo] = at
+            if not self.bar:
+                break
+            n = kept.merges_n[at]
+            ends = np.cumsum(n)
+            inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            span = kept.merges[np.repeat(kept.merges_at[at], n) + inside]
+            hit = np.flatnonzero(self._skips(np.repeat(base[todo], n), span))
+            line, first = np.unique(np.searchsorted(ends, hit, "right"), return_index=True)
+            span = span[hit[first]]
+            todo, skipped = todo[line], np.column_stack([skipped[line], span])
+            with np.errstate(over="ignore"):
+                key = (key[line] ^ (key[line] >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + span * np.uint64(0x94D049BB133111EB)
+        return way
 
     def _bytes(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte pieces in place of characters that have no piece."""
@@ -216,7 +308,7 @@ class Pieces:
         return out, np.bincount(unit, wide, len(count)).astype(np.int64)
 
     def encode(self, texts: list[str], keys: list[str]) -> list[np.ndarray]:
-        """Tokens of each text; the occurrence's variant hangs on its key and place.
+        """Tokens of each text; an occurrence's draws hang on its key and place.
 
         Units are told apart by a 64-bit hash of their code points. What comes out is
         decoded and compared; should two units ever share a hash, the texts that differ
@@ -239,34 +331,22 @@ class Pieces:
             unit = (unit ^ (unit >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + sizes.astype(np.uint64)
             text = np.searchsorted(ends, starts, "right") - 1
             seed = np.fromiter((xxhash.xxh64_intdigest(k, self.seed) for k in keys), np.uint64, len(keys))
-            x = (np.arange(len(starts)) - np.searchsorted(starts, ends[text])).astype(np.uint64)
-            x = x * np.uint64(0x9E3779B97F4A7C15) + seed[text]
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            variant = (x >> np.uint64(33)) % np.uint64(VARIANTS)
-            base = unit + (variant + np.uint64(1)) * np.uint64(0x94D049BB133111EB) + np.uint64(self.seed) * np.uint64(0x9E3779B97F4A7C15)
-            base = (base ^ (base >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        key, first, which = np.unique(base, return_index=True, return_inverse=True)
-        kept_key, kept_at, kept_n, pool = self.kept
-        at = np.minimum(np.searchsorted(kept_key, key), max(0, len(kept_key) - 1))
-        has = kept_key[at] == key if len(kept_key) else np.zeros(len(key), bool)
-        begin, number = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        begin[has], number[has] = kept_at[at[has]], kept_n[at[has]]
-        new = np.flatnonzero(~has)
-        pools, length = [pool], len(pool)
-        for rows, tokens, count in self.cut(points, starts[first[new]], sizes[first[new]], key[new]):
-            begin[new[rows]] = length + np.cumsum(count) - count
-            number[new[rows]] = count
-            pools.append(tokens)
-            length += len(tokens)
-        pool = np.concatenate(pools)
-        n = number[which]
+            base = _base(seed[text], (np.arange(len(starts)) - np.searchsorted(starts, ends[text])).astype(np.uint64))
+        if self.kept.full():
+            self.kept = Ways()
+        short = np.flatnonzero(sizes <= TOGETHER)
+        way = self._walk(points, starts[short], sizes[short], unit[short], base[short])
+        begin, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        begin[short], n[short] = self.kept.tokens_at[way], self.kept.tokens_n[way]
+        pools, length = [self.kept.tokens], len(self.kept.tokens)
+        for r in np.flatnonzero(sizes > TOGETHER).tolist():
+            own = self.alone(points[starts[r] : starts[r] + sizes[r]], base[r])
+            pools.append(self._bytes(own, np.array([len(own)]))[0])
+            begin[r], n[r] = length, len(pools[-1])
+            length += len(pools[-1])
+        pool = np.concatenate(pools) if len(pools) > 1 else pools[0]
         total = np.cumsum(n)
-        flat = pool[np.repeat(begin[which] - (total - n), n) + np.arange(total[-1])]
-        if len(kept_key) + len(new) > KEPT or len(pool) > 8 * KEPT:
-            self.kept = (key[:0], begin[:0], number[:0], pool[:0])
-        else:
-            place = np.searchsorted(kept_key, key[new])
-            self.kept = (np.insert(kept_key, place, key[new]), np.insert(kept_at, place, begin[new]), np.insert(kept_n, place, number[new]), pool)
+        flat = pool[np.repeat(begin - (total - n), n) + np.arange(total[-1])]
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, ends)]
         out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
         for i, t in enumerate(texts):
@@ -277,8 +357,8 @@ class Pieces:
     def _plainly(self, text: str, key: str) -> np.ndarray:
         done = []
         for place, u in enumerate(UNIT.findall(f" {text}")):
-            base = np.uint64(xxhash.xxh64_intdigest(f"{key}:{place}:{u}", self.seed))
-            flat = self.alone(np.frombuffer(u.encode("utf-32-le"), "<u4"), base)
+            base = _base(np.array([xxhash.xxh64_intdigest(key, self.seed)], np.uint64), np.array([place], np.uint64))
+            flat = self.alone(np.frombuffer(u.encode("utf-32-le"), "<u4"), base[0])
             done.append(self._bytes(flat, np.array([len(flat)]))[0])
         return np.concatenate(done)
 

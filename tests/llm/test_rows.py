@@ -186,6 +186,23 @@ def test_pieces_vary_and_repeat():
     assert pieces.Pieces(MODEL, 0.3, 6).encode([text], ["1"])[0].tolist() != a
 
 
+def test_pieces_of_each_occurrence_have_draws_of_their_own():
+    """A frequent word is cut as often and in as many ways as free draws cut it."""
+    word, n = "unbelievable", 3000
+    own = pieces.Pieces(MODEL, 0.1, 5)
+    whole = tuple(pieces.Pieces(MODEL, 0.0, 5).encode([word], ["1"])[0].tolist())
+    sp = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    free = [tuple(sp.encode(word, enable_sampling=True, alpha=0.1, nbest_size=-1)) for _ in range(n)]
+    cuts = [tuple(own.encode([word], [str(k)])[0].tolist()) for k in range(n)]
+    assert len(set(cuts)) > 10
+    for cut in {whole, *(c for c in free if free.count(c) > 100)}:  # the library's own merge dropout
+        assert abs(cuts.count(cut) - free.count(cut)) / n < 0.05
+    together = own.encode([" ".join([word] * n)], ["1"])[0].tolist()
+    assert own.decode(together) == " ".join([word] * n)
+    again = pieces.Pieces(MODEL, 0.1, 5).encode([word] * n, [str(k) for k in range(n)])
+    assert [tuple(x.tolist()) for x in again] == cuts  # what was kept before has no part in it
+
+
 def test_pieces_of_a_shared_hash_are_cut_again(monkeypatch):
     own = pieces.Pieces(MODEL, 0.1, 1)
     monkeypatch.setattr(pieces, "_POWERS", np.zeros(4, np.uint64))  # units of one length collide
