@@ -1,13 +1,15 @@
 """URL filters: rules first, then a path-template tree per host judged by labelled purity.
 
 The tree grows level by level from distinct paths. Below a node a segment stays as it is
-when it holds at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the node's; all others
-become one wildcard, so a node has at most 1 / ``LEAST_SHARE`` + 1 children however many
-pages a host has. Children, ordered by smoothed purity, are merged with their neighbour
-when a two-proportion test tells them apart by less than ``Z`` deviations. A template's
+when it holds at least ``LEAST_PAGES`` pages, whatever its share; the rarer ones become one
+wildcard. A child is apart when a two-proportion test tells its smoothed purity from that
+of the rest of its node by more than ``Z`` deviations; children that are not apart are one
+branch. Those apart upwards, and those apart downwards, are tested once more among
+themselves: the alike are one branch, the others have branches of their own. A template's
 purity is its share of good labels, smoothed towards its host's, which is smoothed
-towards all hosts'; a template below ``LEAST_PURITY`` is blocked. Segments after
-``DEPTH`` levels are one wildcard.
+towards all hosts'; a template below ``LEAST_PURITY`` is blocked. A node grows as long as
+its paths have segments; one of fewer than ``LEAST_PAGES`` pages has wildcards only.
+A branch of more than ``LISTED`` children is named by the first and the number of others.
 
 Defined results: a null url and one without ``://`` have an empty host and path, and form
 a host of their own; repeated pages count as often as they stand; without labels
@@ -19,18 +21,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ledgerspark.llm.common import prepare, stored
 
 # host and path, verdict; the longest that fits wins
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 LEAST_PAGES = 4
-LEAST_SHARE = 0.02
 Z = 1.64
 STRENGTH = 4.0  # labels that the smoothing counts for
 LEAST_PURITY = 0.5
-DEPTH = 8
+LISTED = 50
 WILDCARD = "*"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,6 +58,25 @@ def _smooth(good: Column, labelled: Column, prior: Column) -> Column:
     return (good + prior * STRENGTH) / (labelled + STRENGTH)
 
 
+def _apart(tokens: DataFrame, at: list[str], name: str) -> DataFrame:
+    """``tokens`` with -1, 0 or 1 as ``name``: worse than, like or better than the rest of ``at``."""
+    whole = tokens.groupBy(*at).agg(F.sum("good").alias("all_good"), F.sum("labelled").alias("all_labelled"), F.count("*").alias("k"))
+    n1, n2 = F.col("labelled") + STRENGTH, F.col("all_labelled") - F.col("labelled") + STRENGTH
+    p1 = _smooth(F.col("good"), F.col("labelled"), F.col("prior"))
+    p2 = _smooth(F.col("all_good") - F.col("good"), F.col("all_labelled") - F.col("labelled"), F.col("prior"))
+    both = (p1 * n1 + p2 * n2) / (n1 + n2)
+    z = (p1 - p2) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / n1 + 1 / n2))
+    side = F.when(F.col("k") == 1, 0).when(z > Z, 1).when(z < -Z, -1).otherwise(0)
+    return tokens.join(whole, at).withColumn(name, side).drop("all_good", "all_labelled", "k")
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys``, null with null."""
+    right = right.select(*[F.col(c).alias(f"r_{c}") if c in keys else F.col(c) for c in right.columns])
+    fits = [left[c].eqNullSafe(right[f"r_{c}"]) for c in keys]
+    return left.join(right, fits).drop(*[f"r_{c}" for c in keys])
+
+
 def _grown(nodes: DataFrame, depth: int) -> DataFrame:
     """One level of the tree: ``nodes`` (host, path, template, segments, n, good, labelled, prior)
     with the token of this level added to the template."""
@@ -66,20 +85,19 @@ def _grown(nodes: DataFrame, depth: int) -> DataFrame:
     at = ["host", "template"]
     sums = [F.sum(c).alias(c) for c in ("n", "good", "labelled")]
     children = stored(here.groupBy(*at, "segment").agg(*sums, F.first("prior").alias("prior")), "children")
-    all_ = children.groupBy(*at).agg(F.sum("n").alias("pages"))
-    stays = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * LEAST_SHARE)
-    named = children.join(all_, at).withColumn("token", F.when(stays, F.col("segment")).otherwise(WILDCARD))
-    tokens = named.groupBy(*at, "token").agg(*sums, F.first("prior").alias("prior"))
-    tokens = tokens.withColumn("purity", _smooth(F.col("good"), F.col("labelled"), F.col("prior")))
-    order = W.partitionBy(*at).orderBy("purity", "token")  # at most 1 / LEAST_SHARE + 1 rows
-    n1, n2 = F.col("labelled") + STRENGTH, F.lag("labelled").over(order) + STRENGTH
-    p1, p2 = F.col("purity"), F.lag("purity").over(order)
-    both = (p1 * n1 + p2 * n2) / (n1 + n2)
-    apart = F.abs(p1 - p2) / F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / n1 + 1 / n2))
-    marked = tokens.withColumn("new", F.coalesce((apart > Z).cast("int"), F.lit(1)))
-    marked = marked.withColumn("branch", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    within = W.partitionBy(*at, "branch")
-    merged = marked.select(*at, "token", F.array_join(F.array_sort(F.collect_set("token").over(within)), "|").alias("name"))
+    named = children.withColumn("token", F.when(F.col("n") >= LEAST_PAGES, F.col("segment")).otherwise(WILDCARD))
+    tokens = stored(named.groupBy(*at, "token").agg(*sums, F.first("prior").alias("prior")), "tokens")
+    once = stored(_apart(tokens, at, "side"), "once")
+    twice = _apart(once, [*at, "side"], "again")
+    own = (F.col("side") != 0) & (F.col("again") != 0)
+    branched = stored(twice.select(*at, "token", "side", F.when(own, F.col("token")).alias("alone")), "branches")
+    within = [*at, "side", "alone"]
+    size = branched.groupBy(*within).agg(F.count("*").alias("size"), F.min("token").alias("least"))
+    few = _same(branched, size.where(F.col("size") <= LISTED), within).groupBy(*within, "size", "least")
+    few = few.agg(F.array_join(F.array_sort(F.collect_set("token")), "|").alias("name"))
+    many = F.concat("least", F.lit("|+"), F.col("size") - 1, F.lit("|"), F.col("side"))
+    names = stored(few.unionByName(size.where(F.col("size") > LISTED).withColumn("name", many)), "names")
+    merged = stored(_same(branched, names, within).select(*at, "token", "name"), "merged")
     # one row per child that stays, and the wildcard's name for all the others
     wild = merged.where(F.col("token") == WILDCARD).select(*at, F.col("name").alias("rest"))
     fixed = merged.where(F.col("token") != WILDCARD).select(*at, F.col("token").alias("segment"), "name")
@@ -98,21 +116,26 @@ def templates(urls: DataFrame) -> DataFrame:
     sums = urls.groupBy("host").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
     priors = stored(sums.select("host", _smooth(F.col("g"), F.col("l"), overall).alias("prior")), "hosts")
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    rest = F.when(F.size(parts) > DEPTH, F.array(F.lit(WILDCARD))).otherwise(F.array())
     nodes = stored(
         urls.join(priors, "host")
-        .withColumn("segments", F.concat(F.slice(parts, 1, DEPTH), rest))
+        .withColumn("segments", parts)
         .withColumn("template", F.lit("")),
         "urls",
     )
-    done = []
-    for depth in range(DEPTH + 1):
+    done, depth = [], 0
+    while True:
         done.append(nodes.where(F.size("segments") == depth))
-        if nodes.where(F.size("segments") > depth).isEmpty():
+        longer = nodes.where(F.size("segments") > depth)
+        pages = longer.groupBy("host", "template").agg(F.sum("n").alias("pages"))
+        longer = stored(longer.join(pages, ["host", "template"]), "longer")
+        # all children of a small node are rare, down to the ends of its paths
+        rest = F.concat("template", F.repeat(F.lit(f"/{WILDCARD}"), F.size("segments") - depth))
+        done.append(longer.where(F.col("pages") < LEAST_PAGES).withColumn("template", rest).drop("pages"))
+        nodes = longer.where(F.col("pages") >= LEAST_PAGES).drop("pages")
+        if nodes.isEmpty():
             break
-        nodes = _grown(nodes.where(F.size("segments") > depth), depth)
-    else:
-        done.append(nodes)
+        nodes = _grown(nodes, depth)
+        depth += 1
     leaves = done[0]
     for d in done[1:]:
         leaves = leaves.unionByName(d)

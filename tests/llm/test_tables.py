@@ -158,6 +158,27 @@ def test_templates_are_judged_by_their_labels(spark):
     assert {found[1000 + k]["template"] for k in range(90)} == {"/a|b|c/*"}  # alike branches merge
 
 
+def test_small_sections_of_a_large_host_are_judged_alone(spark):
+    """One bad section among a hundred of one size, and bad pages below the eighth segment."""
+    rows = [(k, f"http://large.test/s{k % 100:02}/{k}", k % 100 != 7) for k in range(3000)]
+    deep = "/".join("abcdefghij")
+    rows += [(5000 + k, f"http://deep.test/{deep}/{'bad' if k % 4 == 0 else 'good'}/{k}", k % 4 != 0) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good boolean")
+    found = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert {k for k in range(3000) if found[k]["verdict"] == "block"} == set(range(7, 3000, 100))
+    assert {found[k]["template"] for k in range(7, 3000, 100)} == {"/s07/*"}
+    assert {k for k in range(400) if found[5000 + k]["verdict"] == "block"} == set(range(0, 400, 4))
+    assert found[5000]["template"] == f"/{deep}/bad/*"
+
+
+def test_sections_between_good_and_bad_do_not_chain(spark):
+    """Sections of every purity from 0 to 1: neighbours are alike, the ends are not."""
+    rows = [(k * 40 + j, f"http://range.test/s{k:02}/{j}", j < k) for k in range(41) for j in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good boolean")
+    found = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
+    assert found[0] == "block" and found[40 * 40] == "allow"
+
+
 def test_labels_come_by_the_number_in_the_path(spark):
     pages = spark.createDataFrame([(1, "http://h.test/en/7.html?x=9"), (2, "http://h.test/en/8/"), (3, "http://h.test/99999999999999999999"), (4, None), (5, "http://h.test/5")], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (8, 1, 1), (5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
