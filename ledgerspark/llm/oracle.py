@@ -69,5 +69,79 @@ FROM documents d LEFT JOIN sums USING (doc_id)
 """
 
 
+_MERKLE = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, k + 1
+  FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+coded AS (
+  SELECT doc_id, lang, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-')
+         || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+         coalesce(strlen(text) || ':' || text, '-') AS back,
+         coalesce(xor(4294967295, list_reduce(
+           [4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 7 = 0, FALSE) AS tampered
+  FROM documents, crc),
+hashed AS (
+  SELECT doc_id, lang,
+         sha256(front || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || back) AS leaf,
+         CASE WHEN tampered AND n_chars IS NOT NULL
+              THEN sha256(front || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || back) END AS changed
+  FROM coded),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed),
+nodes AS (
+  SELECT tree, 0 AS level, place, n, leaf AS hash FROM leaves
+  UNION ALL
+  SELECT a.tree, a.level + 1, a.place // 2, (a.n + 1) // 2, sha256(a.hash || coalesce(b.hash, ''))
+  FROM nodes a LEFT JOIN nodes b ON a.tree = b.tree AND b.place = a.place + 1
+  WHERE a.n > 1 AND a.place % 2 = 0),
+subroots AS (SELECT tree, hash AS subroot FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, tree AS place, count(*) OVER () AS n, subroot AS hash FROM subroots
+  UNION ALL
+  SELECT a.level + 1, a.place // 2, (a.n + 1) // 2, sha256(a.hash || coalesce(b.hash, ''))
+  FROM tops a LEFT JOIN tops b ON b.place = a.place + 1
+  WHERE a.n > 1 AND a.place % 2 = 0),
+heights AS (SELECT DISTINCT tree, level FROM nodes WHERE n > 1),
+low AS (
+  SELECT l.tree, l.place, list(
+    CASE WHEN s.hash IS NULL THEN 'none' WHEN s.place % 2 = 1 THEN 'next' || s.hash ELSE 'last' || s.hash END
+    ORDER BY h.level) AS steps
+  FROM leaves l JOIN heights h ON h.tree = l.tree
+  LEFT JOIN nodes s ON s.tree = l.tree AND s.level = h.level AND s.place = xor(l.place >> h.level, 1)
+  GROUP BY ALL),
+high AS (
+  SELECT r.tree, list(
+    CASE WHEN s.hash IS NULL THEN 'none' WHEN s.place % 2 = 1 THEN 'next' || s.hash ELSE 'last' || s.hash END
+    ORDER BY h.level) AS steps
+  FROM subroots r, (SELECT DISTINCT level FROM tops WHERE n > 1) h
+  LEFT JOIN tops s ON s.level = h.level AND s.place = xor(r.tree >> h.level, 1)
+  GROUP BY ALL),
+proofs AS (
+  SELECT doc_id, leaf, changed, subroot,
+         (SELECT hash FROM tops WHERE n = 1) AS root,
+         coalesce(low.steps, []) || coalesce(high.steps, []) AS steps
+  FROM leaves l JOIN subroots USING (tree)
+  LEFT JOIN low ON low.tree = l.tree AND low.place = l.place
+  LEFT JOIN high ON high.tree = l.tree),
+folded AS (
+  SELECT *, list_reduce([coalesce(changed, leaf)] || steps, lambda node, step: sha256(
+    CASE step[:4] WHEN 'next' THEN node || step[5:] WHEN 'last' THEN step[5:] || node ELSE node END)) AS folded_root
+  FROM proofs)
+SELECT doc_id, leaf, subroot, root,
+       sha256(array_to_string(list_transform(steps, lambda s: s[5:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM folded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": _SUBSTRINGS, "op7_mix_sources": _MIX}
+    return {"op3_substring_dedup": _SUBSTRINGS, "op7_mix_sources": _MIX, "op12_merkle_manifest": _MERKLE}
