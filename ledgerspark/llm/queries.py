@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import fertility, katz, media, mixing, pieces, quality, sharding, simhash, substrings, urls
+from ledgerspark.llm import conversations, fertility, katz, media, merkle, mixing, packing, pieces, quality, sharding, simhash, substrings, urls
 from ledgerspark.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_katz_scores": op1_katz_scores,
@@ -63,4 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_shard_linked": op8_shard_linked,
         "op9_url_templates": op9_url_templates,
         "op10_piece_codec": op10_piece_codec,
+        "op11_best_two_fit": op11_best_two_fit,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_repair_turns": op13_repair_turns,
     }
