@@ -83,6 +83,19 @@ def test_documents_are_packed(docs):
     assert len(held) <= 1.02 * -(-sum(lengths) // packing.CAPACITY) + 1
 
 
+def test_ids_are_those_of_tokenizers():
+    with open(packing.VOCABULARY, "rb") as f:
+        own = packing.tokenizer(f.read())
+    tok = Tokenizer.from_file(packing.VOCABULARY)
+    tok.encode_special_tokens = True
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c} 1{c}'s{c}. {c}{c}\n{c}x  {c}" for c in chars]
+    texts += [" " * 70_000, "\n \t" * 9_000, "a" * 70_000, "<|endoftext|> it's we'LL", "ab c" * 20_000]
+    for k in range(0, len(texts), 5000):
+        part = texts[k : k + 5000]
+        assert [own.encode_ordinary(t) for t in part] == [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+
+
 def test_odd_rows(odd, clashing, none):
     for df in (odd, clashing):
         check(df, packing.pack(df, capacity=64).collect(), 64)
