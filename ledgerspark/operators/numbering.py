@@ -83,8 +83,20 @@ def numbered_in_order(
     return with_position(rows, spark.read.parquet(f"{path}/segments"), name)
 
 
-# Hex digits of a SHA-256 id that split every group, whatever its size: 256 even parts.
+# Hex digits of a SHA-256 id that split a group at least: 256 even parts.
 ID_PREFIX_DIGITS = 2
+MOST_IN_PREFIX = 1 << 20  # rows that one task numbers
+
+
+def prefix_digits(rows: int, most: int = MOST_IN_PREFIX) -> int:
+    """Hex digits that split a group of ``rows`` SHA-256 ids into parts of about ``most`` or fewer.
+
+    Digests spread evenly, so every prefix of one length holds about as many ids.
+    """
+    digits = ID_PREFIX_DIGITS
+    while rows > most * 16**digits:
+        digits += 1
+    return digits
 
 
 def numbered_by_hash_id(

@@ -21,7 +21,7 @@ from ledgerspark.functions.predicates import (
 )
 from ledgerspark.functions.text import utf16_units
 from ledgerspark.operators.contract import long_counts
-from ledgerspark.operators.warehouse import DIMENSIONS, canonical_descriptions, resolve_keys
+from ledgerspark.operators.warehouse import DIMENSIONS, resolve_keys
 from ledgerspark.schema import (
     ACCEPT,
     ACCEPT_FLAGGED,
@@ -30,6 +30,7 @@ from ledgerspark.schema import (
     NULLABLE_TEXT,
     QUALITY_FLAGS,
     TEXT_LIMITS,
+    UNKNOWN_DESCRIPTION,
 )
 from ledgerspark.sources.accepted import ROW_ID
 
@@ -321,9 +322,21 @@ def core_line_reconciliation(staging: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def canonical_product_mismatch(staging: DataFrame, dim_product: DataFrame) -> DataFrame:
-    """Stored descriptions against an independent recomputation, in both directions."""
-    expected = canonical_descriptions(staging).select(
-        "stock_code", F.col("description").alias("_expected"), F.lit(True).alias("_e")
+    """Stored descriptions against an independent recomputation, in both directions.
+
+    The loader takes a minimum of merged counts; here both tiers' lines are counted apart
+    and ranked by a window over the (code, description) pairs, which are few per code.
+    """
+    lines = staging.filter(F.col("description").isNotNull() & F.col("classification").isin(*ACCEPTED_CLASSES))
+    tiers = lines.filter(core_sale()).withColumn("tier", F.lit(0)).unionByName(lines.withColumn("tier", F.lit(1)))
+    counted = tiers.groupBy("stock_code", "description", "tier").agg(
+        F.count(F.lit(1)).alias("n"), F.max("invoice_datetime").alias("latest")
+    )
+    order = Window.partitionBy("stock_code").orderBy("tier", F.desc("n"), F.desc("latest"), "description")
+    first = counted.withColumn("place", F.row_number().over(order)).filter("place = 1")
+    codes = staging.groupBy("stock_code").agg(F.lit(True).alias("_e"))
+    expected = codes.join(first, "stock_code", "left").select(
+        "stock_code", F.coalesce("description", F.lit(UNKNOWN_DESCRIPTION)).alias("_expected"), "_e"
     )
     actual = dim_product.select("stock_code", "description", F.lit(True).alias("_a"))
     both = expected.join(actual, "stock_code", "full_outer")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.dates import date_key
 from ledgerspark.functions.predicates import core_sale, count_where
-from ledgerspark.operators.numbering import numbered_by_hash_id, numbered_in_order
+from ledgerspark.operators.numbering import ID_PREFIX_DIGITS, numbered_by_hash_id, numbered_in_order
 from ledgerspark.schema import ACCEPTED_CLASSES, FACT_COLUMNS, UNKNOWN_DESCRIPTION
 from ledgerspark.sources.accepted import with_partitions
 
@@ -68,23 +70,28 @@ def unknown_member(members: DataFrame) -> DataFrame:
 
 
 def description_counts(lines: DataFrame) -> DataFrame:
-    """Per (code, description): frequency and latest time over core and all accepted lines.
+    """Per (code, description), null ones too: frequency and latest time over core and all accepted lines.
 
-    Core lines are a subset of accepted lines, so both tiers come from one scan
-    and one shuffle.
+    Core lines are a subset of accepted lines, so both tiers come from one scan and one
+    shuffle. Counts of two sets of lines can be merged, see ``merged_counts``.
     """
     core = core_sale()
-    return (
-        lines.filter(
-            F.col("description").isNotNull() & F.col("classification").isin(*ACCEPTED_CLASSES)
-        )
-        .groupBy("stock_code", "description")
-        .agg(
-            count_where(core).alias("core_count"),
-            F.max(F.when(core, F.col("invoice_datetime"))).alias("core_latest"),
-            F.count(F.lit(1)).alias("all_count"),
-            F.max("invoice_datetime").alias("all_latest"),
-        )
+    accepted = F.col("classification").isin(*ACCEPTED_CLASSES)
+    return lines.groupBy("stock_code", "description").agg(
+        count_where(core & accepted).alias("core_count"),
+        F.max(F.when(core & accepted, F.col("invoice_datetime"))).alias("core_latest"),
+        count_where(accepted).alias("all_count"),
+        F.max(F.when(accepted, F.col("invoice_datetime"))).alias("all_latest"),
+    )
+
+
+def merged_counts(*counts: DataFrame) -> DataFrame:
+    """Description counts of all lines from those of parts of them."""
+    return reduce(DataFrame.unionByName, counts).groupBy("stock_code", "description").agg(
+        F.sum("core_count").alias("core_count"),
+        F.max("core_latest").alias("core_latest"),
+        F.sum("all_count").alias("all_count"),
+        F.max("all_latest").alias("all_latest"),
     )
 
 
@@ -101,19 +108,19 @@ def description_frequencies(lines: DataFrame) -> DataFrame:
         ]
     )
     return (
-        description_counts(lines)
+        description_counts(lines.filter(F.col("description").isNotNull()))
         .select("stock_code", "description", F.inline(tiers))
         .filter(F.col("occurrence_count") > 0)
     )
 
 
-def canonical_descriptions(lines: DataFrame) -> DataFrame:
+def canonical_of_counts(counts: DataFrame) -> DataFrame:
     """Best description per code: core tier, then frequency, then latest, then text.
 
     A minimum over an ordered struct replaces a ranking window: it combines on the
     map side, so a code with very many descriptions is never sorted in one task.
     A description seen on core lines only needs its core candidate, which always
-    ranks before its own all-lines candidate.
+    ranks before its own all-lines candidate. A code without any description keeps its row.
     """
     is_core = F.col("core_count") > 0
     count = F.when(is_core, F.col("core_count")).otherwise(F.col("all_count"))
@@ -127,9 +134,9 @@ def canonical_descriptions(lines: DataFrame) -> DataFrame:
         count.alias("count"),
         latest.alias("latest"),
     )
-    best = description_counts(lines).groupBy("stock_code").agg(F.min(rank).alias("best"))
-    codes = lines.select("stock_code").distinct()
-    return codes.join(best, "stock_code", "left").select(
+    named = F.col("description").isNotNull() & (F.col("all_count") > 0)
+    best = counts.groupBy("stock_code").agg(F.min(F.when(named, rank)).alias("best"))
+    return best.select(
         "stock_code",
         F.coalesce("best.description", F.lit(UNKNOWN_DESCRIPTION)).alias("description"),
         F.col("best.tier").alias("source_tier"),
@@ -138,6 +145,10 @@ def canonical_descriptions(lines: DataFrame) -> DataFrame:
     )
 
 
+def canonical_descriptions(lines: DataFrame) -> DataFrame:
+    return canonical_of_counts(description_counts(lines))
+
+
 def upsert_products(current: DataFrame | None, canonical: DataFrame, path: str) -> DataFrame:
     """Type-1 product dimension: new codes get new keys, changed texts are replaced."""
     canonical = canonical.select("stock_code", "description")
@@ -204,14 +215,18 @@ def unresolved_keys(lines: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     return wide.unpivot([], wide.columns, "dimension_name", "unresolved_rows")
 
 
-def fact_rows(lines: DataFrame, dims: dict[str, DataFrame], start: int) -> DataFrame:
+def fact_rows(
+    lines: DataFrame, dims: dict[str, DataFrame], start: int, digits: int = ID_PREFIX_DIGITS
+) -> DataFrame:
     """Fact rows of accepted lines, numbered after ``start`` by (month, row id).
 
+    ``digits`` of the ids split a month; ``prefix_digits`` gives them for its size.
+
     A key that does not resolve stops the job inside the same pass, so no line is
     ever dropped by a join and no second pass is needed to check.
     """
     numbered = numbered_by_hash_id(
-        with_partitions(lines), "source_row_id", ["year", "month"], "sales_key", start
+        with_partitions(lines), "source_row_id", ["year", "month"], "sales_key", start, digits
     )
     resolved = resolve_keys(numbered, dims)
     checked = {

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerspark.operators import contract
-from ledgerspark.operators.numbering import numbered_in_order, stored_rows, with_position
+from ledgerspark.operators.numbering import numbered_in_order
 from ledgerspark.plans import bridge
 from ledgerspark.plans.warehouse import Warehouse
 from ledgerspark.schema import ACCEPTED_COLUMNS, FIRST_ROW_NUMBER, RAW_COLUMNS, RAW_TEXT_SCHEMA
@@ -23,7 +23,13 @@ from ledgerspark.sources import storage
 from ledgerspark.sources.accepted import read_accepted, write_accepted, write_rejected
 
 LOADED_AT = datetime(2026, 1, 1)
-_RAW_STORED = T.StructType([T.StructField("source_sheet", T.StringType()), *RAW_TEXT_SCHEMA.fields])
+_RAW_STORED = T.StructType(
+    [
+        T.StructField("source_sheet", T.StringType()),
+        T.StructField("source_row_number", T.LongType()),
+        *RAW_TEXT_SCHEMA.fields,
+    ]
+)
 _SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "part")
 
 
@@ -44,30 +50,31 @@ class Layers:
         return storage.is_complete(self.spark, path)
 
     def raw(self) -> DataFrame:
-        """Raw lines with sheet and physical row number, landed in physical order."""
-        path = f"{self.root}/raw"
-        if not self._ready(f"{path}/segments"):
-            numbered_in_order(
+        """Raw lines with sheet and physical row number, landed in physical order.
+
+        The numbers follow from the ranges the lines are first sorted into; they are then
+        written down with the lines, so no reader derives them again.
+        """
+        path, sorted_path = f"{self.root}/raw", f"{self.root}/raw_sorted"
+        if not self._ready(path):
+            numbered = numbered_in_order(
                 bridge.joined_lines(self.spark, self.sf_dir),
-                path,
+                sorted_path,
                 bridge.SHEET_ORDER,
                 bridge.raw_fields(),
                 "position",
                 ["source_sheet"],
             )
-        rows = stored_rows(self.spark, f"{path}/rows", _RAW_STORED)
-        segments = self.spark.read.parquet(f"{path}/segments")
-        numbered = with_position(rows, segments, "position")
-        return numbered.select(
-            "source_sheet",
-            (F.col("position") + FIRST_ROW_NUMBER - 1).alias("source_row_number"),
-            *[F.col(f"`{c}`") for c in RAW_COLUMNS],
-        )
+            number = F.col("position") + FIRST_ROW_NUMBER - 1
+            columns = [F.col(f"`{c}`") for c in RAW_COLUMNS]
+            lines = numbered.select("source_sheet", number.alias("source_row_number"), *columns)
+            lines.write.mode("overwrite").parquet(path)
+            storage.delete(self.spark, sorted_path)
+        return self.spark.read.schema(_RAW_STORED).parquet(path)
 
     def raw_fields(self) -> DataFrame:
         """Raw lines without row numbers, for measures that need only their content."""
-        self.raw()
-        return self.spark.read.schema(_RAW_STORED).parquet(f"{self.root}/raw/rows")
+        return self.raw().drop("source_row_number")
 
     def classified(self) -> DataFrame:
         return contract.classify(self.raw(), LOADED_AT)
@@ -99,7 +106,7 @@ class Layers:
         """The star schema over the accepted dataset, which serves as its staging table."""
         self.accepted()
         store = Warehouse(self.spark, f"{self.root}/star", staging_path=self.accepted_path)
-        if not self._ready(f"{store.root}/fact_sales"):
+        if not store.snapshots.latest().version:
             store.bootstrap()
         return store
 

@@ -79,7 +79,7 @@ def lineage_violations(x: Layers) -> DataFrame:
 
 @query
 def sheet_row_reconciliation(x: Layers) -> DataFrame:
-    return source.sheet_row_counts(x.raw_fields())
+    return source.sheet_row_counts(x.raw())
 
 
 @query
@@ -285,19 +285,22 @@ def dimension_counts(x: Layers) -> DataFrame:
 
 @query
 def dim_product_upsert(x: Layers) -> DataFrame:
-    """Products of all months but the last, then brought up to date with the last one."""
+    """Products of all months but the last, then brought up to date with the last one.
+
+    The description counts of the months before are kept and merged with the last month's;
+    lines of earlier months are not read again.
+    """
     lines = x.accepted()
     low, high = _period_bounds(lines)
-    base = lines.filter(F.col("batch_month") < F.lit(high))
-    touched = months_between(lines, high, high).select("stock_code").distinct()
     path = x.scratch("dim_product_upsert")
-    old = warehouse.upsert_products(
-        None, warehouse.canonical_descriptions(base), f"{path}/old"
-    )
-    history = lines.join(touched, "stock_code", "left_semi")
-    new = warehouse.upsert_products(
-        old, warehouse.canonical_descriptions(history), f"{path}/new"
-    )
+    kept = warehouse.description_counts(lines.filter(F.col("batch_month") < F.lit(high)))
+    kept.write.parquet(f"{path}/counts")
+    kept = x.spark.read.schema(kept.schema).parquet(f"{path}/counts")
+    added = warehouse.description_counts(months_between(lines, high, high))
+    old = warehouse.upsert_products(None, warehouse.canonical_of_counts(kept), f"{path}/old")
+    touched = added.select("stock_code").distinct()
+    merged = warehouse.merged_counts(kept, added).join(touched, "stock_code", "left_semi")
+    new = warehouse.upsert_products(old, warehouse.canonical_of_counts(merged), f"{path}/new")
     before = old.select("product_key", F.col("description").alias("old_description"))
     return new.join(before, "product_key", "left").select(
         "product_key",
@@ -429,14 +432,15 @@ _REPLAYED: dict[str, Warehouse] = {}
 
 
 def _replayed(x: Layers) -> Warehouse:
-    """The history run month after month: the first, the rest in one catch-up, the last again."""
+    """The history run month after month, each behind its own gate, and the last month again."""
     if x.root not in _REPLAYED:
         lines = x.accepted()
         low, high = _period_bounds(lines)
         store = Warehouse(x.spark, x.scratch("replay"))
-        store.run(lines, low, low, high)
-        if low < high:
-            store.run(lines, next_month(low), low, high, high=high)
+        period = low
+        while period <= high:
+            store.run(lines, period, low, high)
+            period = next_month(period)
         store.run(lines, high, low, high, force=True)
         _REPLAYED[x.root] = store
     return _REPLAYED[x.root]
@@ -444,7 +448,7 @@ def _replayed(x: Layers) -> Warehouse:
 
 @query
 def replay_all_periods(x: Layers) -> DataFrame:
-    """The history replayed in consecutive runs and a forced repeat; facts by natural key."""
+    """The history replayed in one run per month and a forced repeat; facts by natural key."""
     store = _replayed(x)
     facts = warehouse.with_natural_keys(store.fact(), store.dims())
     return facts.select(

@@ -1,32 +1,42 @@
-"""A stored warehouse: staging, star schema and run log under one shared folder.
-
-Plain Parquet has no MERGE, so dimensions (small) are rewritten to a new version
-folder and facts (large) are only ever appended. A version counts once its write
-has committed; every append skips ids already present, so a failed or repeated
-run is finished by running it again.
+"""A stored warehouse: staging, star schema and run log behind published snapshots.
+
+Plain Parquet has no MERGE, so each run writes folders of its own: the lines it adds, their
+facts, the dimensions it changes (small, written whole) and what later runs need to know
+about the lines without reading them again: which row numbers they take (one bit each) and
+how often each description occurs. A run is reconciled before its snapshot is published;
+one that fails leaves readers with the former snapshot, and only folders that nobody reads.
+What a month costs therefore depends on the month and the dimensions, not on the history.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, replace
 from datetime import date, datetime, timezone
+from functools import reduce
+from uuid import uuid4
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerspark.functions.predicates import count_where
-from ledgerspark.operators import reconcile
+from ledgerspark.operators import occupancy, reconcile
+from ledgerspark.operators.numbering import prefix_digits
 from ledgerspark.operators.warehouse import (
     DIMENSIONS,
     calendar,
-    canonical_descriptions,
+    canonical_of_counts,
     date_bounds,
-    extend_members,
+    description_counts,
     fact_rows,
+    keyed_members,
     known_members,
-    upsert_products,
+    merged_counts,
+    unknown_member,
 )
+from ledgerspark.plans.snapshots import Part, Snapshot, Snapshots, month_key, overlapping
 from ledgerspark.schema import (
     ACCEPTED_SCHEMA,
     ACCEPTED_TABLE_SCHEMA,
@@ -42,106 +52,225 @@ from ledgerspark.sources.accepted import (
     inspect_periods,
     next_month,
 )
+from ledgerspark.sources.raw import source_row_id
 
 
 class Warehouse:
+    """``staging_path`` names accepted lines that serve as staging without being copied."""
+
     def __init__(self, spark: SparkSession, root: str, staging_path: str | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.staging_path = staging_path or f"{self.root}/staging"
+        self.staging_path = staging_path
+        self.snapshots = Snapshots(spark, self.root)
 
     # -- tables ----------------------------------------------------------------
 
-    def _stored(self, path: str, schema) -> DataFrame | None:
-        if not storage.is_complete(self.spark, path):
-            return None
-        return self.spark.read.schema(schema).parquet(path)
-
-    def staging(self) -> DataFrame | None:
-        return self._stored(self.staging_path, ACCEPTED_TABLE_SCHEMA)
-
-    def fact(self) -> DataFrame | None:
-        return self._stored(f"{self.root}/fact_sales", FACT_TABLE_SCHEMA)
+    def snapshot(self) -> Snapshot:
+        """What readers see now."""
+        found = self.snapshots.latest()
+        if not found.version and self.staging_path and storage.is_complete(self.spark, self.staging_path):
+            found = replace(found, staging=(self._part(self.staging_path, ACCEPTED_TABLE_SCHEMA),))
+        return found
+
+    def _read(self, paths: list[str], schema: StructType) -> DataFrame | None:
+        """Folders ``run=...`` of one table are read as its partitions, others each by itself."""
+        tables: dict[str, list[str]] = {}
+        for path in paths:
+            base, _, last = path.rpartition("/")
+            tables.setdefault(base if last.startswith("run=") else path, []).append(path)
+        frames = []
+        for base, folders in tables.items():
+            if folders == [base]:
+                frames.append(self.spark.read.schema(schema).parquet(base))
+                continue
+            runs = StructType([*schema.fields, StructField("run", StringType())])
+            table = self.spark.read.schema(runs).option("basePath", base).parquet(*folders)
+            frames.append(table.select(*schema.names))
+        return reduce(DataFrame.unionByName, frames) if frames else None
+
+    def staging(self, at: Snapshot | None = None) -> DataFrame | None:
+        return self._read([p.path for p in (at or self.snapshot()).staging], ACCEPTED_TABLE_SCHEMA)
+
+    def fact(self, at: Snapshot | None = None) -> DataFrame | None:
+        return self._read([p.path for p in (at or self.snapshot()).facts], FACT_TABLE_SCHEMA)
+
+    def _months(self, parts: tuple[Part, ...], schema: StructType, low: date, high: date) -> DataFrame:
+        """Lines of some months; only folders of runs that brought such lines are listed."""
+        paths = [p.path for p in overlapping(parts, low, high)]
+        found = self._read(paths, schema) if paths else self.spark.createDataFrame([], schema)
+        return months_between(found, low, high)
 
     def run_log(self) -> DataFrame:
-        log = self._stored(f"{self.root}/run_log", RUN_LOG_SCHEMA)
-        return self.spark.createDataFrame([], RUN_LOG_SCHEMA) if log is None else log
-
-    def _versions(self, name: str) -> list[int]:
-        base = f"{self.root}/{name}"
-        return [
-            int(child[1:])
-            for child in storage.children(self.spark, base)
-            if child.startswith("v") and storage.is_complete(self.spark, f"{base}/{child}")
+        rows = [
+            (date.fromisoformat(p), n, inserted, passed, datetime.fromisoformat(at))
+            for p, n, inserted, passed, at in self.snapshot().log
         ]
-
-    def dim(self, name: str) -> DataFrame | None:
-        versions = self._versions(name)
-        if not versions:
-            return None
-        return self.spark.read.parquet(f"{self.root}/{name}/v{max(versions):05d}")
-
-    def dims(self) -> dict[str, DataFrame]:
-        return {name: self.dim(name) for name in DIMENSIONS}
-
-    def _next_version(self, name: str) -> str:
-        return f"{self.root}/{name}/v{max(self._versions(name), default=0) + 1:05d}"
-
-    def _work(self, name: str) -> str:
-        return f"{self.root}/_new/{name}/{len(self._versions(name))}"
+        return self.spark.createDataFrame(rows, RUN_LOG_SCHEMA)
+
+    def dim(self, name: str, at: Snapshot | None = None) -> DataFrame | None:
+        found = (at or self.snapshot()).dims.get(name)
+        return self.spark.read.parquet(found[0]) if found else None
+
+    def dims(self, at: Snapshot | None = None) -> dict[str, DataFrame]:
+        at = at or self.snapshot()
+        return {name: self.dim(name, at) for name in DIMENSIONS}
+
+    def _folder(self, table: str = "runs") -> str:
+        """A run's own folder, as a partition of ``table``."""
+        return f"{self.root}/{table}/run={uuid4().hex}"
+
+    def _part(self, path: str, schema: StructType, **known) -> Part:
+        """Rows per month of a folder, from the file footers."""
+        rows = self._read([path], schema).groupBy("year", "month").count().collect()
+        return Part(path, {f"{r.year}-{r.month}": r["count"] for r in rows}, **known)
+
+    def vacuum(self) -> list[str]:
+        """Delete the folders of runs that the published snapshot does not name; for idle times."""
+        used, gone = repr(asdict(self.snapshot())), []
+        for table in ("runs", "staging", "occupied", "fact_sales"):
+            runs = storage.children(self.spark, f"{self.root}/{table}")
+            gone += [f"{self.root}/{table}/{run}" for run in runs if f"/{table}/{run}" not in used]
+        for path in gone:
+            storage.delete(self.spark, path)
+        return gone
 
     # -- loads -----------------------------------------------------------------
 
     def load_staging(self, lines: DataFrame) -> dict[str, int]:
-        """Append accepted lines whose id is not staged yet; a broken line fails the load.
+        """Append accepted lines whose id is not staged yet; a broken line fails the load."""
+        draft, counts = self._load(self.snapshot(), lines)
+        self.snapshots.publish(draft)
+        return counts
 
-        The counters come from file footers and one aggregate; the lines
-        themselves are shuffled once, for the anti join.
-        """
+    def _load(self, draft: Snapshot, lines: DataFrame) -> tuple[Snapshot, dict[str, int]]:
         lines = lines.select(*[f.name for f in ACCEPTED_SCHEMA.fields])
         assert_signature(lines.schema, ACCEPTED_SCHEMA, "lines to load")
-        checked = (
-            lines.select("source_row_id", (reconcile.load_violations() != "").alias("broken"))
+        foreign = F.col("source_row_id") != source_row_id(F.col("source_sheet"), F.col("source_row_number"))
+        per_id = (
+            lines.select(
+                "source_row_id",
+                "source_sheet",
+                "source_row_number",
+                (reconcile.load_violations() != "").alias("broken"),
+                foreign.alias("foreign"),
+            )
             .groupBy("source_row_id")
-            .agg(F.count(F.lit(1)).alias("n"), count_where(F.col("broken")).alias("broken"))
             .agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("processed"),
-                F.coalesce(F.sum("broken"), F.lit(0)).alias("broken"),
-                count_where(F.col("n") > 1).alias("repeated"),
+                F.count(F.lit(1)).alias("n"),
+                count_where(F.col("broken")).alias("broken"),
+                count_where(F.col("foreign")).alias("foreign"),
+                F.min("source_sheet").alias("sheet"),
+                F.min("source_row_number").alias("number"),
             )
-            .first()
         )
-        if checked.broken or checked.repeated:
-            raise ValueError(
-                f"Load refused: {checked.broken} lines break the contract, "
-                f"{checked.repeated} ids repeat."
-            )
-        staged = self.staging()
-        before = 0 if staged is None else staged.count()
-        new = lines
-        if staged is not None:
-            new = lines.join(staged.select("source_row_id"), "source_row_id", "left_anti")
-            new = new.select(*lines.columns)
-        if checked.processed:
-            append_by_month(new, self.staging_path)
-        after = self.staging().count()
-        inserted = after - before
-        return {
-            "processed": checked.processed,
+        sheets = per_id.groupBy("sheet").agg(
+            F.sum("n").alias("processed"),
+            F.sum("broken").alias("broken"),
+            F.sum("foreign").alias("foreign"),
+            count_where(F.col("n") > 1).alias("repeated"),
+            F.min("number").alias("low"),
+            F.max("number").alias("high"),
+        ).collect()  # one row per sheet
+        processed, broken, odd, repeated = (
+            sum(r[c] for r in sheets) for c in ("processed", "broken", "foreign", "repeated")
+        )
+        if broken or repeated:
+            raise ValueError(f"Load refused: {broken} lines break the contract, {repeated} ids repeat.")
+        before, inserted = draft.staging_rows, 0
+        if processed:
+            bounds = {r.sheet: (r.low, r.high) for r in sheets}
+            draft = self._indexed(draft)
+            path = self._folder("staging")
+            append_by_month(self.unstaged(draft, lines, bounds, odd), path)
+            part = self._part(path, ACCEPTED_TABLE_SCHEMA)
+            inserted = part.rows
+            if inserted:
+                draft = self._with_staged(draft, part)
+        counts = {
+            "processed": processed,
             "inserted": inserted,
-            "skipped_existing": checked.processed - inserted,
-            "staging_rows": after,
+            "skipped_existing": processed - inserted,
+            "staging_rows": before + inserted,
         }
+        return draft, counts
+
+    def unstaged(
+        self, at: Snapshot, lines: DataFrame, bounds: dict[str, tuple[int, int]], foreign: int = 0
+    ) -> DataFrame:
+        """Lines whose id is not staged, by the row numbers taken; staged lines are not read.
 
-    def _store_dim(self, name: str, rows: DataFrame) -> int:
-        rows.write.mode("overwrite").parquet(self._next_version(name))
-        return self.dim(name).count()
+        ``bounds`` are the lines' row numbers per sheet: parts that have none of them are
+        not opened. An id that is not the digest of its sheet and row number (``foreign``
+        counts such lines) is not in the index, so where there are any, on either side,
+        the ids themselves are compared as well.
+        """
 
-    def _upsert_dates(self, bounds: DataFrame) -> dict[str, int]:
+        def meets(part: Part) -> bool:
+            return any(
+                sheet in part.sheets and part.sheets[sheet][0] <= high and low <= part.sheets[sheet][1]
+                for sheet, (low, high) in bounds.items()
+            )
+
+        new = lines
+        index = self._read([p.occupied for p in at.staging if meets(p)], occupancy.OCCUPIED_SCHEMA)
+        if index is not None:
+            new = occupancy.unoccupied(lines, occupancy.within(index, bounds))
+        others = [p.path for p in at.staging if foreign or p.foreign]
+        if others:
+            # A foreign line may stand at a row number that another id takes: only ids decide.
+            ids = self._read(others, ACCEPTED_TABLE_SCHEMA).select("source_row_id")
+            new = (new if not foreign else lines).join(ids, "source_row_id", "left_anti")
+        return new.select(*lines.columns)
+
+    def _with_staged(self, draft: Snapshot, part: Part) -> Snapshot:
+        """``draft`` with a part of staged lines, their row numbers and their descriptions."""
+        counts = description_counts(self._read([part.path], ACCEPTED_TABLE_SCHEMA))
+        if draft.descriptions:
+            counts = merged_counts(self.spark.read.parquet(draft.descriptions), counts)
+        path = f"{self._folder()}/descriptions"
+        counts.write.parquet(path)
+        return replace(draft, staging=(*draft.staging, self._occupied(part)), descriptions=path)
+
+    def _occupied(self, part: Part) -> Part:
+        path = self._folder("occupied")
+        lines = self._read([part.path], ACCEPTED_TABLE_SCHEMA)
+        own = F.col("source_row_id") == source_row_id(F.col("source_sheet"), F.col("source_row_number"))
+        occupancy.occupied(lines.filter(own)).write.parquet(path)
+        index = self._read([path], occupancy.OCCUPIED_SCHEMA)
+        found = index.groupBy("source_sheet").agg(
+            F.min("word").alias("low"), F.max("word").alias("high"), F.sum(F.bit_count("bits")).alias("n")
+        ).collect()  # one row per sheet
+        sheets = {r.source_sheet: [r.low << 6, (r.high << 6) + 63] for r in found}
+        return replace(part, occupied=path, sheets=sheets, foreign=part.rows - sum(r.n for r in found))
+
+    def _indexed(self, draft: Snapshot) -> Snapshot:
+        """``draft`` with an index for lines that were given as staging and never loaded."""
+        if all(p.occupied for p in draft.staging):
+            return draft
+        staging = tuple(p if p.occupied else self._occupied(p) for p in draft.staging)
+        return self._described(replace(draft, staging=staging))
+
+    def _described(self, draft: Snapshot) -> Snapshot:
+        """``draft`` with description counts of all its staged lines."""
+        if draft.descriptions or not draft.staging:
+            return draft
+        path = f"{self._folder()}/descriptions"
+        description_counts(self.staging(draft)).write.parquet(path)
+        return replace(draft, descriptions=path)
+
+    # -- dimensions and facts ----------------------------------------------------
+
+    def _store_dim(self, name: str, rows: DataFrame, folder: str) -> tuple[str, int]:
+        path = f"{folder}/{name}"
+        rows.write.parquet(path)
+        return path, self.spark.read.parquet(path).count()
+
+    def _upsert_dates(self, draft: Snapshot, folder: str, bounds: DataFrame):
         """Extend the calendar without a hole: it goes on from the last day it has."""
-        known, before = self.dim("dim_date"), 0
+        known, before = self.dim("dim_date", draft), 0
         if known is not None:
-            before = known.count()
+            before = draft.dims["dim_date"][1]
             first, last = known.agg(F.min("full_date"), F.max("full_date")).first()
             due = F.least("first_date", F.date_add(F.lit(last), 1))
             until = F.greatest("last_date", F.date_sub(F.lit(first), 1))
@@ -149,80 +278,112 @@ class Warehouse:
         days = calendar(bounds)
         if known is not None:
             days = known.unionByName(days.join(known.select("full_date"), "full_date", "left_anti"))
-        return {"date_inserted": self._store_dim("dim_date", days) - before}
-
-    def _upsert_members(self, scope: DataFrame, member: str, natural: str) -> dict[str, int]:
-        name, known = f"dim_{member}", self.dim(f"dim_{member}")
-        # The UNKNOWN row of a first build is not a member of the lines.
-        before = 1 if known is None else known.count()
-        rows = extend_members(
-            known, known_members(scope, natural), f"{member}_key", self._work(name)
-        )
-        return {f"{member}_inserted": self._store_dim(name, rows) - before}
-
-    def _upsert_products(self, scope: DataFrame, whole_history: bool) -> dict[str, int]:
-        """Touched codes are ranked again over all staged history, not the new lines only."""
-        history, old = self.staging(), self.dim("dim_product")
-        if not whole_history:
-            touched = scope.select("stock_code").distinct()
-            history = history.join(touched, "stock_code", "left_semi")
-        products = upsert_products(old, canonical_descriptions(history), self._work("dim_product"))
-        total = self._store_dim("dim_product", products)
+        stored = self._store_dim("dim_date", days, folder)
+        return {"dim_date": stored}, {"date_inserted": stored[1] - before}
+
+    def _upsert_members(self, draft: Snapshot, folder: str, scope: DataFrame, member: str, natural: str):
+        """Add an UNKNOWN row at first; known keys stay, new members follow the highest key."""
+        name, key = f"dim_{member}", f"{member}_key"
+        known, members = self.dim(name, draft), known_members(scope, natural)
+        if known is None:
+            keyed = keyed_members(members, key, f"{folder}/_{name}")
+            stored = self._store_dim(name, unknown_member(keyed).unionByName(keyed), folder)
+            # The UNKNOWN row of a first build is not a member of the lines.
+            return {name: stored}, {f"{member}_inserted": stored[1] - 1}
+        fresh = members.join(known, natural, "left_anti")
+        if fresh.isEmpty():
+            return {}, {f"{member}_inserted": 0}
+        # Keys are dense from 0 (UNKNOWN), so the number of rows is the next one.
+        before = draft.dims[name][1]
+        keyed = keyed_members(fresh, key, f"{folder}/_{name}", before - 1)
+        stored = self._store_dim(name, known.unionByName(keyed), folder)
+        return {name: stored}, {f"{member}_inserted": stored[1] - before}
+
+    def _upsert_products(self, draft: Snapshot, folder: str, scope: DataFrame | None):
+        """Codes of ``scope`` (all without) are named by the maintained counts of all staged lines."""
+        counts, old = self.spark.read.parquet(draft.descriptions), self.dim("dim_product", draft)
+        if scope is not None:
+            counts = counts.join(scope.select("stock_code").distinct(), "stock_code", "left_semi")
+        canonical = canonical_of_counts(counts).select("stock_code", "description")
         if old is None:
-            return {"product_inserted": total, "product_updated": 0}
-        renamed = old.select("product_key", F.col("description").alias("_old"))
-        both = self.dim("dim_product").join(renamed, "product_key")
-        return {
-            "product_inserted": total - old.count(),
-            "product_updated": both.filter(F.col("description") != F.col("_old")).count(),
-        }
+            keyed = keyed_members(canonical, "product_key", f"{folder}/_dim_product")
+            stored = self._store_dim("dim_product", keyed, folder)
+            return {"dim_product": stored}, {"product_inserted": stored[1], "product_updated": 0}
+        before = old.select("stock_code", F.col("description").alias("_old"))
+        renamed = canonical.join(before, "stock_code", "left").filter(~F.col("description").eqNullSafe(F.col("_old")))
+        renamed.write.parquet(f"{folder}/_renamed")
+        renamed = self.spark.read.schema(renamed.schema).parquet(f"{folder}/_renamed")
+        new, updated = renamed.agg(count_where(F.col("_old").isNull()), count_where(F.col("_old").isNotNull())).first()
+        if not new and not updated:
+            return {}, {"product_inserted": 0, "product_updated": 0}
+        current = renamed.select("stock_code", F.col("description").alias("_new"))
+        rows = old.join(current, "stock_code", "left").select(
+            "product_key", "stock_code", F.coalesce("_new", "description").alias("description")
+        )
+        if new:
+            fresh = renamed.filter(F.col("_old").isNull()).select("stock_code", "description")
+            start = draft.dims["dim_product"][1]  # keys are dense from 1
+            rows = rows.unionByName(keyed_members(fresh, "product_key", f"{folder}/_dim_product", start))
+        stored = self._store_dim("dim_product", rows, folder)
+        return {"dim_product": stored}, {"product_inserted": new, "product_updated": updated}
 
     def _upsert_dimensions(
-        self, scope: DataFrame, bounds: DataFrame, whole_history: bool
-    ) -> dict[str, int]:
+        self, draft: Snapshot, scope: DataFrame, bounds: DataFrame, whole_history: bool
+    ) -> tuple[Snapshot, dict[str, int]]:
         """Extend all four dimensions with the members of ``scope`` lines.
 
         The dimensions do not depend on each other, so their jobs are submitted
         together and share the executors.
         """
+        folder = self._folder()
+        draft = self._described(draft)
         loads = (
-            (self._upsert_dates, bounds),
-            (self._upsert_members, scope, "customer", "customer_id"),
-            (self._upsert_members, scope, "country", "country"),
-            (self._upsert_products, scope, whole_history),
+            (self._upsert_dates, draft, folder, bounds),
+            (self._upsert_members, draft, folder, scope, "customer", "customer_id"),
+            (self._upsert_members, draft, folder, scope, "country", "country"),
+            (self._upsert_products, draft, folder, None if whole_history else scope),
         )
         with ThreadPoolExecutor(len(loads)) as pool:
-            done = [pool.submit(inheritable_thread_target(self.spark)(f), *a) for f, *a in loads]
-            return {k: v for future in done for k, v in future.result().items()}
-
-    def _append_facts(self, scope: DataFrame) -> dict[str, int]:
-        """Append the scope lines that have no fact yet.
+            jobs = [pool.submit(inheritable_thread_target(self.spark)(f), *a) for f, *a in loads]
+            done = [job.result() for job in jobs]
+        for stored, _ in done:
+            for name, (path, rows) in stored.items():
+                draft = draft.with_dim(name, path, rows)
+        return draft, {k: v for _, counts in done for k, v in counts.items()}
+
+    def _append_facts(
+        self, draft: Snapshot, scope: DataFrame, months: dict[str, int]
+    ) -> tuple[Snapshot, dict[str, int]]:
+        """Append the scope lines that have no fact yet; ``months`` has the scope's rows.
 
         Only facts of the scope's months can hold them, so the anti join reads those
-        folders; its result is stored, as numbering reads it twice.
+        folders; its result is stored, as numbering reads it twice. Keys follow those
+        of the snapshot, whose number it knows.
         """
-        stored, start, new = self.fact(), 0, scope
-        rows = scope.count()
-        if stored is not None:
-            start = stored.agg(F.max("sales_key")).first()[0] or 0
-            months = scope.agg(F.min("batch_month"), F.max("batch_month")).first()
-            known = months_between(stored, *months) if rows else stored.limit(0)
-            work = f"{self.root}/_new/fact_scope"
-            fresh = scope.join(known.select("source_row_id"), "source_row_id", "left_anti")
-            fresh.select(*scope.columns).write.mode("overwrite").parquet(work)
-            new = self.spark.read.schema(scope.schema).parquet(work)
-        inserted = new.count()
-        facts = fact_rows(new, self.dims(), start)
-        by_month(facts).write.mode("append").partitionBy("year", "month").parquet(
-            f"{self.root}/fact_sales"
-        )
-        return {"fact_inserted": inserted, "fact_skipped_existing": rows - inserted}
+        rows, new = sum(months.values()), scope
+        low, high = (date.fromisoformat(f"{m}-01") for m in (min(months), max(months)))
+        if overlapping(draft.facts, low, high):
+            known = self._months(draft.facts, FACT_TABLE_SCHEMA, low, high).select("source_row_id")
+            fresh = scope.join(known, "source_row_id", "left_anti").select(*scope.columns)
+            fresh_path = f"{self._folder()}/fresh"
+            fresh.write.parquet(fresh_path)
+            new = self.spark.read.schema(scope.schema).parquet(fresh_path)
+        facts = fact_rows(new, self.dims(draft), draft.fact_rows, prefix_digits(max(months.values())))
+        path = self._folder("fact_sales")
+        by_month(facts).write.partitionBy("year", "month").parquet(path)
+        part = self._part(path, FACT_TABLE_SCHEMA)
+        if part.rows:
+            draft = replace(draft, facts=(*draft.facts, part))
+        return draft, {"fact_inserted": part.rows, "fact_skipped_existing": rows - part.rows}
 
     def bootstrap(self) -> dict[str, int]:
         """Build or re-run the whole star schema from all staged lines."""
-        lines = self.staging()
-        counts = self._upsert_dimensions(lines, date_bounds(lines), whole_history=True)
-        return {**counts, **self._append_facts(lines)}
+        draft = self.snapshot()
+        lines = self.staging(draft)
+        draft, counts = self._upsert_dimensions(draft, lines, date_bounds(lines), whole_history=True)
+        draft, facts = self._append_facts(draft, lines, _rows_per_month(draft.staging))
+        self.snapshots.publish(draft)
+        return {**counts, **facts}
 
     def upsert_periods(self, low: date, high: date, source_max: date) -> dict:
         """Bring the star schema up to date for the staged months ``low`` to ``high``.
@@ -231,37 +392,47 @@ class Warehouse:
         source's final month. Several months at once give the same members as one
         by one; only the order of new surrogate keys may differ.
         """
+        draft, counts = self._upsert(self.snapshot(), low, high, source_max)
+        self.snapshots.publish(draft)
+        return counts
+
+    def _upsert(self, draft: Snapshot, low: date, high: date, source_max: date) -> tuple[Snapshot, dict]:
         if low.day != 1 or high.day != 1 or source_max.day != 1:
             raise ValueError("Periods are first-of-month dates.")
-        scope = months_between(self.staging(), low, high)
-        rows = scope.count()
-        if not rows:
+        months = _rows_per_month(draft.staging, low, high)
+        if not months:
             raise ValueError(f"No staged lines for {low} to {high}.")
+        scope = self._months(draft.staging, ACCEPTED_TABLE_SCHEMA, low, high)
         final = high == source_max
         last = F.max("invoice_datetime").cast("date") if final else F.last_day(F.lit(high))
         bounds = scope.agg(F.lit(low).alias("first_date"), last.alias("last_date"))
-        counts = self._upsert_dimensions(scope, bounds, whole_history=False)
-        facts = self._append_facts(scope)
-        return {"first_period": low, "last_period": high, "period_staging_rows": rows, **counts, **facts}
+        draft, counts = self._upsert_dimensions(draft, scope, bounds, whole_history=False)
+        draft, facts = self._append_facts(draft, scope, months)
+        rows = sum(months.values())
+        return draft, {"first_period": low, "last_period": high, "period_staging_rows": rows, **counts, **facts}
 
     # -- runs ------------------------------------------------------------------
 
-    def reconciliation(self, low: date | None = None, high: date | None = None) -> DataFrame:
-        staging, fact = self.staging(), self.fact()
+    def reconciliation(
+        self, low: date | None = None, high: date | None = None, at: Snapshot | None = None
+    ) -> DataFrame:
+        at = at or self.snapshot()
+        staging, fact = self.staging(at), self.fact(at)
         if low is not None:
-            staging, fact = months_between(staging, low, high), months_between(fact, low, high)
-        return reconcile.period_reconciliation(staging, fact, self.dims())
+            staging = self._months(at.staging, ACCEPTED_TABLE_SCHEMA, low, high)
+            fact = self._months(at.facts, FACT_TABLE_SCHEMA, low, high)
+        return reconcile.period_reconciliation(staging, fact, self.dims(at))
 
     def mark(self) -> date | None:
         """Last month of the contiguous passed prefix of the run log."""
-        row = reconcile.progress(self.run_log()).select("mark").first()
-        return row.mark if row else None
+        mark = self.snapshot().mark
+        return date.fromisoformat(mark) if mark else None
 
     def decide(self, low: date, source_min: date, source_max: date, force: bool = False) -> str:
         """Sequencing decision for a month, or an error that says what is expected."""
         mark = self.mark()
         decision = (
-            self.spark.range(1)
+            self.spark.sql("SELECT 1")
             .select(
                 reconcile.period_decision(
                     F.lit(low),
@@ -289,8 +460,9 @@ class Warehouse:
     ) -> dict:
         """Load one month, or catch up on consecutive months, behind the quality gate.
 
-        The log is written last and only after every month reconciles, so a failure
-        anywhere leaves the mark where it was; a forced re-run never moves it.
+        Lines, star schema and log are published together and only after every month
+        reconciles, so a failure anywhere leaves readers the former snapshot and its mark;
+        a forced re-run never moves the mark.
         """
         high = high or low
         decision = self.decide(low, source_min, source_max, force)
@@ -312,32 +484,54 @@ class Warehouse:
             period = next_month(period)
         if sorted(inputs) != wanted:
             raise ValueError(f"Source months {sorted(inputs)} are not {wanted}.")
-        before = self._facts_per_month(low, high)
-        staged = self.load_staging(lines)
-        built = self.upsert_periods(low, high, source_max)
-        measures = {r.period: r.asDict() for r in self.reconciliation(low, high).collect()}
-        for period in wanted:
-            if period not in measures:
-                raise ValueError(f"Period {period} has no reconciliation.")
-            reconcile.assert_period(measures[period], inputs[period])
+        draft, staged = self._load(self.snapshot(), lines)
+        facts = len(draft.facts)
+        draft, built = self._upsert(draft, low, high, source_max)
+        self.audit(draft, {period: inputs[period] for period in wanted})
         if not force:
-            after = self._facts_per_month(low, high)
-            self._log([(p, inputs[p], after.get(p, 0) - before.get(p, 0)) for p in wanted])
+            inserted = _rows_per_month(draft.facts[facts:], low, high)
+            draft = self._logged(draft, [(p, inputs[p], inserted.get(month_key(p), 0)) for p in wanted])
+        self.snapshots.publish(draft)
         return {"decision": decision, **staged, **built, "mark": self.mark()}
 
-    def _facts_per_month(self, low: date, high: date) -> dict[date, int]:
-        """Fact rows of each month, from the file footers."""
-        fact = self.fact()
-        if fact is None:
-            return {}
-        months = months_between(fact, low, high).groupBy("year", "month").count().collect()
-        return {date(int(r.year), int(r.month), 1): r["count"] for r in months}
-
-    def _log(self, months: list[tuple[date, int, int]]) -> None:
-        now = datetime.now(timezone.utc)
-        rows = [(period, n, inserted, True, now) for period, n, inserted in months]
-        log = self.spark.createDataFrame(rows, RUN_LOG_SCHEMA)
-        log.coalesce(1).write.mode("append").parquet(f"{self.root}/run_log")
+    def audit(self, at: Snapshot, inputs: dict[date, int]) -> None:
+        """Reconcile the months of a snapshot with their numbers of input lines, or raise."""
+        rows = self.reconciliation(min(inputs), max(inputs), at).collect()
+        measures = {r.period: r.asDict() for r in rows}
+        for period, n in inputs.items():
+            if period not in measures:
+                raise ValueError(f"Period {period} has no reconciliation.")
+            reconcile.assert_period(measures[period], n)
+
+    def load_batch(self, lines: DataFrame, low: date, high: date) -> None:
+        """Load lines of months that may still be arriving; published once they reconcile.
+
+        The calendar ends at the last sale so far and is carried on by the next batch.
+        """
+        draft, _ = self._load(self.snapshot(), lines)
+        draft, _ = self._upsert(draft, low, high, high)
+        months = _rows_per_month(draft.staging, low, high)
+        self.audit(draft, {date.fromisoformat(f"{m}-01"): n for m, n in months.items()})
+        self.snapshots.publish(draft)
+
+    def _logged(self, draft: Snapshot, months: list[tuple[date, int, int]]) -> Snapshot:
+        """``draft`` with passed months in its log and the mark they lead to."""
+        now = datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
+        log = (*draft.log, *((p.isoformat(), n, inserted, True, now) for p, n, inserted in months))
+        periods = [(date.fromisoformat(p), n, passed) for p, n, _, passed, _ in log]
+        kinds = "period date, input_rows long, passed boolean"
+        row = reconcile.progress(self.spark.createDataFrame(periods, kinds)).select("mark").first()
+        mark = row.mark.isoformat() if row and row.mark else None
+        return replace(draft, log=log, mark=mark)
+
+
+def _rows_per_month(parts: tuple[Part, ...], low: date | None = None, high: date | None = None) -> dict[str, int]:
+    found: dict[str, int] = {}
+    for part in parts:
+        for month, n in part.months.items():
+            if low is None or month_key(low) <= month <= month_key(high):
+                found[month] = found.get(month, 0) + n
+    return found
 
 
 def months_between(lines: DataFrame, low: date, high: date) -> DataFrame:

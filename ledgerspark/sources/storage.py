@@ -32,3 +32,27 @@ def source_stamp(spark: SparkSession, path: str) -> str:
     fs, jpath = _fs(spark, path)
     status = fs.getFileStatus(jpath)
     return f"{status.getLen()}-{status.getModificationTime()}"
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, jpath = _fs(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Create a small file; fails if there is one already."""
+    fs, jpath = _fs(spark, path)
+    stream = fs.create(jpath, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, jpath = _fs(spark, path)
+    fs.delete(jpath, True)

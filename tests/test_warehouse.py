@@ -7,7 +7,7 @@ import pytest
 from conftest import LOADED_AT
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import contract, kpi, reconcile, warehouse
+from ledgerspark.operators import contract, kpi, occupancy, reconcile, warehouse
 from ledgerspark.plans.warehouse import Warehouse
 from ledgerspark.schema import ACCEPTED_COLUMNS
 from ledgerspark.sources import accepted as sink
@@ -188,9 +188,118 @@ def test_a_failed_gate_leaves_the_mark(spark, folder, source, monkeypatch):
         with pytest.raises(ValueError, match="quality gate"):
             store.run(source, JAN, DEC, FEB)
     assert store.mark() == DEC
-    # The lines were already loaded, so finishing the month inserts nothing twice.
+    # Readers still see December alone, and finishing the month loads it whole.
+    assert {r.month for r in store.staging().select("month").distinct().collect()} == {"12"}
+    assert store.fact().count() == 2 and store.run_log().count() == 1
+    assert len(store.vacuum()) > 0 and store.fact().count() == 2
     done = store.run(source, JAN, DEC, FEB)
-    assert (done["inserted"], done["fact_inserted"], done["mark"]) == (0, 0, JAN)
+    assert (done["inserted"], done["fact_inserted"], done["mark"]) == (3, 3, JAN)
+
+
+def test_a_failing_audit_leaves_readers_the_former_snapshot(spark, folder, source, monkeypatch):
+    store, reader = Warehouse(spark, folder), Warehouse(spark, folder)
+    store.run(source, DEC, DEC, FEB)
+    before = reader.snapshot()
+    with monkeypatch.context() as patched:
+        # a fact table that lost a line does not reconcile
+        lost = lambda lines, *a, **k: warehouse.fact_rows(lines.filter("invoice_no <> '4'"), *a, **k)
+        patched.setattr("ledgerspark.plans.warehouse.fact_rows", lost)
+        with pytest.raises(ValueError, match="fact"):
+            store.run(source, JAN, DEC, FEB)
+    assert reader.snapshot() == before and reader.mark() == DEC
+    store.run(source, JAN, DEC, FEB)
+    assert reader.mark() == JAN and reader.fact().count() == 5
+
+
+def test_of_two_writers_one_is_refused(spark, folder, source):
+    store = Warehouse(spark, folder)
+    base = store.snapshot()
+    store.run(source, DEC, DEC, FEB)
+    with pytest.raises(RuntimeError, match="published meanwhile"):
+        store.snapshots.publish(base)
+
+
+def test_a_manifest_cut_short_does_not_count(spark, folder, source):
+    from ledgerspark.sources import storage
+
+    store = Warehouse(spark, folder)
+    store.run(source, DEC, DEC, FEB)
+    seen = store.snapshot()
+    storage.create_text(spark, f"{folder}/snapshots/v00000009.json", '{"version": 9, "sta')
+    assert store.snapshot() == seen
+    assert store.run(source, JAN, DEC, FEB)["mark"] == JAN
+    assert store.snapshot().version == 10
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "FileScan" in line]
+
+
+def test_a_load_reads_no_staged_line(spark, folder, source):
+    """Row numbers taken decide; parts and words that cannot matter are not read."""
+    store = Warehouse(spark, folder)
+    wanted = source.select(*ACCEPTED_COLUMNS)
+    for period in (DEC, JAN):
+        store.load_staging(wanted.filter(F.col("batch_month") == F.lit(period)))
+    bounds = {r.source_sheet: (r.low, r.high) for r in wanted.groupBy("source_sheet").agg(
+        F.min("source_row_number").alias("low"), F.max("source_row_number").alias("high")).collect()}
+    new = store.unstaged(store.snapshot(), wanted, bounds)
+    assert new.count() == wanted.filter(F.col("batch_month") == F.lit(FEB)).count() == 2
+    read = new.inputFiles()
+    assert any("/occupied/" in f for f in read) and not any("/staging/" in f for f in read)
+    index = [line for line in scans(new) if "word#" in line]
+    assert index and all("GreaterThanOrEqual(word," in line for line in index)
+    far = {sheet: (low + 10**6, high + 10**6) for sheet, (low, high) in bounds.items()}
+    assert not any("/occupied/" in f for f in store.unstaged(store.snapshot(), wanted, far).inputFiles())
+
+
+def test_ids_that_are_no_row_digest_are_compared_themselves(spark, folder, source):
+    store = Warehouse(spark, folder)
+    own = source.select(*ACCEPTED_COLUMNS).filter(F.col("batch_month") == F.lit(JAN))
+    # the same row numbers under other ids, one id being that of a line staged before
+    foreign = own.withColumn("source_row_id", F.sha2(F.concat(F.lit("other"), "source_row_id"), 256))
+    assert store.load_staging(foreign)["inserted"] == 3
+    assert store.load_staging(own)["inserted"] == 3
+    assert store.load_staging(foreign.unionByName(own))["inserted"] == 0
+    moved = own.limit(1).withColumn("source_row_number", F.col("source_row_number") + 1000)
+    assert store.load_staging(moved)["skipped_existing"] == 1
+
+
+def test_occupancy_against_sets(spark):
+    rows = [("a", n) for n in (2, 3, 63, 64, 65, 127, 128, 10**12)] + [("b", n) for n in range(2, 200, 7)]
+    df = spark.createDataFrame(rows, "source_sheet string, source_row_number long")
+    index = occupancy.occupied(df)
+    asked = spark.createDataFrame([(s, n) for s in "abc" for n in (*range(2, 210), 10**12, 10**12 + 1)], df.schema)
+    found = {tuple(r) for r in occupancy.unoccupied(asked, index).collect()}
+    assert found == {tuple(r) for r in asked.collect()} - set(rows)
+
+
+def test_a_month_costs_no_reading_of_history(spark, folder, source):
+    """Products of a month are named from maintained counts, and keys follow the snapshot's number."""
+    store = Warehouse(spark, folder)
+    for period in (DEC, JAN):
+        store.run(source, period, DEC, FEB)
+    counts = spark.read.parquet(store.snapshot().descriptions)
+    assert not any("/staging/" in f for f in warehouse.canonical_of_counts(counts).inputFiles())
+    assert {tuple(r) for r in counts.collect()} == {tuple(r) for r in warehouse.description_counts(store.staging()).collect()}
+    assert store.snapshot().fact_rows == store.fact().agg(F.max("sales_key")).first()[0] == 5
+    months = [set(p.months) for p in store.snapshot().staging]
+    assert months == [{"2009-12"}, {"2010-01"}]
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_facts_are_dense_however_deep_the_split(built, digits):
+    rows = warehouse.fact_rows(built.staging(), built.dims(), 7, digits).select("batch_month", "source_row_id", "sales_key").collect()
+    rows.sort(key=lambda r: r.sales_key)
+    assert [r.sales_key for r in rows] == list(range(8, 8 + len(LINES)))
+    assert rows == sorted(rows, key=lambda r: (r.batch_month, r.source_row_id))
+
+
+def test_prefix_digits_follow_the_rows():
+    from ledgerspark.operators.numbering import prefix_digits
+
+    assert [prefix_digits(n) for n in (0, 10**8, 10**9, 10**10, 10**12)] == [2, 2, 3, 4, 5]
 
 
 def test_broken_lines_and_repeated_ids_are_refused(spark, folder, source):
