@@ -6,6 +6,7 @@ unstripped and case-sensitive, and numbers may be any double.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerspark.functions.dates import wall_clock
+from ledgerspark.functions.frames import side_by_side
 from ledgerspark.functions.numbers import loose_double
 from ledgerspark.functions.predicates import count_where
 from ledgerspark.functions.text import is_blank, strip
@@ -92,21 +94,37 @@ def isoformat(ts: Column) -> Column:
 def sheet_summary(lines: DataFrame) -> DataFrame:
     """Rows, columns, types, date bounds and invalid dates of each sheet.
 
-    The eight columns share one type per column, so the schema texts are the same
-    for every sheet; a sheet with another header fails when it is read.
+    Sheets are united by name, so a column that a sheet does not have is null in all its
+    rows. A sheet's columns are those with a value; they are compared with the first sheet's.
     """
     types = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in lines.schema if f.name in RAW_COLUMNS)
     time = F.col("invoice_time")
     invalid = raw("InvoiceDate").isNotNull() & ~F.col("invoicedate_blank") & time.isNull()
-    return masked(lines).groupBy(F.col("source_sheet").alias("sheet_name")).agg(
+    found = masked(lines).groupBy(F.col("source_sheet").alias("sheet_name")).agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.lit(len(RAW_COLUMNS)).alias("column_count"),
+        present_columns().alias("present"),
         F.lit(types).alias("column_types"),
         isoformat(F.min(time)).alias("min_invoice_datetime"),
         isoformat(F.max(time)).alias("max_invoice_datetime"),
         count_where(invalid).alias("invalid_invoice_datetime_count"),
-        F.lit(True).alias("schema_matches_reference"),
     )
+    first = F.first("present").over(Window.orderBy("sheet_name"))  # a row per sheet
+    return found.withColumn("schema_matches_reference", F.col("present") == first).select(
+        "sheet_name",
+        "row_count",
+        F.bit_count("present").cast("int").alias("column_count"),
+        "column_types",
+        "min_invoice_datetime",
+        "max_invoice_datetime",
+        "invalid_invoice_datetime_count",
+        "schema_matches_reference",
+    )
+
+
+def present_columns() -> Column:
+    """Aggregate: one bit for each raw column that has any value."""
+    bits = [F.when(F.count(raw(c)) > 0, 1 << k).otherwise(0) for k, c in enumerate(RAW_COLUMNS)]
+    return reduce(lambda a, b: a + b, bits)
 
 
 def null_summary(lines: DataFrame) -> DataFrame:
@@ -395,16 +413,19 @@ def country_variants(lines: DataFrame) -> DataFrame:
 def duplicate_counts(lines: DataFrame) -> DataFrame:
     """Groups of lines equal in all eight columns, nulls being equal, with their first place.
 
-    The place (sheet, row) is packed into one long, because a minimum over a long is
-    hash-aggregated while one over a struct would sort every line first. The list of
-    sheets is as long as the list of sources.
+    The place (sheet, row) is one wide decimal, the sheet's rank before any row number,
+    because a minimum over it is hash-aggregated while one over a struct would sort every
+    line first. The ranked sheets are one row per source.
     """
-    names = sorted(r[0] for r in lines.select("source_sheet").distinct().collect())
-    sheet = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source_sheet"))
-    place = F.shiftleft(sheet, 44) + F.col("source_row_number")
+    sheets = lines.groupBy(F.col("source_sheet").alias("_sheet")).agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.row_number().over(Window.orderBy("_sheet")).cast("decimal(18,0)")
+    ranked = sheets.select("_sheet", rank.alias("_rank"))
+    place = (F.col("_rank") * F.lit(Decimal(10**19))).cast("decimal(38,0)") + F.col("source_row_number")
+    placed = lines.join(ranked, F.col("source_sheet").eqNullSafe(F.col("_sheet")))
     return (
-        lines.groupBy(*[raw(c) for c in RAW_COLUMNS])
-        .agg(F.count(F.lit(1)).alias("group_size"), F.min(place).alias("first_place"))
+        placed.select(*[raw(c) for c in RAW_COLUMNS], place.cast("decimal(38,0)").alias("_place"))
+        .groupBy(*[raw(c) for c in RAW_COLUMNS])
+        .agg(F.count(F.lit(1)).alias("group_size"), F.min("_place").alias("first_place"))
         .filter("group_size > 1")
     )
 
@@ -841,17 +862,24 @@ def dataset_summary(lines: DataFrame) -> DataFrame:
             )
         )
     )
-    sheets = lines.groupBy("source_sheet").agg(F.count(F.lit(1)).alias("n"))
+    sheets = lines.groupBy("source_sheet").agg(F.count(F.lit(1)).alias("n"), present_columns().alias("present"))
     names_json = F.to_json(F.array_sort(F.collect_list("source_sheet")))
-    source = sheets.agg(
-        F.count(F.lit(1)).alias("sheets"), F.sum("n").alias("rows"), names_json.alias("names")
-    ).select(
+    summed = sheets.agg(
+        F.count(F.lit(1)).alias("sheets"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        names_json.alias("names"),
+        (F.min("present") == F.max("present")).alias("identical"),
+    )
+    counted_rows = wide.select(F.col(names[("invoice", "total_rows")]).alias("combined"))
+    source = side_by_side(summed, counted_rows).select(
         F.inline(
             F.array(
                 item("source", "sheet_count", F.col("sheets")),
                 item("source", "sheet_names_json", F.col("names")),
                 item("rows", "sum_sheet_row_counts", F.col("rows")),
-                item("schema", "schemas_identical", F.lit("true")),
+                item("rows", "combined_row_count", F.col("combined")),
+                item("rows", "sheet_combined_row_count_reconciled", F.col("rows") == F.col("combined")),
+                item("schema", "schemas_identical", F.col("identical")),
                 *[
                     item("schema", f"combined_dtype::{c}", F.lit(types[c].simpleString()))
                     for c in RAW_COLUMNS

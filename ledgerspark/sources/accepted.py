@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,13 +89,33 @@ def write_rejected(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(path)
 
 
+def assert_every_signature(spark: SparkSession, path: str) -> None:
+    """Fail if any file of an accepted dataset has other columns or types.
+
+    Spark reads all footers in tasks and merges them, so a further column or another type
+    shows wherever the file lies. A column that a file lacks is null in all its rows; for
+    required columns that is counted per file.
+    """
+    try:
+        merged = spark.read.option("mergeSchema", True).parquet(path)
+    except (PySparkException, Py4JJavaError) as error:
+        raise ValueError(f"Files under {path} disagree on a column: {error}") from error
+    assert_signature(merged.drop("year", "month").schema, ACCEPTED_SCHEMA, path)
+    required = [f.name for f in ACCEPTED_SCHEMA.fields if not f.nullable]
+    holes = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required])
+    bad = read_accepted(spark, path).filter(holes).select(F.col("_metadata.file_path").alias("file"))
+    first = bad.agg(F.min("file")).first()[0]
+    if first:
+        raise ValueError(f"{first} lacks a required column or value.")
+
+
 def check_output(spark: SparkSession, path: str, max_rows: int = MAX_ROWS_PER_FILE) -> DataFrame:
     """One-row verification of an accepted dataset written with ``max_rows`` per file.
 
-    The file schema is asserted on read; ids are counted in two steps so that
+    The signature is that of every file; ids are counted in two steps so that
     uniqueness needs one shuffle with map-side combining.
     """
-    assert_signature(spark.read.parquet(path).drop("year", "month").schema, ACCEPTED_SCHEMA, path)
+    assert_every_signature(spark, path)
     lines = read_accepted(spark, path).select(
         "source_row_id", "batch_month", "year", "month", F.col("_metadata.file_path").alias("file")
     )

@@ -140,8 +140,18 @@ def validate_lineage(raw: DataFrame) -> None:
 
 
 def sheet_row_counts(raw: DataFrame) -> DataFrame:
-    """Rows per sheet and in total, counted separately and compared."""
-    per_sheet = raw.groupBy("source_sheet").agg(F.count(F.lit(1)).alias("row_count"))
+    """Rows per sheet and in total, compared with what the row numbers say.
+
+    Numbers run from the first data row without a hole, so a sheet has as many rows as its
+    last number implies; the total is counted by itself.
+    """
+    per_sheet = raw.groupBy("source_sheet").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.min("source_row_number").alias("first"),
+        F.max("source_row_number").alias("last"),
+    )
+    dense = (F.col("first") == FIRST_ROW_NUMBER) & (F.col("last") - F.col("first") + 1 == F.col("row_count"))
+    per_sheet = per_sheet.select("source_sheet", "row_count", dense.alias("reconciled"))
     total = raw.agg(F.count(F.lit(1)).alias("combined_row_count"))
     summed = per_sheet.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("sheet_row_count"))
     check = side_by_side(total, summed).select(
@@ -149,7 +159,7 @@ def sheet_row_counts(raw: DataFrame) -> DataFrame:
         F.col("combined_row_count").alias("row_count"),
         (F.col("combined_row_count") == F.col("sheet_row_count")).alias("reconciled"),
     )
-    return per_sheet.withColumn("reconciled", F.lit(True)).unionByName(check)
+    return per_sheet.unionByName(check)
 
 
 def fingerprint(df: DataFrame, columns: list[str] = RAW_COLUMNS) -> DataFrame:

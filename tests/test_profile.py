@@ -149,3 +149,24 @@ def test_approximate_quantiles_are_close(lines):
     row = profile.approximate_quantiles(lines).first()
     assert len(row.price_value) == len(profile.QUANTILES)
     assert lines.select(*[F.col(f"`{c}`") for c in RAW_COLUMNS]).columns == list(RAW_COLUMNS)
+
+
+def test_a_sheet_without_a_column_is_told_from_the_first(raw_frame):
+    whole = raw_frame({}, {"Country": None})
+    lacking = raw_frame({"Price": None}, sheet="Year 2010-2011")
+    found = {r.sheet_name: (r.column_count, r.schema_matches_reference) for r in profile.sheet_summary(whole.union(lacking)).collect()}
+    assert found == {"Year 2009-2010": (8, True), "Year 2010-2011": (7, False)}
+    rows = {(r.section, r.metric): r.value for r in profile.dataset_summary(whole.union(lacking)).collect()}
+    assert rows["schema", "schemas_identical"] == "false"
+    assert rows["rows", "combined_row_count"] == "3"
+    assert rows["rows", "sheet_combined_row_count_reconciled"] == "true"
+    alike = {(r.section, r.metric): r.value for r in profile.dataset_summary(whole).collect()}
+    assert alike["schema", "schemas_identical"] == "true"
+
+
+def test_places_of_duplicates_have_no_bound(raw_frame):
+    far = raw_frame({}, {"Quantity": "8"}, numbers=[2**62, 2**62 + 1])
+    near = raw_frame({"Quantity": "8"}, {}, sheet="Year 2010-2011")
+    examples = [r for r in profile.duplicate_groups(near.union(far)).collect() if r.record_type == "example"]
+    # the first sheet's rows decide, however high their numbers
+    assert [r.Quantity for r in sorted(examples, key=lambda r: r.example_rank)] == ["4", "8"]

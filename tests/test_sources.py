@@ -6,6 +6,7 @@ import pytest
 from conftest import LOADED_AT, SOUND
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerspark.operators import contract
 from ledgerspark.operators.numbering import numbered_by_hash_id, numbered_in_order
@@ -214,3 +215,39 @@ def test_csv_records_are_whole(spark, folder):
     for name, bad in (("long", "1,A,x,2,2010-01-02,1.5,7,Norway,ninth"), ("short", "1,A")):
         with pytest.raises(Exception, match="MALFORMED|malformed"):
             read_raw(spark, {"S": _sheet(f"{folder}/{name}", bad)}, fmt="csv").collect()
+
+
+def odd_file(spark, folder, change):
+    """An accepted dataset of many files, one of which, in its last month, is changed."""
+    types = T.StructType([T.StructField("source_sheet", T.StringType()), T.StructField("source_row_number", T.LongType()), *RAW_TEXT_SCHEMA.fields])
+    rows = [
+        ("S", k, str(k), "X", "thing", "1", f"20{9 + k // 12:02d}-{k % 12 + 1:02d}-05 10:00:00", "2.5", "20417", "Norway")
+        for k in range(2, 30)
+    ]
+    lines = contract.accepted_lines(contract.classify(spark.createDataFrame(rows, types), LOADED_AT))
+    sink.write_accepted(lines, f"{folder}/accepted", folder)
+    path = f"{folder}/accepted/year=2011/month=06"
+    one = spark.read.schema(lines.schema).parquet(path)
+    change(one).coalesce(1).write.mode("append").parquet(path.replace("year=2011/month=06", "year=2011/month=07"))
+    return f"{folder}/accepted"
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda df: df.withColumn("added", F.lit(1)),
+        lambda df: df.withColumn("quantity", F.col("quantity").cast("string")),
+        lambda df: df.drop("stock_code"),
+    ],
+)
+def test_one_odd_file_among_many_is_found(spark, folder, change):
+    path = odd_file(spark, folder, change)
+    with pytest.raises(ValueError):
+        sink.check_output(spark, path)
+
+
+def test_sheet_rows_are_reconciled_with_their_numbers(spark):
+    rows = [("A", 2), ("A", 3), ("B", 2), ("B", 4), ("C", 3)]
+    raw = spark.createDataFrame(rows, "source_sheet string, source_row_number long")
+    found = {r.source_sheet: r.reconciled for r in sheet_row_counts(raw).collect()}
+    assert found == {"A": True, "B": False, "C": False, "ALL SHEETS": True}
