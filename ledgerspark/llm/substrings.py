@@ -30,9 +30,9 @@ from ledgerspark.llm.words import hashes, joined, mixed, raw, slices, split, str
 
 WINDOW = 13
 RUN = 2
-SHARE = 24_000_000  # bytes of packed words meant for one bucket
-ROOM = 96_000_000  # bytes of packed words that a task sorts in memory
-FLUSH = 48_000_000  # bytes that a task packs before it sends its blocks
+SHARE = 12_000_000  # bytes of packed words meant for one bucket
+ROOM = 48_000_000  # bytes of packed words that a task sorts in memory
+FLUSH = 24_000_000  # bytes that a task packs before it sends its blocks
 SPREAD = 3  # packed words are about so many times the text
 
 

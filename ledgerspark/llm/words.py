@@ -65,7 +65,12 @@ def hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarra
     inside = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
     with np.errstate(over="ignore"):
         bytes_ = data[np.repeat(starts, sizes) + inside].astype(np.uint64) + np.uint64(1)
-        sums = np.add.reduceat(bytes_ * _POWERS[inside % len(_POWERS)], firsts)
+        bytes_ *= _POWERS[inside % len(_POWERS)]
+        if (longest := int(sizes.max())) > len(_POWERS):  # further powers for the bytes beyond the table
+            further = np.cumprod(np.full(longest // len(_POWERS), _POWERS[-1]))
+            far = np.flatnonzero(inside >= len(_POWERS))
+            bytes_[far] *= further[inside[far] // len(_POWERS) - 1]
+        sums = np.add.reduceat(bytes_, firsts)
         return mixed(sums + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -2,11 +2,15 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import katz, nearcopies, simhash, substrings
 from ledgerspark.llm.words import hashes, raw, split
@@ -246,9 +250,14 @@ def test_words_in_bytes():
     assert len(np.unique(hashes(data, starts, stops))) == len(words)
 
 
+def shingles(text, width=5):
+    words = text.encode().lower().split()
+    return [b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
+
+
 def plain_copies(docs):
     """Component of each row by the Jaccard similarity of all pairs of five-word sets."""
-    sets = [frozenset(nearcopies.shingles((t or "").encode())) for _, t in docs]
+    sets = [frozenset(shingles(t or "")) for _, t in docs]
     distinct = list(dict.fromkeys(sets))
     root = {s: s for s in distinct}
 
@@ -286,6 +295,68 @@ def test_near_copies_against_all_pairs(spark, docs, options):
     assert {c for i, c in want if i >= 2000} == {2000}
 
 
+def crowd(spark):
+    """Copies of one text with ever more changes: some near its middle, some near only to few others."""
+    rnd, rows = random.Random(3), []
+    base = [f"c{k}" for k in range(150)]
+    for k in range(260):
+        w = list(base)
+        for _ in range(k // 26):
+            w[rnd.randrange(150)] = f"x{k if k % 3 else k // 9}"
+        rows.append((3000 + k, " ".join(w)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("most", [40, 2048])
+def test_crowds_of_near_copies(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(nearcopies, "MOST", most)
+    df = docs.select("doc_id", "text").where("doc_id < 50").union(crowd(spark))
+    want = in_order(plain_copies(rows_of(df, "doc_id", "text")))
+    assert in_order(rows_of(nearcopies.near_copies(df), "doc_id", "component_id")) == want
+    assert len({c for i, c in want if i >= 3000}) > 20
+
+
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark):
+    met = nearcopies._met(nearcopies._prefixes(crowd(spark), np.array([], np.int64)).withColumnRenamed("doc_id", "first"))
+    rows = met.select("shingle", "node", "n", "place", F.col("node").alias("root"), F.lit(1).alias("parts"), F.lit(0).alias("part"))
+    sketches = nearcopies._prefixes(crowd(spark), np.array([], np.int64)).select("node", "sketch")
+    members = rows.select("node").distinct().count()
+    rows = rows.join(sketches, "node")
+    assert nearcopies._candidates(rows, True).count() <= rows.select("shingle").distinct().count() * members
+    # far fewer come out than meet
+    assert nearcopies._candidates(rows, False).count() < 0.6 * members * (members - 1) / 2
+
+
+def test_sketches_lose_no_pair():
+    rnd = random.Random(5)
+    for _ in range(300):
+        one = rnd.sample(range(10**9), rnd.randint(1, 400))
+        two = [*one[rnd.randint(0, len(one) // 9 + 1) :], *rnd.sample(range(10**9), rnd.randint(0, len(one) // 9 + 1))] or [1]
+        a, b = (np.unique(np.array(x, np.int64)) for x in (one, two))
+        if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+            w1, w2 = (nearcopies._words(pa.array([nearcopies._sketch(x, nearcopies.BITS)]))[0] for x in (a, b))
+            assert nearcopies._near(len(a), w1, len(b), w2)
+            w1, w2 = map(nearcopies._wide, (a, b))
+            size = min(len(w1), len(w2))
+            assert nearcopies._near(len(a), nearcopies._folded(w1, size), len(b), nearcopies._folded(w2, size))
+
+
+def test_long_words_have_hashes_of_their_own():
+    a, b = b"ab" * 2048, b"cd" * 2048
+    texts = [x.decode() for x in (a + b, b + a, a + b, a + b + a, a + a + b)]
+    data, ends = raw(pa.array(texts))
+    starts, stops, _ = split(data, ends)
+    found = hashes(data, starts, stops).tolist()
+    assert found[0] == found[2] and len(set(found)) == 4
+
+
+def test_katz_with_long_words_of_swapped_halves(spark):
+    a, b = "ab" * 2048, "cd" * 2048
+    rows = [(k, f"one {a + b if k % 3 else b + a} two {'q' * 9000 if k % 2 else 'q' * 9001}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert_scores(katz.score_held_out(df), df)
+
+
 def test_near_copies_odd_rows(clashing, none):
     want = in_order(plain_copies(rows_of(clashing, "doc_id", "text")))
     assert in_order(rows_of(nearcopies.near_copies(clashing), "doc_id", "component_id")) == want
