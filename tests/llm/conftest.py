@@ -17,7 +17,7 @@ DOCS = T.StructType(
 CLASHES = (
     "row", "key", "size", "rate", "copies", "shard", "class", "bucket", "block", "fp", "root", "keep_id", "score",
     "stats", "label", "media", "tokens", "decoded", "marked", "id", "crc", "low", "w", "v", "n", "held_out", "rule",
-    "ids", "part", "nth", "length", "number", "sequence_id", "tree", "block", "hash", "item", "leaf", "place", "kids", "proof", "changed",
+    "ids", "part", "nth", "length", "number", "sequence_id", "tree", "hash", "item", "leaf", "place", "kids", "proof", "changed",
 )
 PASSAGE = " ".join(f"shared{k}" for k in range(60))
 LONG = " ".join(f"word{k % 997}x{k % 13}" for k in range(40_000))
