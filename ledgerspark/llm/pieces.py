@@ -9,10 +9,10 @@ piece of the vocabulary holds a space after another character (checked on loadin
 units are independent and the agenda per unit gives what an agenda over the whole text
 would.
 
-A span comes up once at most, so which spans were skipped fixes the cut. A worker keeps,
-for a unit and the spans skipped so far, the tokens and the merges that follow if no
-further one is skipped; an occurrence draws for those merges, and with the first that it
-skips it goes on to the way that has this one skipped too.
+A span comes up once at most, so which spans were skipped fixes the cut. A worker keeps
+the tokens and merges of units, and of units with one span skipped; an occurrence draws
+for the merges, and with the first that it skips it goes on from there, the merges before
+being those already made. Ways with more skips are cut anew, as they hardly recur.
 
 Characters outside the vocabulary, and a literal U+2581 (the vocabulary's sign for a
 space), become byte pieces; decoding therefore returns every text exactly.
@@ -41,7 +41,7 @@ from ledgerspark.llm.common import prepare, worker_state
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 10
-KEPT = 400_000  # ways of cutting that a worker keeps; beyond it starts anew
+KEPT = 500_000, 150_000  # units, and ways with one skip, that a worker keeps; beyond that it starts anew
 SPACE = "▁"
 TOGETHER = 48  # longer units have a heap of their own
 STRETCH = 1_000_000  # bytes of text cut at once
@@ -73,12 +73,17 @@ def _longer(held: np.ndarray, length: int, more: np.ndarray) -> np.ndarray:
 
 
 class Ways:
-    """Tokens of units with given spans skipped, and the merges after the last of those, by hash."""
+    """Cuts of units with given spans skipped, by hash: tokens, and the merges made, in order.
+
+    The first ``done`` merges of a way came before its last skip; only those after it are
+    still to be drawn for.
+    """
 
     def __init__(self):
         self.key, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.tokens_at, self.tokens_n, self.merges_at, self.merges_n = (np.zeros(0, np.int64) for _ in range(4))
-        self._tokens, self._merges, self._lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64), [0, 0]
+        self.tokens_at, self.tokens_n, self.merges_at, self.merges_n, self.done = (np.zeros(0, np.int64) for _ in range(5))
+        self._tokens, self._lengths = np.zeros(1 << 16, np.int32), [0, 0]
+        self._merges, self._made = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
 
     @property
     def tokens(self) -> np.ndarray:
@@ -88,8 +93,10 @@ class Ways:
     def merges(self) -> np.ndarray:
         return self._merges[: self._lengths[1]]
 
-    def full(self) -> bool:
-        return len(self.key) > KEPT or max(self._lengths) > 8 * KEPT
+    @property
+    def made(self) -> np.ndarray:
+        """The piece that each merge makes."""
+        return self._made[: self._lengths[1]]
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """Row of each key, or -1."""
@@ -98,7 +105,7 @@ class Ways:
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.row[at], -1)
 
-    def add(self, key, tokens, tokens_n, merges, merges_n) -> None:
+    def add(self, key, tokens, tokens_n, merges, made, merges_n, done) -> None:
         rows = len(self.key) + np.arange(len(key))
         order = np.argsort(key)
         place = np.searchsorted(self.key, key[order])
@@ -106,11 +113,19 @@ class Ways:
         self.tokens_at = np.append(self.tokens_at, self._lengths[0] + np.cumsum(tokens_n) - tokens_n)
         self.merges_at = np.append(self.merges_at, self._lengths[1] + np.cumsum(merges_n) - merges_n)
         self.tokens_n, self.merges_n = np.append(self.tokens_n, tokens_n), np.append(self.merges_n, merges_n)
+        self.done = np.append(self.done, done)
         self._tokens = _longer(self._tokens, self._lengths[0], tokens)
         self._merges = _longer(self._merges, self._lengths[1], merges)
+        self._made = _longer(self._made, self._lengths[1], made)
         self._lengths = [self._lengths[0] + len(tokens), self._lengths[1] + len(merges)]
 
 
+def _inside(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places at, at + 1, ... of runs of ``n`` one after another."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(at - (ends - n), n)
+
+
 class Pieces:
     """The vocabulary and the cutting of units."""
 
@@ -148,19 +163,25 @@ class Pieces:
         order = sorted(self.ids, key=lambda q: (-self.scores[q], self.ids[q]))
         self.of_rank = np.array([self.ids[q] for q in order], np.int32)
         rank = {q: k for k, q in enumerate(order)}
+        self.width = np.array([len(x) for x in self.out])
+        self.first = np.cumsum(self.width) - self.width
+        self.spelling = np.frombuffer(b"".join(self.out), np.uint8)
+        self.shift = len(self.out).bit_length()
         joins = sorted(
-            (self.ids[q[:i]] << 32 | self.ids[q[i:]], rank[q])
+            (self.ids[q[:i]] << self.shift | self.ids[q[i:]], rank[q])
             for q in order
             for i in range(1, len(q))
             if q[:i] in self.ids and q[i:] in self.ids
         )
         self.join, self.join_rank = (np.array(x) for x in zip(*joins))
+        # keys of half the width are found faster
+        self.join = self.join.astype(np.int32 if 2 * self.shift < 32 else np.int64)
         self.join_rank = self.join_rank.astype(np.int32)
-        self.kept = Ways()
+        self.kept = [Ways(), Ways()]
 
     def look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the piece that neighbours make; ``NONE`` where they make none."""
-        key = left.astype(np.int64) << 32 | right.astype(np.int64)
+        key = left.astype(self.join.dtype) << self.shift | right.astype(self.join.dtype)
         at = np.minimum(np.searchsorted(self.join, key), len(self.join) - 1)
         return np.where((self.join[at] == key) & (left > 0) & (right > 0), self.join_rank[at], NONE)
 
@@ -172,56 +193,71 @@ class Pieces:
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return (x >> np.uint64(32)) < np.uint64(self.bar)
 
-    def together(self, points: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Final symbols and their number for units of one length (rows of code points),
-        and the merges after the last skip, in order, and their number.
+    def together(self, points, skipped, before) -> tuple[np.ndarray, ...]:
+        """Symbols with a mask of the final ones for units of one length (rows of code
+        points), and their merges, the pieces made and the number of merges, in order.
 
-        All agendas go in step: each round takes every unit's best candidate, and leaves
-        out those whose span is in its row of ``skipped`` (0 is no span).
+        All agendas go in step: each round takes every unit's best candidate. Symbols keep
+        their places and know their neighbours, so a merge touches a few cells of a row. A
+        unit of which some spans are ``skipped`` (columns; 0 is no span) goes on from the
+        merges it made ``before`` (row, number, span, piece) the last skip.
         """
         n, size = points.shape
-        symbols = self.symbol[points]
-        out, count = symbols.copy(), np.full(n, size)
-        merges, number = np.zeros((n, size), np.uint64), np.zeros(n, np.int64)
-        place = np.tile(np.arange(size + 1, dtype=np.int16), (n, 1))
-        rank = np.full((n, size), NONE, np.int32)
-        rank[:, :-1] = self.look(symbols[:, :-1], symbols[:, 1:])
-        who, live = np.arange(n), np.full(n, size)
-        columns = np.arange(size + 1)
+        wide = size + 1  # the last column stands for nothing
+        symbols = np.full((n, wide), -1, np.int32)
+        symbols[:, :size] = self.symbol[points]
+        alive = np.ones((n, wide), bool)
+        alive[:, size] = False
+        merges, made, number = np.zeros((n, size), np.uint64), np.zeros((n, size), np.int32), np.zeros(n, np.int64)
+        if before is not None:
+            row, nth, span, piece = before
+            merges[row, nth], made[row, nth] = span, piece
+            number += np.bincount(row, minlength=n)
+            left, middle = (span >> np.uint64(40)).astype(np.int64), (span >> np.uint64(20)).astype(np.int64) & 0xFFFFF
+            symbols[row, left] = piece  # of several at one place the last counts
+            alive[row, middle] = False
+        columns = np.arange(wide, dtype=np.int64)
+        after = np.where(alive, columns, size)
+        after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
+        nxt = np.full((n, wide), size)
+        nxt[:, :size] = after[:, 1:]
+        prv = np.full((n, wide), size)
+        prv[:, 1:] = np.maximum.accumulate(np.where(alive, columns, -1), axis=1)[:, :size]
+        prv[:, 0] = size
+        rank = np.full((n, wide), NONE, np.int32)
+        pair = np.flatnonzero(alive & (nxt < size))
+        line = pair // wide
+        flat, nxt, prv, alive, rank1 = symbols.ravel(), nxt.ravel(), prv.ravel(), alive.ravel(), rank.ravel()
+        rank1[pair] = self.look(flat[pair], flat[line * wide + nxt[pair]])
+        if skipped.shape[1]:
+            middle = nxt[pair]
+            span = _span((pair % wide).astype(np.uint64), middle.astype(np.uint64), nxt[line * wide + middle].astype(np.uint64))
+            rank1[pair[(skipped[line] == span[:, None]).any(1)]] = NONE
+        who = np.arange(n)
         while len(who):
-            at = rank.argmin(1)
-            line = np.arange(len(who))
-            more = rank[line, at] < NONE
+            mine = rank[who] if len(who) < n else rank
+            at = mine.argmin(1)
+            best = mine[np.arange(len(who)), at]
+            more = best < NONE
             if not more.all():
-                ended = who[~more]
-                out[ended], count[ended] = symbols[~more], live[~more]
-                symbols, place, rank, live, skipped, who, at = (x[more] for x in (symbols, place, rank, live, skipped, who, at))
-                line = np.arange(len(who))
-            span = _span(*(place[line, at + k].astype(np.uint64) for k in range(3)))
-            skip = (skipped == span[:, None]).any(1)
-            rank[line[skip], at[skip]] = NONE
-            number[who[skip]] = 0
-            line, at, span = line[~skip], at[~skip], span[~skip]
-            merges[who[line], number[who[line]]] = span
-            number[who[line]] += 1
-            if not len(line):
-                continue
-            piece = self.of_rank[rank[line, at]]
-            beyond = columns[None, :] > at[:, None]
-            for x in (symbols, rank, place):
-                own = x[line]
-                stay = own.copy()
-                stay[:, :-1] = own[:, 1:]
-                x[line] = np.where(beyond[:, : x.shape[1]], stay, own)
-            symbols[line, at] = piece
-            live[line] -= 1
-            rank[line, live[line] - 1] = NONE
-            for side in (-1, 0):
-                a = at + side
-                ok = (a >= 0) & (a + 1 < live[line])
-                r, a = line[ok], a[ok]
-                rank[r, a] = self.look(symbols[r, a], symbols[r, a + 1])
-        return out, count, merges, number
+                who, at, best = who[more], at[more], best[more]
+            base = who * wide
+            left = base + at
+            middle = nxt[left]
+            end = nxt[base + middle]
+            piece = self.of_rank[best]
+            nth = who * size + number[who]
+            merges.ravel()[nth] = _span(at.astype(np.uint64), middle.astype(np.uint64), end.astype(np.uint64))
+            made.ravel()[nth] = piece
+            number[who] += 1
+            flat[left] = piece
+            alive[base + middle], rank1[base + middle] = False, NONE
+            nxt[left], prv[base + end] = end, at
+            other = base + prv[left]
+            rank1[left] = self.look(piece, flat[base + end])
+            rank1[other] = self.look(flat[other], piece)
+            rank1[base + size] = NONE
+        return symbols, alive.reshape(n, wide), merges, made, number
 
     def alone(self, points: np.ndarray, base: np.uint64) -> np.ndarray:
         """Final symbols of one long unit: its agenda is a heap."""
@@ -254,44 +290,72 @@ class Pieces:
                 push(before[left], left, end)
         return np.array([x for x in symbols if x is not None], np.int32)
 
-    def cut(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, skipped: np.ndarray) -> Iterator[tuple]:
-        """(units, tokens, number of tokens, merges, number of merges) of units at ``starts`` of ``points``."""
+    def cut(self, points, starts, sizes, skipped, before) -> tuple[np.ndarray, ...]:
+        """Tokens, their number, merges, pieces made and their number, of units at ``starts`` of ``points``."""
+        parts, order = [], []
         for size in np.unique(sizes).tolist():
             rows = np.flatnonzero(sizes == size)
             for k in range(0, len(rows), BLOCK):
                 block = rows[k : k + BLOCK]
-                symbols, count, merges, number = self.together(points[starts[block][:, None] + np.arange(size)], skipped[block])
-                flat, count = self._bytes(symbols[np.arange(size)[None, :] < count[:, None]], count)
-                yield block, flat, count, merges[np.arange(size)[None, :] < number[:, None]], number
-
-    def _walk(self, points, starts, sizes, unit, base) -> np.ndarray:
-        """The kept way of each unit, by its own draws."""
-        kept = self.kept
-        way = np.empty(len(unit), np.int64)
-        todo, key, skipped = np.arange(len(unit)), unit, np.zeros((len(unit), 0), np.uint64)
+                known = before(block) if before else None
+                symbols, alive, merges, made, number = self.together(points[starts[block][:, None] + np.arange(size)], skipped[block], known)
+                flat, count = self._bytes(symbols[alive], alive.sum(1))
+                has = np.arange(size)[None, :] < number[:, None]
+                parts.append((flat, count, merges[has], made[has], number))
+                order.append(block)
+        flat, count, merges, made, number = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(np.concatenate(order))
+        tokens = flat[_inside((np.cumsum(count) - count)[order], count[order])]
+        own = _inside((np.cumsum(number) - number)[order], number[order])
+        return tokens, count[order], merges[own], made[own], number[order]
+
+    def _walk(self, points, starts, sizes, unit, base) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """First token in a pool, number of tokens of each unit by its own draws, and the pool's parts.
+
+        Whole units and those with one skip are kept for later texts; rarer ways are not.
+        """
+        begin, count = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
+        pools, pooled = [], 0
+        todo, key, skipped, deep = np.arange(len(unit)), unit, np.zeros((len(unit), 0), np.uint64), 0
+        parent: Ways | None = None
         while len(todo):
+            kept = self.kept[deep] if deep < len(self.kept) else Ways()
             at = kept.find(key)
             if (at < 0).any():
                 new, first = np.unique(key[at < 0], return_index=True)
                 first = np.flatnonzero(at < 0)[first]
-                found = self.cut(points, starts[todo[first]], sizes[todo[first]], skipped[first])
-                rows, *found = (np.concatenate(x) for x in zip(*found))
-                kept.add(new[rows], *found)
+                before = None
+                if parent is not None:
+                    came, upto = way[first], reached[first]  # the way before the skip, and its merges up to it
+
+                    def before(block: np.ndarray) -> tuple[np.ndarray, ...]:
+                        n = upto[block]
+                        own = _inside(parent.merges_at[came[block]], n)
+                        return np.repeat(np.arange(len(block)), n), _inside(np.zeros(len(block), np.int64), n), parent.merges[own], parent.made[own]
+
+                cut = self.cut(points, starts[todo[first]], sizes[todo[first]], skipped[first], before)
+                done = reached[first] if parent is not None else np.zeros(len(first), np.int64)
+                kept.add(new, *cut, done)
                 at = kept.find(key)
-            way[todo] = at
+            begin[todo], count[todo] = pooled + kept.tokens_at[at], kept.tokens_n[at]
+            pools.append(kept.tokens)
+            pooled += len(kept.tokens)
             if not self.bar:
                 break
-            n = kept.merges_n[at]
+            n = kept.merges_n[at] - kept.done[at]
             ends = np.cumsum(n)
-            inside = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            span = kept.merges[np.repeat(kept.merges_at[at], n) + inside]
+            span = kept.merges[_inside(kept.merges_at[at] + kept.done[at], n)]
             hit = np.flatnonzero(self._skips(np.repeat(base[todo], n), span))
             line, first = np.unique(np.searchsorted(ends, hit, "right"), return_index=True)
-            span = span[hit[first]]
+            hit = hit[first]
+            span = span[hit]
+            reached = kept.done[at[line]] + hit - (ends - n)[line]
+            parent, way = kept, at[line]
             todo, skipped = todo[line], np.column_stack([skipped[line], span])
             with np.errstate(over="ignore"):
                 key = (key[line] ^ (key[line] >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + span * np.uint64(0x94D049BB133111EB)
-        return way
+            deep += 1
+        return begin, count, pools
 
     def _bytes(self, flat: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte pieces in place of characters that have no piece."""
@@ -315,7 +379,8 @@ class Pieces:
         are cut again by themselves.
         """
         lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
-        points = np.frombuffer("".join(f" {t}" for t in texts if t).encode("utf-32-le"), "<u4")
+        whole = "".join(f" {t}" for t in texts if t)
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
         if not len(points):
             return [np.zeros(0, np.int32) for _ in texts]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -332,28 +397,31 @@ class Pieces:
             text = np.searchsorted(ends, starts, "right") - 1
             seed = np.fromiter((xxhash.xxh64_intdigest(k, self.seed) for k in keys), np.uint64, len(keys))
             base = _base(seed[text], (np.arange(len(starts)) - np.searchsorted(starts, ends[text])).astype(np.uint64))
-        if self.kept.full():
-            self.kept = Ways()
+        self.kept = [k if len(k.key) < most else Ways() for k, most in zip(self.kept, KEPT)]
         short = np.flatnonzero(sizes <= TOGETHER)
-        way = self._walk(points, starts[short], sizes[short], unit[short], base[short])
         begin, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        begin[short], n[short] = self.kept.tokens_at[way], self.kept.tokens_n[way]
-        pools, length = [self.kept.tokens], len(self.kept.tokens)
+        begin[short], n[short], pools = self._walk(points, starts[short], sizes[short], unit[short], base[short])
+        length = sum(map(len, pools))
         for r in np.flatnonzero(sizes > TOGETHER).tolist():
             own = self.alone(points[starts[r] : starts[r] + sizes[r]], base[r])
             pools.append(self._bytes(own, np.array([len(own)]))[0])
             begin[r], n[r] = length, len(pools[-1])
             length += len(pools[-1])
-        pool = np.concatenate(pools) if len(pools) > 1 else pools[0]
+        pool = np.concatenate(pools)
         total = np.cumsum(n)
         flat = pool[np.repeat(begin - (total - n), n) + np.arange(total[-1])]
         bounds = np.concatenate([[0], total])[np.searchsorted(starts, ends)]
         out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
-        for i, t in enumerate(texts):
-            if t and self.decode(out[i].tolist()) != t:  # two units of one hash: not seen so far
-                out[i] = self._plainly(t, keys[i])
+        if self.spell(flat).tobytes() != whole.encode():
+            for i, t in enumerate(texts):
+                if t and self.decode(out[i].tolist()) != t:  # two units of one hash: not seen so far
+                    out[i] = self._plainly(t, keys[i])
         return out
 
+    def spell(self, tokens: np.ndarray) -> np.ndarray:
+        """Bytes of the tokens one after another."""
+        return self.spelling[_inside(self.first[tokens], self.width[tokens])]
+
     def _plainly(self, text: str, key: str) -> np.ndarray:
         done = []
         for place, u in enumerate(UNIT.findall(f" {text}")):
@@ -397,17 +465,18 @@ def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, s
     prepare(docs.sparkSession)
     model = _model(model_path)
     docs = docs.drop("tokens")
-    rows = docs.select(F.struct("*").alias("row"), "text", F.col("doc_id").cast("string").alias("key"))
+    text = docs.columns.index("text")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("string").alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model, dropout, seed)
         for batch in batches:
-            texts, keys = batch.column(1), batch.column(2)
+            texts, keys = batch.column(0).field(text), batch.column(1)
             cut = []
             for a, b in _stretches(texts):
-                part = [t.as_py() or "" for t in texts[a:b]]
-                cut += own.encode(part, [k.as_py() or "" for k in keys[a:b]])
-            cut = [c if t.is_valid else None for c, t in zip(cut, texts)]
+                part = [t or "" for t in texts[a:b].to_pylist()]
+                cut += own.encode(part, [k or "" for k in keys[a:b].to_pylist()])
+            cut = [c if ok else None for c, ok in zip(cut, texts.is_valid().to_pylist())]
             ends = np.cumsum([0, *(0 if c is None else len(c) for c in cut)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, "<i4"), *(c for c in cut if c is not None)])
             null = pa.array([c is None for c in cut], pa.bool_())
@@ -423,16 +492,17 @@ def decode(coded: DataFrame, model_path: str = MODEL) -> DataFrame:
     prepare(coded.sparkSession)
     model = _model(model_path)
     coded = coded.drop("decoded")
-    rows = coded.select(F.struct("*").alias("row"), "tokens")
+    place = coded.columns.index("tokens")
+    rows = coded.select(F.struct("*").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model, 0.0, 0)
         for batch in batches:
-            lists = batch.column(1)
-            flat = lists.values.to_numpy()
-            ends = lists.offsets.to_numpy()
-            valid = lists.is_valid().to_pylist()
-            texts = [own.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], valid)]
+            lists = batch.column(0).field(place)
+            # each text begins with a space that is not its own
+            tokens, sizes = lists.flatten().to_numpy(), lists.value_lengths().fill_null(0).to_numpy()
+            data, ends = own.spell(tokens), np.concatenate([[0], np.cumsum(own.width[tokens])])[np.concatenate([[0], np.cumsum(sizes)])]
+            texts = [data[a + 1 : b].tobytes().decode() if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
 
     kind = rows.schema["row"].dataType.simpleString()
