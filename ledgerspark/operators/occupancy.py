@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BLOCK_BITS = 10  # 1,024 words, or 65,536 row numbers, stay together
 OCCUPIED_SCHEMA = T.StructType(
     [
         T.StructField("source_sheet", T.StringType()),
@@ -30,9 +31,15 @@ def _bit() -> Column:
 
 
 def occupied(lines: DataFrame) -> DataFrame:
-    """(source_sheet, word, bits) of the lines' row numbers, 64 to a word, in order."""
+    """(source_sheet, word, bits) of the lines' row numbers, 64 to a word, in order within each task.
+
+    A task holds whole blocks of neighbouring words, so a file covers few ranges of row
+    numbers and no sampling pass is needed to find them.
+    """
     words = lines.select("source_sheet", _word().alias("word"), _bit().alias("bit"))
-    return words.groupBy("source_sheet", "word").agg(F.bit_or("bit").alias("bits")).orderBy("source_sheet", "word")
+    dealt = words.withColumn("block", F.shiftright("word", BLOCK_BITS)).repartition("source_sheet", "block")
+    found = dealt.groupBy("source_sheet", "block", "word").agg(F.bit_or("bit").alias("bits"))
+    return found.select("source_sheet", "word", "bits").sortWithinPartitions("source_sheet", "word")
 
 
 def within(index: DataFrame, sheets: dict[str, tuple[int, int]]) -> DataFrame:

@@ -186,7 +186,7 @@ class Warehouse:
             part = self._part(path, ACCEPTED_TABLE_SCHEMA)
             inserted = part.rows
             if inserted:
-                draft = self._with_staged(draft, part)
+                draft = self._with_staged(draft, part, bounds, odd)
         counts = {
             "processed": processed,
             "inserted": inserted,
@@ -223,33 +223,46 @@ class Warehouse:
             new = (new if not foreign else lines).join(ids, "source_row_id", "left_anti")
         return new.select(*lines.columns)
 
-    def _with_staged(self, draft: Snapshot, part: Part) -> Snapshot:
+    def _with_staged(
+        self, draft: Snapshot, part: Part, bounds: dict[str, tuple[int, int]], foreign: int
+    ) -> Snapshot:
         """``draft`` with a part of staged lines, their row numbers and their descriptions."""
         counts = description_counts(self._read([part.path], ACCEPTED_TABLE_SCHEMA))
         if draft.descriptions:
             counts = merged_counts(self.spark.read.parquet(draft.descriptions), counts)
         path = f"{self._folder()}/descriptions"
-        counts.write.parquet(path)
-        return replace(draft, staging=(*draft.staging, self._occupied(part)), descriptions=path)
-
-    def _occupied(self, part: Part) -> Part:
+        with ThreadPoolExecutor(2) as pool:
+            index = pool.submit(inheritable_thread_target(self.spark)(self._occupied), part, bounds, foreign)
+            counts.write.parquet(path)
+            part = index.result()
+        return replace(draft, staging=(*draft.staging, part), descriptions=path)
+
+    def _occupied(self, part: Part, bounds: dict[str, tuple[int, int]], foreign: int) -> Part:
+        """``part`` with its index; ``bounds`` hold its row numbers, ``foreign`` its other ids, at least."""
         path = self._folder("occupied")
         lines = self._read([part.path], ACCEPTED_TABLE_SCHEMA)
         own = F.col("source_row_id") == source_row_id(F.col("source_sheet"), F.col("source_row_number"))
         occupancy.occupied(lines.filter(own)).write.parquet(path)
-        index = self._read([path], occupancy.OCCUPIED_SCHEMA)
-        found = index.groupBy("source_sheet").agg(
-            F.min("word").alias("low"), F.max("word").alias("high"), F.sum(F.bit_count("bits")).alias("n")
-        ).collect()  # one row per sheet
-        sheets = {r.source_sheet: [r.low << 6, (r.high << 6) + 63] for r in found}
-        return replace(part, occupied=path, sheets=sheets, foreign=part.rows - sum(r.n for r in found))
+        sheets = {sheet: list(span) for sheet, span in bounds.items()}
+        return replace(part, occupied=path, sheets=sheets, foreign=foreign)
 
     def _indexed(self, draft: Snapshot) -> Snapshot:
         """``draft`` with an index for lines that were given as staging and never loaded."""
         if all(p.occupied for p in draft.staging):
             return draft
-        staging = tuple(p if p.occupied else self._occupied(p) for p in draft.staging)
-        return self._described(replace(draft, staging=staging))
+        return self._described(replace(draft, staging=tuple(map(self._with_index, draft.staging))))
+
+    def _with_index(self, part: Part) -> Part:
+        if part.occupied:
+            return part
+        own = F.col("source_row_id") == source_row_id(F.col("source_sheet"), F.col("source_row_number"))
+        found = self._read([part.path], ACCEPTED_TABLE_SCHEMA).groupBy("source_sheet").agg(
+            F.min("source_row_number").alias("low"),
+            F.max("source_row_number").alias("high"),
+            count_where(~own).alias("foreign"),
+        ).collect()  # one row per sheet
+        bounds = {r.source_sheet: (r.low, r.high) for r in found}
+        return self._occupied(part, bounds, sum(r.foreign for r in found))
 
     def _described(self, draft: Snapshot) -> Snapshot:
         """``draft`` with description counts of all its staged lines."""
@@ -518,11 +531,15 @@ class Warehouse:
         """``draft`` with passed months in its log and the mark they lead to."""
         now = datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
         log = (*draft.log, *((p.isoformat(), n, inserted, True, now) for p, n, inserted in months))
-        periods = [(date.fromisoformat(p), n, passed) for p, n, _, passed, _ in log]
-        kinds = "period date, input_rows long, passed boolean"
-        row = reconcile.progress(self.spark.createDataFrame(periods, kinds)).select("mark").first()
-        mark = row.mark.isoformat() if row and row.mark else None
-        return replace(draft, log=log, mark=mark)
+        return replace(draft, log=log, mark=marked({p for p, _, _, passed, _ in log if passed}, {p for p, *_ in log}))
+
+
+def marked(passed: set[str], logged: set[str]) -> str | None:
+    """Last month (ISO date) before the first of the log that did not pass or is absent."""
+    mark, period = None, min(logged, default="")
+    while period in passed:
+        mark, period = period, next_month(date.fromisoformat(period)).isoformat()
+    return mark
 
 
 def _rows_per_month(parts: tuple[Part, ...], low: date | None = None, high: date | None = None) -> dict[str, int]:

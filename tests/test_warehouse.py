@@ -8,7 +8,7 @@ from conftest import LOADED_AT
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import contract, kpi, occupancy, reconcile, warehouse
-from ledgerspark.plans.warehouse import Warehouse
+from ledgerspark.plans.warehouse import Warehouse, marked
 from ledgerspark.schema import ACCEPTED_COLUMNS
 from ledgerspark.sources import accepted as sink
 
@@ -391,6 +391,8 @@ def test_progress_mark(spark, log, mark):
     df = spark.createDataFrame([(p, 1, ok) for p, ok in log], "period date, input_rows long, passed boolean")
     row = reconcile.progress(df).select("mark").first()
     assert (row.mark if row else None) == mark
+    passed, logged = {p.isoformat() for p, ok in log if ok}, {p.isoformat() for p, _ in log}
+    assert marked(passed, logged) == (mark.isoformat() if mark else None)
 
 
 def test_constraint_rules_count_violations(spark):
