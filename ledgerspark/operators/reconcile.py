@@ -207,11 +207,62 @@ def identity_diff(left: DataFrame, right: DataFrame, left_name: str, right_name:
     ).select(F.lit(left_name).alias("left_layer"), F.lit(right_name).alias("right_layer"), "*")
 
 
+NODE_BITS = (8, 16)  # of a row's hash that name its node, level by level
+
+
+def _row_hashes(rows: DataFrame, columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of a row; a null is told from any value and place."""
+    parts = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("second"), *parts)]
+
+
+def differing_nodes(left: DataFrame, right: DataFrame, columns: list[str], bits: int) -> list[int]:
+    """Nodes of the hash tree at depth ``bits`` whose rows the two sides do not share.
+
+    A node has the rows whose hash begins with its bits. Sides agree in a node when count
+    and both hash sums do; only these sums, one row per node and task, are shuffled, and at
+    most 2 ** ``bits`` nodes come back.
+    """
+    sums = []
+    for rows, sign in ((left, 1), (right, -1)):
+        one, two = _row_hashes(rows, columns)
+        hashed = rows.select(one.alias("one"), two.alias("two"))
+        node = F.call_function("shiftrightunsigned", F.col("one"), F.lit(64 - bits)).alias("node")
+        sums.append(
+            hashed.groupBy(node).agg(
+                (F.count(F.lit(1)) * sign).alias("n"),
+                *[(F.sum(F.col(h).cast("decimal(20,0)")) * sign).cast("decimal(38,0)").alias(h) for h in ("one", "two")],
+            )
+        )
+    both = _union(sums).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n", "one", "two")])
+    apart = both.filter((F.col("n") != 0) | (F.col("one") != 0) | (F.col("two") != 0))
+    return [r.node for r in apart.select("node").collect()]
+
+
+def differing_rows(
+    left: DataFrame, right: DataFrame, columns: list[str], levels: tuple[int, ...] = NODE_BITS
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides that lie in differing nodes; none when the sides agree.
+
+    Each level looks only into the differing nodes of the one above, so rows themselves are
+    shuffled by a later comparison only where the sides differ.
+    """
+    sides = [left.select(*columns), right.select(*columns)]
+    for bits in levels:
+        nodes = differing_nodes(*sides, columns, bits)
+        if not nodes:
+            return sides[0].limit(0), sides[1].limit(0)
+        found = left.sparkSession.createDataFrame([(n,) for n in nodes], "_node long")
+        for k, rows in enumerate(sides):
+            node = F.call_function("shiftrightunsigned", _row_hashes(rows, columns)[0], F.lit(64 - bits))
+            sides[k] = rows.withColumn("_node", node).join(found, "_node", "left_semi").drop("_node")
+    return sides[0], sides[1]
+
+
 def row_diff(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     """Rows on one side only, with multiplicity: both ``EXCEPT ALL`` directions at once."""
-    sides = left.select(*columns, F.lit(1).alias("_net")).unionByName(
-        right.select(*columns, F.lit(-1).alias("_net"))
-    )
+    left, right = differing_rows(left, right, columns)
+    sides = left.withColumn("_net", F.lit(1)).unionByName(right.withColumn("_net", F.lit(-1)))
     net = sides.groupBy(*columns).agg(F.sum("_net").alias("_net")).filter(F.col("_net") != 0)
     return net.select(
         F.when(F.col("_net") > 0, "left_only").otherwise("right_only").alias("side"),
