@@ -43,8 +43,7 @@ def op8_shard_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    return urls.judge(urls.labelled(pages, labels))
+    return urls.judge(urls.labelled(table(spark, sf_dir, "pages")))
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

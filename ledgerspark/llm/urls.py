@@ -1,7 +1,8 @@
 """URL filters: rules first, then a path-template tree per host judged by labelled purity.
 
-The tree grows level by level from distinct paths. Below a node a segment stays as it is
-when it holds at least ``LEAST_PAGES`` pages, whatever its share; the rarer ones become one
+The tree grows from distinct paths. A run of levels at which all paths of a node go on with
+the same segment is taken at once, so rounds follow the branching and not the length of
+paths. Below a branching node a segment stays as it is when it holds at least ``LEAST_PAGES`` pages, whatever its share; the rarer ones become one
 wildcard. A child is apart when a two-proportion test tells its smoothed purity from that
 of the rest of its node by more than ``Z`` deviations; children that are not apart are one
 branch. Those apart upwards, and those apart downwards, are tested once more among
@@ -15,14 +16,18 @@ Defined results: a null url and one without ``://`` have an empty host and path,
 a host of their own; repeated pages count as often as they stand; without labels
 everything is allowed that no rule blocks; an empty table gives no rows. Extra columns
 are not read.
+
+A page's label is what the rule that fits it says; without one, a page whose visible words
+drown in symbols is bad and any other with words is good (``labelled``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ledgerspark.llm.common import prepare, stored
+from ledgerspark.llm.common import WORD, prepare, release, stored
 
 # host and path, verdict; the longest that fits wins
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -33,6 +38,9 @@ LEAST_PURITY = 0.5
 LISTED = 50
 WILDCARD = "*"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+SYMBOL_WORDS = 10  # words that a clean page has for each symbol, at least
+_UNSEEN = r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^<>]*>"
+_SYMBOLS = r"[#*$%|]|&(?!#?\w+;)|&(amp|lt|gt);"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,11 +85,36 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, fits).drop(*[f"r_{c}" for c in keys])
 
 
-def _grown(nodes: DataFrame, depth: int) -> DataFrame:
-    """One level of the tree: ``nodes`` (host, path, template, segments, n, good, labelled, prior)
+def _absorbed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the levels taken at which a node's paths do not part, added to the template.
+
+    The paths of a node are compared with its longest; levels count as long as
+    ``LEAST_PAGES`` pages go on.
+    """
+    at = ["host", "template"]
+    size = F.size("rest")
+    longest = nodes.groupBy(*at).agg(F.max_by("rest", F.struct(size, "rest")).alias("longest"))
+    far = nodes.withColumn("place", F.row_number().over(W.partitionBy(*at).orderBy(F.desc(size)))).where(F.col("place") <= LEAST_PAGES)
+    sizes = F.flatten(F.collect_list(F.array_repeat(size, F.least("n", F.lit(LEAST_PAGES)).cast("int"))))
+    last = far.groupBy(*at).agg(F.coalesce(F.get(F.sort_array(sizes, asc=False), F.lit(LEAST_PAGES - 1)), F.lit(0)).alias("last"))
+    spans = stored(longest.join(last, at), "spans")
+    differs = F.array_position(F.zip_with("rest", F.slice("longest", 1, size), lambda a, b: a != b), F.lit(True)) - 1
+    parting = nodes.join(spans, at).groupBy(*at).agg(F.min(F.when(differs >= 0, differs)).alias("parting"))
+    runs = spans.join(parting, at)
+    run = F.least(F.coalesce("parting", F.size("longest")), "last").cast("int")
+    runs = stored(runs.select(*at, run.alias("run")).where("run > 0"), "runs")
+    taken = F.least(F.coalesce("run", F.lit(0)), size)
+    path = F.transform(F.slice("rest", 1, taken), lambda s: F.concat(F.lit("/"), s))
+    out = nodes.join(runs, at, "left").withColumns({
+        "template": F.concat("template", F.array_join(path, "")), "rest": F.slice("rest", taken + 1, F.greatest(size, F.lit(1)))
+    })
+    return stored(out.drop("run"), "absorbed")
+
+
+def _grown(nodes: DataFrame) -> DataFrame:
+    """One level of the tree: ``nodes`` (host, path, template, rest, n, good, labelled, prior)
     with the token of this level added to the template."""
-    segment = F.col("segments")[depth]
-    here = nodes.withColumn("segment", segment).where(F.col("segment").isNotNull())
+    here = nodes.withColumn("segment", F.col("rest")[0])
     at = ["host", "template"]
     sums = [F.sum(c).alias(c) for c in ("n", "good", "labelled")]
     children = stored(here.groupBy(*at, "segment").agg(*sums, F.first("prior").alias("prior")), "children")
@@ -99,14 +132,15 @@ def _grown(nodes: DataFrame, depth: int) -> DataFrame:
     names = stored(few.unionByName(size.where(F.col("size") > LISTED).withColumn("name", many)), "names")
     merged = stored(_same(branched, names, within).select(*at, "token", "name"), "merged")
     # one row per child that stays, and the wildcard's name for all the others
-    wild = merged.where(F.col("token") == WILDCARD).select(*at, F.col("name").alias("rest"))
+    wild = merged.where(F.col("token") == WILDCARD).select(*at, F.col("name").alias("other"))
     fixed = merged.where(F.col("token") != WILDCARD).select(*at, F.col("token").alias("segment"), "name")
     fixed, wild = stored(fixed, "fixed"), stored(wild, "wild")
-    name = F.coalesce("name", "rest")
+    name = F.coalesce("name", "other")
     grown = here.join(fixed, [*at, "segment"], "left").join(wild, at, "left")
-    return stored(
-        grown.withColumn("template", F.concat("template", F.lit("/"), name)).drop("segment", "name", "rest"), "level"
-    )
+    grown = grown.withColumns({"template": F.concat("template", F.lit("/"), name), "rest": F.slice("rest", 2, F.size("rest"))})
+    grown = stored(grown.drop("segment", "name", "other"), "level")
+    release(children, tokens, once, branched, names, merged, fixed, wild)
+    return grown
 
 
 def templates(urls: DataFrame) -> DataFrame:
@@ -116,26 +150,28 @@ def templates(urls: DataFrame) -> DataFrame:
     sums = urls.groupBy("host").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
     priors = stored(sums.select("host", _smooth(F.col("g"), F.col("l"), overall).alias("prior")), "hosts")
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    nodes = stored(
-        urls.join(priors, "host")
-        .withColumn("segments", parts)
-        .withColumn("template", F.lit("")),
-        "urls",
-    )
-    done, depth = [], 0
-    while True:
-        done.append(nodes.where(F.size("segments") == depth))
-        longer = nodes.where(F.size("segments") > depth)
-        pages = longer.groupBy("host", "template").agg(F.sum("n").alias("pages"))
-        longer = stored(longer.join(pages, ["host", "template"]), "longer")
+    nodes = stored(urls.join(priors, "host").withColumn("rest", parts).withColumn("template", F.lit("")), "urls")
+    done = []
+    ended = F.size("rest") == 0
+
+    def small_apart(nodes: DataFrame) -> DataFrame:
+        """Nodes that go on; the ended ones and those of few pages are done."""
+        done.append(nodes.where(ended))
+        pages = nodes.where(~ended).groupBy("host", "template").agg(F.sum("n").alias("pages"))
+        longer = stored(nodes.where(~ended).join(pages, ["host", "template"]), "longer")
         # all children of a small node are rare, down to the ends of its paths
-        rest = F.concat("template", F.repeat(F.lit(f"/{WILDCARD}"), F.size("segments") - depth))
+        rest = F.concat("template", F.repeat(F.lit(f"/{WILDCARD}"), F.size("rest")))
         done.append(longer.where(F.col("pages") < LEAST_PAGES).withColumn("template", rest).drop("pages"))
-        nodes = longer.where(F.col("pages") >= LEAST_PAGES).drop("pages")
+        return longer.where(F.col("pages") >= LEAST_PAGES).drop("pages")
+
+    while True:
+        nodes = small_apart(nodes)
         if nodes.isEmpty():
             break
-        nodes = _grown(nodes, depth)
-        depth += 1
+        nodes = small_apart(_absorbed(nodes))
+        if nodes.isEmpty():
+            break
+        nodes = _grown(nodes)
     leaves = done[0]
     for d in done[1:]:
         leaves = leaves.unionByName(d)
@@ -168,17 +204,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     )
 
 
-def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``pages`` with ``good``: the label of the document whose number ends the page's path.
+def labelled(pages: DataFrame, rules=RULES) -> DataFrame:
+    """``pages`` (page_id, url, html) with ``good``: what the page's rule says, or its visible text.
 
-    Bad is a label of quality 0 or toxic 1 (of several labels, any); other labels are good.
+    Without a rule a page is bad if it has more than one symbol per ``SYMBOL_WORDS`` words;
+    one without words, or without html, has no label.
     """
-    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    one = labels.where("doc_id is not null").groupBy("doc_id").agg(
-        (~F.max(F.coalesce(bad, F.lit(False)))).alias("good"),
-        F.count(F.coalesce("quality", "toxic")).alias("known"),
-    )
-    one = one.where("known > 0").select(F.col("doc_id").alias("number"), "good")
-    number = F.expr("try_cast(regexp_extract(own_path, '([0-9]+)[^0-9]*$', 1) as bigint)")
-    rows = pages.select("page_id", "url", path_of(F.col("url")).alias("own_path")).withColumn("number", number)
-    return rows.join(one, "number", "left").select("page_id", "url", "good")
+    rule = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
+    said = F.lit(None).cast("boolean")
+    for name, verdict in rules:
+        said = F.when(rule == name, verdict == "allow").otherwise(said)
+    text = F.regexp_replace("html", _UNSEEN, " ")
+    words, symbols = F.regexp_count(text, F.lit(WORD)), F.regexp_count(text, F.lit(_SYMBOLS))
+    clean = F.when(words > 0, symbols * SYMBOL_WORDS <= words)
+    return pages.select("page_id", "url", F.coalesce(said, clean).alias("good"))
