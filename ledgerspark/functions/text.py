@@ -37,18 +37,50 @@ def optional_text(c: Column) -> Column:
     return F.nullif(strip(c.cast("string")), F.lit(""))
 
 
+_LIMB = 10**9
+_SHIFT = 29  # a limb times two to this fits a long
+
+
+def _times(limbs: Column, factor: Column) -> Column:
+    """Limbs of nine digits, lowest first, times a factor of at most 2^29."""
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("bigint").alias("carry"))
+
+    def step(acc: Column, limb: Column) -> Column:
+        product = limb * factor + acc["carry"]
+        low = F.array(product % _LIMB)
+        return F.struct(F.concat(acc["done"], low).alias("done"), F.call_function("div", product, F.lit(_LIMB)).alias("carry"))
+
+    return F.aggregate(limbs, start, step, lambda acc: F.concat(acc["done"], F.array(acc["carry"])))
+
+
+def large_digits(c: Column) -> Column:
+    """Every digit of a double of 2^53 or more: its leading part times a power of two."""
+    size = F.abs(c)
+    power = F.greatest(F.floor(F.log2(size)) - 61, F.lit(0)).cast("int")
+    part = F.lpad((size / F.pow(F.lit(2.0), power)).cast("bigint").cast("string"), 27, "0")  # exact: a power of two
+    limbs = F.array(*[F.substring(part, k, 9).cast("bigint") for k in (19, 10, 1)])
+    times = F.call_function("div", power, F.lit(_SHIFT)).cast("int")
+    whole = F.aggregate(
+        F.array_repeat(F.lit(1 << _SHIFT).cast("bigint"), times), limbs, lambda acc, factor: _times(acc, factor)
+    )
+    rest = F.pow(F.lit(2.0), power % _SHIFT).cast("bigint")
+    digits = F.transform(F.reverse(_times(whole, rest)), lambda x: F.lpad(x.cast("string"), 9, "0"))
+    return F.concat(F.when(c < 0, "-").otherwise(""), F.ltrim(F.array_join(digits, ""), F.lit("0")))
+
+
 def identifier(c: Column, dtype: T.DataType, upper: bool = False) -> Column:
     """Text identity of an invoice number or stock code.
 
     A whole *number* loses its ``.0``; *text* keeps its digits as written.
     """
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
-        whole = (F.abs(c) < 1e38) & (c == F.floor(c))
+        c = c.cast("double")
         text = (
             F.when(F.isnan(c), F.lit(None).cast("string"))
             .when(c == float("inf"), F.lit("inf"))
             .when(c == float("-inf"), F.lit("-inf"))
-            .when(whole, c.cast("decimal(38,0)").cast("string"))
+            .when(F.abs(c) >= float(1 << 53), large_digits(c))  # all of these are whole
+            .when(c == F.floor(c), c.cast("bigint").cast("string"))
             .otherwise(c.cast("string"))
         )
     elif isinstance(dtype, T.DecimalType):

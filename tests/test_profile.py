@@ -170,3 +170,10 @@ def test_places_of_duplicates_have_no_bound(raw_frame):
     examples = [r for r in profile.duplicate_groups(near.union(far)).collect() if r.record_type == "example"]
     # the first sheet's rows decide, however high their numbers
     assert [r.Quantity for r in sorted(examples, key=lambda r: r.example_rank)] == ["4", "8"]
+
+
+def test_approximate_cardinality_is_near_the_exact_one(lines):
+    exact = {r.metric: r.value for r in profile.cardinality(lines).collect()}
+    found = {r.metric: r.value for r in profile.cardinality(lines, approximate=True).collect()}
+    assert found.keys() == exact.keys()
+    assert all(abs(found[k] - n) <= max(1, 0.06 * n) for k, n in exact.items())

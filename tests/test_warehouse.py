@@ -510,3 +510,24 @@ def test_equal_layers_shuffle_no_row(built):
     assert 1 <= len(nodes) <= 2
     left, right = reconcile.differing_rows(staging, near, shared)
     assert left.count() == right.count() == 1
+
+
+def test_sketches_stay_within_their_error(spark, source):
+    """Merged over any context they estimate what is counted exactly; the exact path is as it was."""
+    row = source.filter("invoice_no = '5'").drop("invoice_no", "customer_id", "country", "batch_month")
+    many = spark.range(60_000).select(
+        (F.col("id") % 20_000).cast("string").alias("invoice_no"),
+        F.when(F.col("id") % 7 > 0, (F.col("id") % 9_001).cast("string")).alias("customer_id"),
+        F.element_at(F.array(F.lit("Norway"), F.lit("Chile"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("country"),
+        F.add_months(F.lit(DEC), (F.col("id") % 5).cast("int")).alias("batch_month"),
+    )
+    rest = row.first().asDict()
+    lines = many.select("*", *[F.lit(v).cast(row.schema[c].dataType).alias(c) for c, v in rest.items()])
+    sketches = kpi.distinct_sketches(lines, ["batch_month", "country"])
+    for by in ([], ["country"], ["batch_month"], ["batch_month", "country"]):
+        exact = {tuple(r[c] for c in by): r for r in kpi.kpis(lines, by).collect()}
+        for r in kpi.approximate_distinct(sketches, by).collect():
+            for name in ("orders", "known_customers", "cancelled_invoices"):
+                want = exact[tuple(r[c] for c in by)][name]
+                assert abs(r[name] - want) <= 3 * 1.04 / 2 ** (kpi.SKETCH_BITS / 2) * want
+    assert "hll" not in kpi.kpis(lines, ["country"])._jdf.queryExecution().optimizedPlan().toString()
