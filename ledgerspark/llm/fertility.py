@@ -1,8 +1,10 @@
 """Quality rules from tokeniser fertility, with bands per language or script.
 
-A public vocabulary with byte fallback splits each text; characters per token, the share
-of byte-fallback tokens and the entropy of the token counts (bits, divided by the most
-that so many tokens can have) say how foreign a text is to it. Bands come from all
+Two public vocabularies split each text: one with byte fallback, and a byte-level one for
+many languages (``multi_`` measures). Characters per token, the share of byte-fallback
+tokens and the entropy of the token counts (bits, divided by the most that so many tokens
+can have) say how foreign a text is to them. The other public files are of one language
+each and byte-level or without fallback, and would measure the same again. Bands come from all
 documents: per language (without one: per main script) the quartiles of each measure,
 widened by ``REACH`` times their distance on either side and never narrower than
 ``LEAST``. A text outside a band is rejected; so is one that fails the base rules.
@@ -15,6 +17,7 @@ one at a time, so memory follows the longest text. Extra columns are not read.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import prepare, stored, worker_state
+from ledgerspark.llm.packing import PATTERN
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEASURES = ("chars_per_token", "byte_share", "entropy")
-LEAST = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy": 0.05}
+MULTI = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+MEASURES = ("chars_per_token", "byte_share", "entropy", "multi_chars_per_token", "multi_entropy")
+LEAST = {"chars_per_token": 0.25, "byte_share": 0.05, "entropy": 0.05, "multi_chars_per_token": 0.25, "multi_entropy": 0.05}
 REACH = 3.0
 FEW = 20
 LEAST_WORDS = 50
@@ -81,35 +86,48 @@ def script(text: str) -> str:
     return SCRIPTS[int(np.argmax(sums))][0] if any(sums) else "other"
 
 
-def measure(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, lang, script, counts and the three measures of every row."""
+def entropy(ids: np.ndarray, size: int) -> float:
+    """Bits per token, divided by the most that so many tokens of ``size`` kinds can have."""
+    seen = np.bincount(ids)
+    p = seen[seen > 0] / len(ids)
+    return float(-(p * np.log2(p)).sum() / (np.log2(min(len(ids), size)) or 1.0))
+
+
+def measure(docs: DataFrame, model: bytes, multi: bytes) -> DataFrame:
+    """doc_id, lang, script, counts and the measures of every row."""
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def splitter():
+    def splitters():
         import sentencepiece
+        import tiktoken
 
         kept = worker_state()
-        if kept.get("fertility_model") != model:
-            kept["fertility_model"] = model
-            kept["fertility"] = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if kept.get("fertility_models") != (model, multi):
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, multi.splitlines())}
+            kept["fertility_models"] = model, multi
+            kept["fertility"] = (
+                sentencepiece.SentencePieceProcessor(model_proto=model),
+                tiktoken.Encoding("multi", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}),
+            )
         return kept["fertility"]
 
-    def one(text: str, split, byte: np.ndarray) -> tuple:
-        ids = np.array(split.encode(text), np.int64)
+    def one(text: str, pieces, many, byte: np.ndarray) -> tuple:
+        ids = np.array(pieces.encode(text), np.int64)
         if not len(ids):
-            return (None, None, None)
-        seen = np.bincount(ids, minlength=1)
-        p = seen[seen > 0] / len(ids)
-        most = np.log2(min(len(ids), len(byte))) or 1.0
-        return (len(text) / len(ids), float(byte[ids].mean()), float(-(p * np.log2(p)).sum() / most))
+            return (None,) * len(MEASURES)
+        other = np.array(many.encode_ordinary(text), np.int64)
+        return (
+            len(text) / len(ids), float(byte[ids].mean()), entropy(ids, len(byte)),
+            len(text) / len(other), entropy(other, many.n_vocab),
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = splitter()
-        byte = np.array([split.is_byte(k) for k in range(split.vocab_size())])
+        pieces, many = splitters()
+        byte = np.array([pieces.is_byte(k) for k in range(pieces.vocab_size())])
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(2)]
-            columns = list(zip(*((script(t), *counts(t), *one(t, split, byte)) for t in texts))) or [()] * 9
-            kinds = [pa.string(), *[pa.int64()] * 5, *[pa.float64()] * 3]
+            columns = list(zip(*((script(t), *counts(t), *one(t, pieces, many, byte)) for t in texts))) or [()] * (6 + len(MEASURES))
+            kinds = [pa.string(), *[pa.int64()] * 5, *[pa.float64()] * len(MEASURES)]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.record_batch([batch.column(0), batch.column(1), *arrays], _NAMES)
 
@@ -142,12 +160,13 @@ def group():
     return F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.concat(F.lit("script:"), F.col("script")))
 
 
-def judge(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """doc_id, counts, measures, base_failed, in_band and kept of every row of ``docs``."""
+def judge(docs: DataFrame, model_path: str = MODEL, multi_path: str = MULTI) -> DataFrame:
+    """doc_id, counts, measures, base_failed and kept of every row of ``docs``."""
     prepare(docs.sparkSession)
-    with open(model_path, "rb") as f:  # half a megabyte, read once and sent with the tasks
-        model = f.read()
-    measured = stored(measure(docs, model), "fertility")
+    # half a megabyte each, read once and sent with the tasks
+    with open(model_path, "rb") as f, open(multi_path, "rb") as g:
+        model, multi = f.read(), g.read()
+    measured = stored(measure(docs, model, multi), "fertility")
     limits = stored(bands(measured), "bands")
     every = limits.where("`group` is null").drop("group", "members")
     every = every.select(*[F.col(c).alias(f"all_{c}") for c in every.columns]).first()

@@ -244,5 +244,5 @@ def digest(docs: DataFrame) -> DataFrame:
     )
     return probe(files).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        feature.alias("feature"), "codec", "duration", F.size("keyframes").alias("n_keyframes"),
+        feature.alias("feature"), "codec", "duration", F.size("keyframes").alias("n_keyframes"), "keyframes",
     )

@@ -1,15 +1,19 @@
 """Operators that judge or store each text: media, quality, fertility, pieces."""
 
+import base64
 import hashlib
+import math
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import fertility, media, pieces, quality
+from ledgerspark.llm import fertility, media, packing, pieces, quality
 
 MODEL = open(pieces.MODEL, "rb").read()
 
@@ -158,6 +162,86 @@ def test_fertility_measures_and_bands(spark):
     assert sum(found[k]["kept"] for k, _, _ in plain) == 60
 
 
+def plain_entropy(ids, size):
+    p = [n / len(ids) for n in Counter(ids).values()]
+    most = math.log2(min(len(ids), size))
+    return -sum(x * math.log2(x) for x in p) / (most or 1.0)
+
+
+def plain_bands(rows, values):
+    """Quartiles by rank, widened, for each group of 20 or more and for all."""
+    out = {}
+    for name in {g for g, _ in rows} | {None}:
+        own = [m for g, m in rows if name in (None, g)]
+        if name is None or len(own) >= fertility.FEW:
+            out[name] = {}
+            for k, m in enumerate(values):
+                v = sorted(x[k] for x in own)
+                low, high = (v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.25, 0.75))
+                room = max((high - low) * fertility.REACH, fertility.LEAST[m])
+                out[name][m] = (low - room, high + room)
+    return out
+
+
+def test_fertility_against_plain_bands(docs):
+    df = docs.where("length(text) < 6000")
+    sp = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    with open(fertility.MULTI, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    many = tiktoken.Encoding("own", pat_str=packing.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    measured = {}
+    for r in df.collect():
+        ids, other = sp.encode(r["text"] or ""), many.encode_ordinary(r["text"] or "")
+        if ids:
+            n = len(r["text"])
+            share = sum(sp.is_byte(i) for i in ids) / len(ids)
+            measured[r["doc_id"]] = (
+                r["lang"], (n / len(ids), share, plain_entropy(ids, sp.vocab_size()), n / len(other), plain_entropy(other, many.n_vocab)),
+            )
+    bands = plain_bands(list(measured.values()), fertility.MEASURES)
+    found = by_id(fertility.judge(df))
+    assert set(found) >= set(measured)
+    for k, r in found.items():
+        if k not in measured:
+            assert not r["kept"]
+            continue
+        lang, values = measured[k]
+        assert [r[m] for m in fertility.MEASURES] == pytest.approx(list(values))
+        own = bands.get(lang, bands[None])
+        fits = all(own[m][0] <= v <= own[m][1] for m, v in zip(fertility.MEASURES, values))
+        assert r["kept"] == (fits and not r["base_failed"])
+    assert {r["kept"] for r in found.values()} == {True, False}
+
+
+def test_ridge_against_dense_equations(docs, labels):
+    rows = quality.describe(docs).join(labels.where("quality is not null").selectExpr("doc_id", "double(quality) as label"), "doc_id")
+    model = quality.fit(rows)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(quality.FOLDS)) == 0
+    stats, y, held = (np.array(c) for c in zip(*rows.select("stats", "label", fold).collect()))
+    mean, scale = stats.mean(0), stats.std(0)
+    assert model.mean == pytest.approx(mean, abs=1e-5)
+    z = model.features(stats)[~held]
+    left = z.T @ z
+    room = np.full(len(left), quality.RIDGE / 100 * np.trace(left) / len(left) + 1e-9)
+    room[-1] = 1e-9
+    assert model.weights == pytest.approx(np.linalg.solve(left + np.diag(room), z.T @ y[~held]), abs=1e-5)
+    assert (np.diff(model.level) >= 0).all()
+    want = np.clip(np.interp(model.features(stats) @ model.weights, model.at, model.level), 0, 1)
+    got = quality.apply(rows.select("doc_id", "stats"), model).collect()
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(want), abs=1e-6)
+
+
+def test_isotonic_is_the_best_monotone_fit():
+    rnd = np.random.default_rng(1)
+    n, ones = rnd.integers(1, 9, 40).astype(float), np.zeros(40)
+    ones = np.floor(rnd.random(40) * (n + 1))
+    centres, levels = quality.isotonic(np.arange(40.0), n, ones)
+    mean = lambda i, j: ones[i : j + 1].sum() / n[i : j + 1].sum()
+    want = [max(min(mean(i, j) for j in range(k, 40)) for i in range(k + 1)) for k in range(40)]
+    assert levels == pytest.approx(sorted(set(np.round(want, 12))))
+    assert (np.diff(centres) > 0).all()
+
+
 TEXTS = ["", "a", "  two  spaces ", "ünï 漢字 🙂\n\ttab", "a" * 700, "▁lit ▁▁ eral", "x  ", "<s> </s> <0x41>", "\x00 nul", "The quick brown fox, 1234 jumps!"]
 
 
