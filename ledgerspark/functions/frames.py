@@ -12,3 +12,15 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     """One-row frames with different columns as one row, without joining them."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+def distinct_counts(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """One row with the distinct non-null values of each column (``names``: column -> name).
+
+    A column is read by itself and its values are combined before the shuffle, so what
+    moves grows with the values and not with the rows.
+    """
+    counts = [
+        df.groupBy(column).agg(F.lit(1)).agg(F.count(column).alias(name)) for column, name in names.items()
+    ]
+    return side_by_side(*counts)

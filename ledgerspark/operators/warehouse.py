@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.dates import date_key
+from ledgerspark.functions.frames import distinct_counts, side_by_side
 from ledgerspark.functions.predicates import core_sale, count_where
 from ledgerspark.operators.numbering import ID_PREFIX_DIGITS, numbered_by_hash_id, numbered_in_order
 from ledgerspark.schema import ACCEPTED_CLASSES, FACT_COLUMNS, UNKNOWN_DESCRIPTION
@@ -256,13 +257,13 @@ def with_natural_keys(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
 
 def dimension_counts(dims: dict[str, DataFrame], staging: DataFrame) -> DataFrame:
     """Stored rows of each dimension against the count its source lines imply."""
-    expected = staging.groupBy("customer_id", "stock_code", "country").agg(
-        F.min("invoice_datetime").alias("low"), F.max("invoice_datetime").alias("high")
-    ).agg(
-        (F.datediff(F.max("high"), F.min("low")) + 1).cast("bigint").alias("dim_date"),
-        (F.countDistinct("customer_id") + 1).alias("dim_customer"),
-        F.countDistinct("stock_code").alias("dim_product"),
-        (F.countDistinct("country") + 1).alias("dim_country"),
+    days = staging.agg(F.min("invoice_datetime").alias("low"), F.max("invoice_datetime").alias("high"))
+    members = {"customer_id": "dim_customer", "stock_code": "dim_product", "country": "dim_country"}
+    expected = side_by_side(days, distinct_counts(staging, members)).select(
+        (F.datediff("high", "low") + 1).cast("bigint").alias("dim_date"),
+        (F.col("dim_customer") + 1).alias("dim_customer"),  # and the UNKNOWN rows
+        "dim_product",
+        (F.col("dim_country") + 1).alias("dim_country"),
     )
     expected = expected.unpivot([], expected.columns, "dimension_name", "expected_rows")
     actual = None

@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions.frames import side_by_side
+from ledgerspark.functions.frames import distinct_counts, side_by_side
 from ledgerspark.functions.predicates import count_where
 from ledgerspark.functions.text import utf16_units
 from ledgerspark.schema import (
@@ -175,7 +175,6 @@ def text_length_profile(lines: DataFrame) -> DataFrame:
 def staging_preflight(lines: DataFrame) -> DataFrame:
     """Rows, distinct members, time bounds, nulls and text widths of accepted lines."""
     c = F.col
-    members = ["customer_id", "stock_code", "country"]
     totals = lines.agg(
         F.count(F.lit(1)).alias("staging_rows"),
         F.min("invoice_datetime").alias("minimum_invoice_datetime"),
@@ -190,12 +189,8 @@ def staging_preflight(lines: DataFrame) -> DataFrame:
     ids = lines.groupBy("source_row_id").count().agg(
         count_where(c("source_row_id").isNotNull()).alias("distinct_source_row_ids")
     )
-    # The small columns share one grouped pass instead of one row copy per distinct count.
-    distinct = lines.groupBy(*members).agg(F.lit(1)).agg(
-        F.countDistinct("customer_id").alias("known_customer_ids"),
-        F.countDistinct("stock_code").alias("stock_codes"),
-        F.countDistinct("country").alias("known_country_labels"),
-    )
+    names = {"customer_id": "known_customer_ids", "stock_code": "stock_codes", "country": "known_country_labels"}
+    distinct = distinct_counts(lines, names)
     return side_by_side(totals, ids, distinct)
 
 
