@@ -163,16 +163,6 @@ def upsert_products(current: DataFrame | None, canonical: DataFrame, path: str)
     return kept.unionByName(keyed_members(fresh, "product_key", path, top))
 
 
-def extend_members(current: DataFrame | None, members: DataFrame, key: str, path: str) -> DataFrame:
-    """Dimension with an UNKNOWN row; known keys stay, new members follow the highest key."""
-    if current is None:
-        keyed = keyed_members(members, key, path)
-        return unknown_member(keyed).unionByName(keyed)
-    top = current.agg(F.max(key)).first()[0] or 0
-    fresh = members.join(current, members.columns, "left_anti")
-    return current.unionByName(keyed_members(fresh, key, path, top))
-
-
 def _spread_nulls(natural: str) -> Column:
     """Join key in which missing members are spread instead of meeting in one task."""
     salt = F.concat(F.lit("\0"), F.pmod(F.hash("source_row_id"), F.lit(_SPREAD)).cast("string"))
