@@ -69,7 +69,7 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     raw = text.encode()
     words = raw.split()
-    lines = [x for x in text.split("\n") if x.encode().split()]
+    lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
     return (
         len(words),
         len(text) - (len(raw) - len(raw.translate(None, SPACES))),
@@ -88,13 +88,12 @@ def script(text: str) -> str:
 
 def entropy(ids: np.ndarray, size: int) -> float:
     """Bits per token, divided by the most that so many tokens of ``size`` kinds can have."""
-    seen = np.bincount(ids)
-    p = seen[seen > 0] / len(ids)
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
     return float(-(p * np.log2(p)).sum() / (np.log2(min(len(ids), size)) or 1.0))
 
 
 def measure(docs: DataFrame, model: bytes, multi: bytes) -> DataFrame:
-    """doc_id, lang, script, counts and the measures of every row."""
+    """doc_id, lang, script (where there is no lang), counts and the measures of every row."""
     id_kind = docs.schema["doc_id"].dataType.simpleString()
 
     def splitters():
@@ -125,8 +124,9 @@ def measure(docs: DataFrame, model: bytes, multi: bytes) -> DataFrame:
         pieces, many = splitters()
         byte = np.array([pieces.is_byte(k) for k in range(pieces.vocab_size())])
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(2)]
-            columns = list(zip(*((script(t), *counts(t), *one(t, pieces, many, byte)) for t in texts))) or [()] * (6 + len(MEASURES))
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            texts = [(None if lang is not None else script(t or ""), t or "") for lang, t in rows]  # only asked for without a language
+            columns = list(zip(*((s, *counts(t), *one(t, pieces, many, byte)) for s, t in texts))) or [()] * (6 + len(MEASURES))
             kinds = [pa.string(), *[pa.int64()] * 5, *[pa.float64()] * len(MEASURES)]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.record_batch([batch.column(0), batch.column(1), *arrays], _NAMES)
