@@ -64,6 +64,27 @@ def held_out(doc_id: Column, parts: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == remainder, F.lit(False))
 
 
+def lean(run):
+    """``run`` for mapInArrow, after which the worker gives back the memory it no longer uses.
+
+    Workers live on from task to task, and what their allocators keep counts against the
+    executor while the next stage's tasks need it.
+    """
+
+    def work(batches):
+        import ctypes
+
+        import pyarrow
+
+        yield from run(batches)
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return work
+
+
 def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks."""
     import sys

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import prepare, worker_state
+from ledgerspark.llm.common import lean, prepare, worker_state
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -484,7 +484,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, s
             yield pa.record_batch([batch.column(0), tokens], ["row", "tokens"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, tokens array<int>").select("row.*", "tokens")
+    return rows.mapInArrow(lean(run), f"row {kind}, tokens array<int>").select("row.*", "tokens")
 
 
 def decode(coded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -506,7 +506,7 @@ def decode(coded: DataFrame, model_path: str = MODEL) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], ["row", "decoded"])
 
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, decoded string").select("row.*", "decoded")
+    return rows.mapInArrow(lean(run), f"row {kind}, decoded string").select("row.*", "decoded")
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:

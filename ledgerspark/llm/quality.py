@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import held_out, prepare, stored
+from ledgerspark.llm.common import held_out, lean, prepare, stored
 
 FEATURES = 384
 RIDGE = 0.3  # times the mean diagonal entry, over a hundred
@@ -90,7 +90,7 @@ def describe(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "stats"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, stats array<float>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, stats array<float>")
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "stats") -> np.ndarray:
@@ -109,7 +109,7 @@ def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size:
         if some:
             yield pa.record_batch([pa.array(np.arange(size)), pa.array(total)], ["place", "value"])
 
-    sums = rows.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    sums = rows.mapInArrow(lean(run), "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
     out = np.zeros(size)
     for r in sums.collect():  # ``size`` rows, fixed by the model
         out[r["place"]] = r["value"]
@@ -202,7 +202,7 @@ def apply(described: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     kind = described.schema["doc_id"].dataType.simpleString()
-    return described.mapInArrow(run, f"doc_id {kind}, score double")
+    return described.mapInArrow(lean(run), f"doc_id {kind}, score double")
 
 
 def train(described: DataFrame, labels: DataFrame) -> Model:
@@ -238,4 +238,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 good = pa.array(model.score(stats) >= 0.5)
                 yield batch.select([0]).filter(good)
 
-    return row.mapInArrow(run, f"row {row.schema['row'].dataType.simpleString()}").select("row.*")
+    return row.mapInArrow(lean(run), f"row {row.schema['row'].dataType.simpleString()}").select("row.*")

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import prepare, stored
+from ledgerspark.llm.common import lean, prepare, stored
 from ledgerspark.llm.words import hashes, joined, mixed, raw, slices, split, stretches
 
 WINDOW = 13
 RUN = 2
-SHARE = 12_000_000  # bytes of packed words meant for one bucket
+SHARE = 8_000_000  # bytes of packed words meant for one bucket
 ROOM = 48_000_000  # bytes of packed words that a task sorts in memory
-FLUSH = 24_000_000  # bytes that a task packs before it sends its blocks
+FLUSH = 16_000_000  # bytes that a task packs before it sends its blocks
 SPREAD = 3  # packed words are about so many times the text
 
 
@@ -249,7 +249,7 @@ def _one_by_one(blocks: DataFrame, window: int) -> DataFrame:
                     words = [flat[a:b].tobytes() for a, b in zip(low[s], high[s])]
                     yield pa.record_batch([pa.array(words, pa.binary()), *(pa.array(x[s]) for x in (ids, crcs, at))], ["words", "id", "crc", "at"])
 
-    rows = stored(blocks.select("block").mapInArrow(work, "words binary, id long, crc long, at long"), "windows")
+    rows = stored(blocks.select("block").mapInArrow(lean(work), "words binary, id long, crc long, at long"), "windows")
     least = rows.groupBy("words").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
     least = stored(least.select("words", "least"), "least")
     hits = rows.join(least, "words").where("id > least")
@@ -265,10 +265,10 @@ def spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, share: int = SH
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total * SPREAD // share))
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
-    blocks = texts.mapInArrow(_mapper(buckets, window, run), "bucket int, block binary")
+    blocks = texts.mapInArrow(lean(_mapper(buckets, window, run)), "bucket int, block binary")
     dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     schema = "kind int, id long, crc long, low long, high long, block binary"
-    found = stored(dealt.mapInArrow(_reducer(window, room), schema), "spans", "kind")
+    found = stored(dealt.mapInArrow(lean(_reducer(window, room)), schema), "spans", "kind")
     marked = found.where("kind = 0").select("id", "crc", "low", "high")
     crowded = found.where("kind = 1")
     if crowded.isEmpty():
@@ -310,7 +310,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _with_spans(docs, [F.col("doc_id"), F.col("text")], **options)
-    return rows.mapInArrow(work, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(lean(work), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
@@ -333,7 +333,7 @@ def clean(docs: DataFrame, **options) -> DataFrame:
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     rows = _with_spans(docs, [rest, F.col("text")], **options)
     kind = rows.schema["row"].dataType.simpleString()
-    out = rows.mapInArrow(work, f"row {kind}, text string").select("row.*", "text")
+    out = rows.mapInArrow(lean(work), f"row {kind}, text string").select("row.*", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns])

@@ -327,6 +327,15 @@ def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark):
     assert nearcopies._candidates(rows, False).count() < 0.6 * members * (members - 1) / 2
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_rows_with_a_key_of_their_own_go(size):
+    rnd = random.Random(size)
+    keys = sorted(rnd.randrange(60) for _ in range(70))
+    rows = pa.record_batch([pa.array(keys), pa.array(range(70))], ["key", "row"])
+    found = [r["row"] for b in nearcopies._repeated(rows.slice(k, size) for k in range(0, 70, size)) for r in b.to_pylist()]
+    assert found == [k for k, key in enumerate(keys) if keys.count(key) > 1]
+
+
 def test_sketches_lose_no_pair():
     rnd = random.Random(5)
     for _ in range(300):
