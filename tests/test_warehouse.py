@@ -531,3 +531,61 @@ def test_sketches_stay_within_their_error(spark, source):
                 want = exact[tuple(r[c] for c in by)][name]
                 assert abs(r[name] - want) <= 3 * 1.04 / 2 ** (kpi.SKETCH_BITS / 2) * want
     assert "hll" not in kpi.kpis(lines, ["country"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture
+def shuffling(monkeypatch):
+    """No month is few enough for one task."""
+    from ledgerspark.functions import frames
+
+    monkeypatch.setattr(frames, "FEW_ROWS", 0)
+
+
+def test_a_replay_gates_every_month_and_equals_one_build(spark, folder, source, built):
+    store = Warehouse(spark, folder)
+    store.replay(source, DEC, DEC, FEB)
+    assert natural(store) == natural(built)
+    log = store.run_log().orderBy("period").collect()
+    assert [(r.period, r.input_rows, r.inserted_rows) for r in log] == [(DEC, 2, 2), (JAN, 3, 3), (FEB, 2, 2)]
+    assert store.mark() == FEB and len(store.snapshots._versions()) == 3
+    assert sorted(r.sales_key for r in store.fact().collect()) == list(range(1, 8))
+    with pytest.raises(ValueError, match="already_processed"):
+        store.replay(source, JAN, DEC, FEB)
+
+
+def test_a_month_that_fails_ends_the_replay_before_it(spark, folder, source, built, monkeypatch):
+    store, judge = Warehouse(spark, folder), reconcile.assert_period
+
+    def refuse(measures, n):
+        if measures["period"] == JAN:
+            raise ValueError("quality gate")
+        judge(measures, n)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(reconcile, "assert_period", refuse)
+        with pytest.raises(ValueError, match="quality gate"):
+            store.replay(source, DEC, DEC, FEB)
+    assert store.mark() == DEC and store.fact().count() == 2
+    assert {r.month for r in store.staging().select("month").distinct().collect()} == {"12"}
+    store.replay(source, JAN, DEC, FEB)
+    assert store.mark() == FEB and natural(store) == natural(built)
+
+
+def test_months_of_more_rows_than_one_tasks_are_shuffled_to_the_same_facts(spark, folder, source, built, shuffling):
+    store = Warehouse(spark, folder)
+    store.replay(source, DEC, DEC, FEB)
+    assert natural(store) == natural(built)
+    one = {(r.source_row_id, r.sales_key) for r in built.fact().collect()}
+    assert {(r.source_row_id, r.sales_key) for r in store.fact().collect()} == one
+
+
+def test_a_small_month_is_few_jobs(spark, folder, source):
+    store, context = Warehouse(spark, folder), spark.sparkContext
+    store.run(source, DEC, DEC, FEB)
+    context.setJobGroup("a small month", "jobs of one run")
+    try:
+        store.run(source, JAN, DEC, FEB)
+        jobs = context.statusTracker().getJobIdsForGroup("a small month")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 10 < len(jobs) <= 70  # 112 when every step shuffled
