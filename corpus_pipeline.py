@@ -22,7 +22,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each component of near copies (five words, similarity 0.8)."""
+    """The document of least id of each component of near copies (five words, similarity 0.8).
+
+    SimHash links them; its links are checked and completed on the whole sets.
+    """
     return nearcopies.keep_one(docs)
 
 

@@ -1,6 +1,11 @@
-"""Near copies by the exact Jaccard similarity of five-word shingle sets.
+"""Near copies by SimHash, checked and completed by the exact Jaccard similarity of five-word shingle sets.
 
-Two sets of similarity 4/5 or more share a member among the first n - ceil(4n/5) + 1 of
+Fingerprints of five-word shingles that are equal or differ in at most ``RADIUS`` bits of
+``simhash`` are linked by its covering masks; links whose sets are similar enough stay.
+Texts of similarity 0.8 may differ in more bits than masks can cover, so what SimHash
+leaves apart is looked for by prefixes:
+
+two sets of similarity 4/5 or more share a member among the first n - ceil(4n/5) + 1 of
 each, whatever order all sets are put in (prefix filter), so meeting at those shingles
 finds every such pair and no radius or number of tables loses one. The order is by hash,
 with shingles that are frequent in a sample of documents last; the sample changes how
@@ -40,7 +45,8 @@ from pyspark.sql import Window as W
 
 from ledgerspark.llm.common import lean, prepare, release, stored
 from ledgerspark.llm.graph import components
-from ledgerspark.llm.simhash import keep_first
+from ledgerspark.llm.simhash import fingerprint, keep_first
+from ledgerspark.llm.simhash import links as simhash_links
 
 SHINGLE = 5
 OVER, UNDER = 4, 5  # similarity of near copies: 4/5
@@ -111,7 +117,7 @@ def _frequent(docs: DataFrame, sample: int, often: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
-    """doc_id, node (the set), n (its size), both sketches and prefix (its first shingles)."""
+    """doc_id, node (the set), n (its size), both sketches, prefix (its first shingles) and fp (SimHash)."""
     by_hash = np.argsort(last)
     known = last[by_hash]
 
@@ -132,10 +138,32 @@ def _prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
             nodes, sizes = pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32())
             sketches = pa.array([_sketch(s, BITS) for s in sets], pa.binary())
             wide = pa.array(list(map(_wide, sets)), pa.binary())
-            yield pa.record_batch([batch.column(0), nodes, sizes, sketches, wide, lists], ["doc_id", "node", "n", "sketch", "wide", "prefix"])
+            prints = (fingerprint((t.as_py() or "").encode(), SHINGLE, SEED) for t in batch.column(1))
+            fp = pa.array(np.fromiter(prints, np.uint64, batch.num_rows).view(np.int64))
+            yield pa.record_batch([batch.column(0), nodes, sizes, sketches, wide, lists, fp], ["doc_id", "node", "n", "sketch", "wide", "prefix", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, node long, n int, sketch binary, wide binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, node long, n int, sketch binary, wide binary, prefix array<long>, fp long")
+
+
+def _fingerprinted(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that SimHash links: of like fingerprints, or of fingerprints within its radius."""
+    prints = stored(classes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    like = classes.select("fp", "node").join(prints, "fp").where("node != least").select("least", "node")
+    near = simhash_links(prints.select("fp"))
+    near = near.join(prints.toDF("a", "one"), "a").join(prints.toDF("b", "two"), "b").select("one", "two")
+    pairs = stored(like.union(near).toDF("a", "b").distinct(), "fingerprinted")
+    release(prints)
+    return pairs
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs that ``links`` do not connect."""
+    roots = components(links)
+    for side in ("a", "b"):
+        named = roots.toDF(side, f"{side}_root")
+        pairs = pairs.join(named, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    return pairs.where("a_root != b_root").select("a", "b")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,13 +349,18 @@ def near_copies(docs: DataFrame, sample: int = SAMPLE, often: int = OFTEN) -> Da
     prints = stored(_prefixes(docs, _frequent(docs, sample, often)), "prefixes")
     ids = stored(prints.select("doc_id", "node"), "ids")
     columns = [F.first(c).alias(c) for c in ("n", "sketch", "wide", "prefix")]
+    # texts of one set may differ in their fingerprints, which count repeats
+    columns.append(F.min("fp").alias("fp"))
     classes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *columns), "classes")
     release(prints)
+    asked = _fingerprinted(classes)
+    links = [_similar(asked, docs, classes)]
+    release(asked)
     sketches = classes.select("node", "sketch")
     met = stored(_met(classes), "met")
     fits = (OVER + UNDER) * F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place")) >= OVER * (F.col("n") + F.col("hub.n"))
     pairs = met.where((F.col("node") != F.col("hub.node")) & fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = [_similar(pairs, docs, classes)]
+    links.append(_similar(_apart(pairs, links[0]), docs, classes))
     crowds = met.where("many > 2").select("shingle", "node", "n", "place", "many")
     for middles in (True, False):
         rows = _unlinked(crowds, reduce(DataFrame.union, links), sketches)

@@ -383,3 +383,13 @@ def test_the_pipeline_drops_near_copies_of_five_words(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "quite another text")], "doc_id long, text string")
     kept = corpus_pipeline.one_of_near_copies(spark, df, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_simhash_links_near_copies_without_shared_prefixes(spark, monkeypatch):
+    met = nearcopies._met
+    monkeypatch.setattr(nearcopies, "_met", lambda classes: met(classes).limit(0))
+    words = [f"w{k * k % 7919}x{k}" for k in range(6000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "changed"]), " ".join(words[:40]), None]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
