@@ -251,3 +251,51 @@ def test_sheet_rows_are_reconciled_with_their_numbers(spark):
     raw = spark.createDataFrame(rows, "source_sheet string, source_row_number long")
     found = {r.source_sheet: r.reconciled for r in sheet_row_counts(raw).collect()}
     assert found == {"A": True, "B": False, "C": False, "ALL SHEETS": True}
+
+
+def test_shuffles_start_with_parts_by_size(spark):
+    from ledgerspark.session import BYTES_PER_PART, deal_by_size
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key, None)
+    try:
+        deal_by_size(spark, 3 * BYTES_PER_PART)
+        assert spark.conf.get(key, None) == before  # small: the session's number is enough
+        deal_by_size(spark, 500 * BYTES_PER_PART + 1)
+        deal_by_size(spark, 10 * BYTES_PER_PART)
+        assert spark.conf.get(key) == "501"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_accepted_lines_are_written_from_the_tasks_they_lie_in(spark, accepted, folder, monkeypatch):
+    def shuffled(*_):
+        raise AssertionError("a shuffle by month")
+
+    monkeypatch.setattr(sink, "by_month", shuffled)
+    sink.write_accepted(accepted, f"{folder}/dealt", folder, dealt=True)
+    wanted = sorted(map(tuple, accepted.select("source_row_id", "batch_month").collect()))
+    stored = sink.read_accepted(spark, f"{folder}/dealt")
+    assert sorted(map(tuple, stored.select("source_row_id", "batch_month").collect())) == wanted
+    checked = sink.check_output(spark, f"{folder}/dealt").first()
+    assert checked.misplaced_files == checked.bad_partition_folders == 0
+
+
+def test_numbers_go_on_over_the_files_of_a_range(spark, folder):
+    df = spark.range(0, 900, 1, 3).select((F.col("id") % 450).alias("k"), (F.col("id") % 2).cast("string").alias("g"))
+    got = numbered_in_order(df, folder, ["g", "k"], ["g", "k"], "n", ["g"], 50)
+    assert len(spark.read.parquet(f"{folder}/rows").inputFiles()) >= 18
+    for g in ("0", "1"):
+        rows = sorted((r.n, r.k) for r in got.collect() if r.g == g)
+        assert [n for n, _ in rows] == list(range(1, 451))
+        assert [k for _, k in rows] == sorted(k for _, k in rows)
+
+
+def test_stripping_keeps_what_btrim_keeps(spark):
+    from ledgerspark.functions.text import WHITESPACE, strip
+
+    ends = ["", "a", "~", "!", "\x7f", "é", "漢", "​", *WHITESPACE]
+    texts = [a + m + b for a in ends for m in ("", "x y", " ") for b in ends]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    wrong = rows.filter(~strip(F.col("t")).eqNullSafe(F.btrim("t", F.lit(WHITESPACE))))
+    assert wrong.collect() == []

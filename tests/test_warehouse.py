@@ -462,6 +462,24 @@ def test_facts_are_numbered_without_one_window_over_all_prefixes(built):
     assert all("[year" in w.replace("[_", "") for w in windows if "_bucket" in w)
 
 
+def test_facts_are_shuffled_once_without_their_ids(built):
+    facts = warehouse.fact_rows(built.staging(), built.dims(), 0, 0)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [line for line in plan if "RepartitionByExpression" in line]
+    assert len(dealt) == 1 and dealt[0].count("_bucket") == 1
+
+
+def test_facts_keep_ids_that_are_no_digests(built):
+    lines = built.staging()
+    odd = F.when(F.col("source_row_number") % 2 == 0, F.sha2(F.reverse("source_row_id"), 256))
+    lines = lines.withColumn("source_row_id", F.coalesce(odd, F.col("source_row_id")))
+    facts = warehouse.fact_rows(lines, built.dims(), 0, 1)
+    months = {r.source_row_id: r.batch_month for r in lines.collect()}
+    got = sorted(facts.collect(), key=lambda r: r.sales_key)
+    assert [r.source_row_id for r in got] == sorted(months, key=lambda i: (months[i], i))
+    assert [r.sales_key for r in got] == list(range(1, len(months) + 1))
+
+
 def test_a_month_of_unknown_customers_keeps_its_row(source):
     unknown = source.withColumn("customer_id", F.when(F.col("batch_month") != F.lit(JAN), F.col("customer_id")))
     rows = {r.batch_month: r for r in kpi.repeat_customers(unknown, ["batch_month"]).collect()}
