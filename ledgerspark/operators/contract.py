@@ -19,6 +19,7 @@ from ledgerspark.functions.predicates import (
     core_sale,
     count_where,
 )
+from ledgerspark.operators import occupancy
 from ledgerspark.schema import (
     ACCEPT,
     ACCEPT_FLAGGED,
@@ -229,19 +230,23 @@ def long_counts(df: DataFrame, wanted: dict, by: list[str] = ()) -> DataFrame:
 def transform_invariants(assessed: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """(check_name, value): what must hold between source, accepted and rejected lines.
 
-    ``assessed`` may be the stored outcome, to be held against its ``source``. Ids
-    are counted by a two-step aggregate, which combines on the map side and needs no
-    row expansion.
+    ``assessed`` may be the stored outcome, to be held against its ``source``. Ids are
+    shuffled to be counted only if row numbers do not show that they are distinct.
     """
     accepted = F.col("classification").isin(ACCEPT, ACCEPT_FLAGGED)
     rejected = F.col("classification") == REJECT
-    per_id = assessed.groupBy("source_row_id").agg(
-        F.count(F.lit(1)).alias("n"),
+    distinct = occupancy.all_distinct(assessed)
+    measured = [
         count_where(accepted).alias("accepted"),
         count_where(rejected).alias("rejected"),
         count_where(rejected & (F.col("reject_reason") == "")).alias("no_reason"),
         count_where(accepted & (F.col("reject_reason") != "")).alias("accepted_with_reason"),
-    )
+    ]
+    if distinct:  # all ids as one group, of which none is missing or repeated
+        none = [F.lit("").alias("source_row_id"), F.lit(1).cast("bigint").alias("n")]
+        per_id = assessed.agg(*measured).select(*none, "*")
+    else:
+        per_id = assessed.groupBy("source_row_id").agg(F.count(F.lit(1)).alias("n"), *measured)
 
     def total(c: str):
         return F.coalesce(F.sum(c), F.lit(0))

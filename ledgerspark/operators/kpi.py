@@ -26,12 +26,18 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
-def invoice_customer_sums(lines: DataFrame, by: list[str]) -> DataFrame:
-    """Additive measures and flags per (context, invoice, customer)."""
+def invoice_customer_sums(lines: DataFrame, by: list[str], fine: bool = False) -> DataFrame:
+    """Additive measures and flags per (context, invoice, customer).
+
+    In a ``fine`` context an invoice has hardly more than a line, so nothing can be combined
+    before the shuffle: lines are dealt by context and invoice, once for both steps.
+    """
     sale, cancel = core_sale(), core_cancellation()
     marked = lines.select(
         *by, *[c for c in _INPUT if c not in by], sale.alias("_sale"), cancel.alias("_cancel")
     )
+    if fine:
+        marked = marked.repartition(*by, "invoice_no")
     sale, cancel = F.col("_sale"), F.col("_cancel")
     return marked.groupBy(*by, "invoice_no", "customer_id").agg(
         F.sum(F.when(sale, F.col("line_amount"))).alias("sale_amount"),
@@ -89,10 +95,10 @@ def measures_from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def kpis(lines: DataFrame, by: list[str] = ()) -> DataFrame:
+def kpis(lines: DataFrame, by: list[str] = (), fine: bool = False) -> DataFrame:
     """Every measure within each combination of ``by`` columns (the filter context)."""
     by = list(by)
-    return measures_from_sums(invoice_customer_sums(lines, by), by)
+    return measures_from_sums(invoice_customer_sums(lines, by, fine), by)
 
 
 def kpi_levels(lines: DataFrame, levels: list[list[str]]) -> DataFrame:

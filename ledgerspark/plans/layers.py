@@ -104,14 +104,25 @@ class Layers:
         kept = self.accepted().withColumn("reject_reason", F.lit(""))
         return kept.select(*columns).unionByName(self.rejected().select(*columns))
 
-    def warehouse(self) -> Warehouse:
-        """The star schema over the accepted dataset, which serves as its staging table."""
+    def warehouse(self, facts: bool = True) -> Warehouse:
+        """The star schema over the accepted dataset, which serves as its staging table.
+
+        Without ``facts`` its dimensions are enough; they are built once in either case.
+        """
         self.accepted()
         store = Warehouse(self.spark, f"{self.root}/star", staging_path=self.accepted_path)
-        if not store.snapshots.latest().version:
-            store.bootstrap()
+        found = store.snapshots.latest()
+        if not found.version:
+            store.bootstrap(facts)
+        elif facts and not found.facts:
+            store.build_facts()
         return store
 
+    def dimensions(self) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """(staging lines, dimensions), for what needs no facts."""
+        store = self.warehouse(facts=False)
+        return store.staging(), store.dims()
+
     def star(self) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
         """(staging lines, facts, dimensions)."""
         store = self.warehouse()

@@ -236,7 +236,7 @@ def load_idempotent(x: Layers) -> DataFrame:
     """The accepted lines loaded twice into an empty warehouse."""
     store = Warehouse(x.spark, x.scratch("load_idempotent"))
     lines = x.accepted().select(*ACCEPTED_COLUMNS)
-    loads = [(i, *store.load_staging(lines).values()) for i in (1, 2)]
+    loads = [(i, *store.load_staging(lines, dealt=True).values()) for i in (1, 2)]
     return x.spark.createDataFrame(
         loads,
         "load_number int, processed long, inserted long, skipped_existing long, staging_rows long",
@@ -278,7 +278,7 @@ def dim_country(x: Layers) -> DataFrame:
 
 @query
 def dimension_counts(x: Layers) -> DataFrame:
-    staging, _, dims = x.star()
+    staging, dims = x.dimensions()
     return warehouse.dimension_counts(dims, staging)
 
 
@@ -376,7 +376,7 @@ def core_line_reconciliation(x: Layers) -> DataFrame:
 
 @query
 def canonical_product_mismatch(x: Layers) -> DataFrame:
-    staging, _, dims = x.star()
+    staging, dims = x.dimensions()
     return reconcile.canonical_product_mismatch(staging, dims["dim_product"])
 
 
@@ -417,7 +417,7 @@ def period_upsert(x: Layers) -> DataFrame:
     low, high = _period_bounds(lines)
     store = Warehouse(x.spark, x.scratch("period_upsert"))
     wanted = lines.select(*ACCEPTED_COLUMNS)
-    store.load_staging(wanted.filter(F.col("batch_month") < F.lit(high)))
+    store.load_staging(wanted.filter(F.col("batch_month") < F.lit(high)), dealt=True)
     store.bootstrap()
     store.load_staging(months_between(lines, high, high).select(*ACCEPTED_COLUMNS))
     counts = store.upsert_periods(high, high, high)
@@ -640,7 +640,7 @@ def _by_customer_key(fact: DataFrame) -> DataFrame:
 def kpi_by_product(x: Layers) -> DataFrame:
     """Measures per product, joined to its name after aggregation."""
     _, fact, dims = x.star()
-    found = kpi.kpis(_by_customer_key(fact), ["product_key"])
+    found = kpi.kpis(_by_customer_key(fact), ["product_key"], fine=True)
     return found.join(dims["dim_product"], "product_key").select(
         "stock_code", "description", "net_sales", "orders", "units_sold", "cancelled_units",
         "cancelled_invoices",

@@ -143,36 +143,45 @@ class Warehouse:
 
     # -- loads -----------------------------------------------------------------
 
-    def load_staging(self, lines: DataFrame) -> dict[str, int]:
-        """Append accepted lines whose id is not staged yet; a broken line fails the load."""
-        draft, counts = self._load(self.snapshot(), lines)
+    def load_staging(self, lines: DataFrame, dealt: bool = False) -> dict[str, int]:
+        """Append accepted lines whose id is not staged yet; a broken line fails the load.
+
+        Lines that are ``dealt`` lie in tasks of a few months each.
+        """
+        draft, counts = self._load(self.snapshot(), lines, dealt=dealt)
         self.snapshots.publish(draft)
         return counts
 
     def _load(
-        self, draft: Snapshot, lines: DataFrame, rows: int | None = None
+        self, draft: Snapshot, lines: DataFrame, rows: int | None = None, dealt: bool = False
     ) -> tuple[Snapshot, dict[str, int]]:
         """``draft`` with the lines that are not staged yet; ``rows`` is their number if known."""
         lines = compact(lines.select(*[f.name for f in ACCEPTED_SCHEMA.fields]), rows)
         assert_signature(lines.schema, ACCEPTED_SCHEMA, "lines to load")
         foreign = F.col("source_row_id") != source_row_id(F.col("source_sheet"), F.col("source_row_number"))
-        per_id = (
-            lines.select(
-                "source_row_id",
-                "source_sheet",
-                "source_row_number",
-                (reconcile.load_violations() != "").alias("broken"),
-                foreign.alias("foreign"),
+        marks = lines.select(
+            "source_row_id",
+            "source_sheet",
+            "source_row_number",
+            (reconcile.load_violations() != "").alias("broken"),
+            foreign.alias("foreign"),
+        )
+        if not few(rows) and occupancy.all_distinct(lines):
+            # A line is its id's only one, so no id needs to be shuffled.
+            per_id = marks.select(
+                F.lit(1).cast("bigint").alias("n"),
+                *[F.coalesce(F.col(c), F.lit(False)).cast("bigint").alias(c) for c in ("broken", "foreign")],
+                F.col("source_sheet").alias("sheet"),
+                F.col("source_row_number").alias("number"),
             )
-            .groupBy("source_row_id")
-            .agg(
+        else:
+            per_id = marks.groupBy("source_row_id").agg(
                 F.count(F.lit(1)).alias("n"),
                 count_where(F.col("broken")).alias("broken"),
                 count_where(F.col("foreign")).alias("foreign"),
                 F.min("source_sheet").alias("sheet"),
                 F.min("source_row_number").alias("number"),
             )
-        )
         sheets = per_id.groupBy("sheet").agg(
             F.sum("n").alias("processed"),
             F.sum("broken").alias("broken"),
@@ -191,7 +200,8 @@ class Warehouse:
             bounds = {r.sheet: (r.low, r.high) for r in sheets}
             draft = self._indexed(draft)
             path = self._folder("staging")
-            append_by_month(self.unstaged(draft, lines, bounds, odd), path, rows=processed)
+            new = self.unstaged(draft, lines, bounds, odd, rows)
+            append_by_month(new, path, rows=processed, dealt=dealt and not few(processed))
             part = self._part(path, ACCEPTED_TABLE_SCHEMA, processed)
             inserted = part.rows
             if inserted:
@@ -205,7 +215,12 @@ class Warehouse:
         return draft, counts
 
     def unstaged(
-        self, at: Snapshot, lines: DataFrame, bounds: dict[str, tuple[int, int]], foreign: int = 0
+        self,
+        at: Snapshot,
+        lines: DataFrame,
+        bounds: dict[str, tuple[int, int]],
+        foreign: int = 0,
+        rows: int | None = None,
     ) -> DataFrame:
         """Lines whose id is not staged, by the row numbers taken; staged lines are not read.
 
@@ -225,8 +240,13 @@ class Warehouse:
         met = [p for p in at.staging if meets(p)]
         index = self._read([p.occupied for p in met], occupancy.OCCUPIED_SCHEMA)
         if index is not None:
-            index = compact(index, sum(p.rows for p in met))
-            new = occupancy.unoccupied(lines, occupancy.within(index, bounds))
+            index = occupancy.within(compact(index, sum(p.rows for p in met)), bounds)
+            # Lines are shuffled to meet the index only if some of them are staged and some not.
+            known = None if few(rows) else occupancy.all_or_none(lines, index)
+            if known:
+                new = lines.limit(0)
+            elif known is None:
+                new = occupancy.unoccupied(lines, index)
         others = [p.path for p in at.staging if foreign or p.foreign]
         if others:
             # A foreign line may stand at a row number that another id takes: only ids decide.
@@ -428,15 +448,24 @@ class Warehouse:
             draft = replace(draft, facts=(*draft.facts, part))
         return draft, {"fact_inserted": part.rows, "fact_skipped_existing": rows - part.rows}
 
-    def bootstrap(self) -> dict[str, int]:
-        """Build or re-run the whole star schema from all staged lines."""
+    def bootstrap(self, with_facts: bool = True) -> dict[str, int]:
+        """Build or re-run the whole star schema from all staged lines, or its dimensions only."""
         draft = self.snapshot()
         lines = self.staging(draft)
         draft, counts = self._upsert_dimensions(draft, lines, date_bounds(lines), whole_history=True)
-        draft, facts = self._append_facts(draft, lines, _rows_per_month(draft.staging))
+        facts = {}
+        if with_facts:
+            draft, facts = self._append_facts(draft, lines, _rows_per_month(draft.staging))
         self.snapshots.publish(draft)
         return {**counts, **facts}
 
+    def build_facts(self) -> dict[str, int]:
+        """Facts of all staged lines, over the dimensions that there are."""
+        draft = self.snapshot()
+        draft, counts = self._append_facts(draft, self.staging(draft), _rows_per_month(draft.staging))
+        self.snapshots.publish(draft)
+        return counts
+
     def upsert_periods(self, low: date, high: date, source_max: date) -> dict:
         """Bring the star schema up to date for the staged months ``low`` to ``high``.
 
@@ -471,12 +500,12 @@ class Warehouse:
         self, low: date | None = None, high: date | None = None, at: Snapshot | None = None
     ) -> DataFrame:
         at = at or self.snapshot()
-        staging, fact = self.staging(at), self.fact(at)
+        staging, fact, rows = self.staging(at), self.fact(at), None
         if low is not None:
             rows = max(sum(_rows_per_month(parts, low, high).values()) for parts in (at.staging, at.facts))
             staging = compact(self._months(at.staging, ACCEPTED_TABLE_SCHEMA, low, high), rows)
             fact = compact(self._months(at.facts, FACT_TABLE_SCHEMA, low, high), rows)
-        return reconcile.period_reconciliation(staging, fact, self.dims(at))
+        return reconcile.period_reconciliation(staging, fact, self.dims(at), rows)
 
     def mark(self) -> date | None:
         """Last month of the contiguous passed prefix of the run log."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.frames import compact, distinct_counts, few, side_by_side
 from ledgerspark.functions.predicates import count_where
 from ledgerspark.functions.text import utf16_units
+from ledgerspark.operators import occupancy
 from ledgerspark.schema import (
     ACCEPTED_SCHEMA,
     ACCEPTED_TABLE_SCHEMA,
@@ -198,9 +199,12 @@ def staging_preflight(lines: DataFrame) -> DataFrame:
             for name in ("stock_code", "description", "customer_id", "country")
         ],
     )
-    ids = lines.groupBy("source_row_id").count().agg(
-        count_where(c("source_row_id").isNotNull()).alias("distinct_source_row_ids")
-    )
+    if occupancy.all_distinct(lines):
+        ids = lines.agg(F.count(F.lit(1)).alias("distinct_source_row_ids"))
+    else:
+        ids = lines.groupBy("source_row_id").count().agg(
+            count_where(c("source_row_id").isNotNull()).alias("distinct_source_row_ids")
+        )
     names = {"customer_id": "known_customer_ids", "stock_code": "stock_codes", "country": "known_country_labels"}
     distinct = distinct_counts(lines, names)
     return side_by_side(totals, ids, distinct)
