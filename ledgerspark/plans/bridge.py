@@ -40,8 +40,33 @@ def line_order(spark: SparkSession, sf_dir: str) -> list[str]:
     return [*LINE_ORDER, *TIE_BREAK] if repeated.limit(1).count() else list(LINE_FIELDS)
 
 
+def _sheets():
+    """The sheets of a joined line: a replayed line appears in two."""
+    year = F.concat(F.lit("YEAR "), F.year("o_orderdate").cast("string"))
+    return F.when(F.col("l_orderkey") % 40 == 7, F.array(year, F.lit("REPLAY"))).otherwise(F.array(year))
+
+
+def unplaced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheet and raw fields of each line, in no order.
+
+    The fields are made before the sheets are exploded: once for a replayed line, and apart
+    from what is computed of them, into which Spark would otherwise copy them.
+    """
+    made = _joined(spark, sf_dir, LINE_FIELDS).select(_sheets().alias("_sheets"), *raw_fields()[1:])
+    fields = [c for c in made.columns if c != "_sheets"]
+    return made.select(F.explode("_sheets").alias("source_sheet"), *[F.col(f"`{c}`") for c in fields])
+
+
 def joined_lines(spark: SparkSession, sf_dir: str, order_by: list[str]) -> DataFrame:
-    """Each line with its sheets, its ``order_by`` columns and those its raw fields are made of.
+    """Each line with its sheets, its ``order_by`` columns and those its raw fields are made of."""
+    # Exploding the sheets avoids a second scan and join.
+    return _joined(spark, sf_dir, order_by).select(
+        F.explode(_sheets()).alias("source_sheet"), *order_by, "o_custkey", "o_orderdate", "n_name", "p_name"
+    )
+
+
+def _joined(spark: SparkSession, sf_dir: str, order_by: list[str]) -> DataFrame:
+    """Lines with their ``order_by`` columns and what they need of the other tables.
 
     The text fields are left for after the range shuffle (see ``raw_fields``): that
     shuffle reads its input twice, once to sample it. Orders meet customers and nations before the lines do, so the largest table
@@ -67,19 +92,7 @@ def joined_lines(spark: SparkSession, sf_dir: str, order_by: list[str]) -> DataF
     joined = line.join(order, c("l_orderkey") == c("o_orderkey")).join(
         table("part").select("p_partkey", "p_name"), c("l_partkey") == c("p_partkey")
     )
-    # A replayed line appears in two sheets; exploding avoids a second scan and join.
-    year = F.concat(F.lit("YEAR "), F.year("o_orderdate").cast("string"))
-    sheets = F.when(
-        c("l_orderkey") % 40 == 7, F.array(year, F.lit("REPLAY"))
-    ).otherwise(F.array(year))
-    return joined.select(
-        F.explode(sheets).alias("source_sheet"),
-        *order_by,
-        "o_custkey",
-        "o_orderdate",
-        "n_name",
-        "p_name",
-    )
+    return joined.select(*order_by, "o_custkey", "o_orderdate", "n_name", "p_name")
 
 
 def raw_fields() -> list:

@@ -72,6 +72,16 @@ class Layers:
         number = (F.col("position") + FIRST_ROW_NUMBER - 1).alias("source_row_number")
         return numbered.select("source_sheet", number, *[F.col(f"`{c}`") for c in RAW_COLUMNS])
 
+    def contents(self) -> DataFrame:
+        """Raw lines without row numbers, for measures that read them once.
+
+        What does not depend on a line's place needs neither the order nor the landing: lines
+        come from the source tables, or from the raw layer if it is there.
+        """
+        if self._ready(f"{self.root}/raw/segments"):
+            return self.raw_fields()
+        return bridge.unplaced_lines(self.spark, self.sf_dir)
+
     def raw_fields(self) -> DataFrame:
         """Raw lines without row numbers, for measures that need only their content."""
         self.raw()
@@ -91,6 +101,21 @@ class Layers:
             write_accepted(lines, self.accepted_path, self.root, dealt=True)
         return read_accepted(self.spark, self.accepted_path)
 
+    def assessed(self) -> DataFrame:
+        """Every raw line through the contract, without row numbers and ids, for one reading."""
+        unplaced = self.contents().withColumn("source_row_number", F.lit(None).cast("bigint"))
+        return contract.classify(unplaced, LOADED_AT).drop("source_row_number", "source_row_id")
+
+    def accepted_contents(self) -> DataFrame:
+        """Accepted lines without row numbers and ids, for measures that read them once.
+
+        Only the columns that a measure asks for are computed, nothing is stored.
+        """
+        columns = [c for c in ACCEPTED_COLUMNS if c not in ("source_row_number", "source_row_id")]
+        if self._ready(self.accepted_path):
+            return self.accepted().select(*columns)
+        return contract.keep_where(self.assessed(), F.col("reject_reason") == "").select(*columns)
+
     def rejected(self) -> DataFrame:
         path = f"{self.root}/rejected"
         if not self._ready(path):
@@ -104,6 +129,23 @@ class Layers:
         kept = self.accepted().withColumn("reject_reason", F.lit(""))
         return kept.select(*columns).unionByName(self.rejected().select(*columns))
 
+    def _sinks_stored(self) -> bool:
+        return self._ready(self.accepted_path) and self._ready(f"{self.root}/rejected")
+
+    def outcome_once(self) -> DataFrame:
+        """The outcome for one reading: through the contract, unless both sinks are there.
+
+        Storing both takes the contract twice and writes every line.
+        """
+        if self._sinks_stored():
+            return self.outcome()
+        return self.classified().select(*ACCEPTED_COLUMNS, "reject_reason")
+
+    def outcome_contents(self) -> DataFrame:
+        """The outcome for one reading, without row numbers and ids."""
+        columns = [c for c in [*ACCEPTED_COLUMNS, "reject_reason"] if c not in ("source_row_number", "source_row_id")]
+        return (self.outcome() if self._sinks_stored() else self.assessed()).select(*columns)
+
     def warehouse(self, facts: bool = True) -> Warehouse:
         """The star schema over the accepted dataset, which serves as its staging table.
 

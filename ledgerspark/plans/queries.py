@@ -104,7 +104,7 @@ def rejected_rows(x: Layers) -> DataFrame:
 
 @query
 def text_length_profile(x: Layers) -> DataFrame:
-    return sink.text_length_profile(x.accepted())
+    return sink.text_length_profile(x.accepted_contents())
 
 
 @query
@@ -179,7 +179,7 @@ def core_cancellation_lines(x: Layers) -> DataFrame:
 
 @query
 def qualifying_orders(x: Layers) -> DataFrame:
-    return kpi.qualifying_invoices(x.accepted())
+    return kpi.qualifying_invoices(x.accepted_contents())
 
 
 @query
@@ -193,12 +193,12 @@ def load_contract_violations(x: Layers) -> DataFrame:
 
 @query
 def flag_totals(x: Layers) -> DataFrame:
-    return reconcile.flag_totals(x.accepted())
+    return reconcile.flag_totals(x.accepted_contents())
 
 
 @query
 def time_bounds(x: Layers) -> DataFrame:
-    return reconcile.time_bounds(x.accepted())
+    return reconcile.time_bounds(x.accepted_contents())
 
 
 @query
@@ -248,12 +248,12 @@ def load_idempotent(x: Layers) -> DataFrame:
 
 @query
 def description_frequencies(x: Layers) -> DataFrame:
-    return warehouse.description_frequencies(x.accepted())
+    return warehouse.description_frequencies(x.accepted_contents())
 
 
 @query
 def canonical_description(x: Layers) -> DataFrame:
-    return warehouse.canonical_descriptions(x.accepted())
+    return warehouse.canonical_descriptions(x.accepted_contents())
 
 
 @query
@@ -382,7 +382,7 @@ def canonical_product_mismatch(x: Layers) -> DataFrame:
 
 @query
 def multi_description_counts(x: Layers) -> DataFrame:
-    return reconcile.multi_description_counts(x.accepted())
+    return reconcile.multi_description_counts(x.accepted_contents())
 
 
 @query
@@ -587,32 +587,32 @@ def sheet_overlap(x: Layers) -> DataFrame:
 
 @query
 def kpi_net_sales(x: Layers) -> DataFrame:
-    return kpi.net_sales(x.accepted(), MONTH)
+    return kpi.net_sales(x.accepted_contents(), MONTH)
 
 
 @query
 def kpi_orders(x: Layers) -> DataFrame:
-    return kpi.orders(x.accepted(), MONTH)
+    return kpi.orders(x.accepted_contents(), MONTH)
 
 
 @query
 def kpi_known_customers(x: Layers) -> DataFrame:
-    return kpi.known_customers(x.accepted(), MONTH)
+    return kpi.known_customers(x.accepted_contents(), MONTH)
 
 
 @query
 def kpi_units_sold(x: Layers) -> DataFrame:
-    return kpi.units_sold(x.accepted(), MONTH)
+    return kpi.units_sold(x.accepted_contents(), MONTH)
 
 
 @query
 def kpi_aov(x: Layers) -> DataFrame:
-    return kpi.average_order_value(x.accepted(), MONTH)
+    return kpi.average_order_value(x.accepted_contents(), MONTH)
 
 
 @query
 def kpi_repeat_customers(x: Layers) -> DataFrame:
-    return kpi.repeat_customers(x.accepted(), MONTH).select(
+    return kpi.repeat_customers(x.accepted_contents(), MONTH).select(
         "batch_month", "known_customers", "repeat_customers"
     )
 
@@ -627,7 +627,7 @@ def kpi_repeat_rate(x: Layers) -> DataFrame:
 
 @query
 def kpi_cancellation_rate(x: Layers) -> DataFrame:
-    return kpi.cancellation_rate(x.accepted(), MONTH)
+    return kpi.cancellation_rate(x.accepted_contents(), MONTH)
 
 
 def _by_customer_key(fact: DataFrame) -> DataFrame:
@@ -666,4 +666,4 @@ def kpi_by_month_country(x: Layers) -> DataFrame:
 
 @query
 def top_customers(x: Layers) -> DataFrame:
-    return kpi.top_customers(x.accepted())
+    return kpi.top_customers(x.accepted_contents())
