@@ -79,8 +79,13 @@ def measures_from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
         joined = totals.join(customers, same, "left")
     else:
         joined = side_by_side(totals, customers)
+    return _named(joined, by, F.col("known_customers"))
+
+
+def _named(found: DataFrame, by: list[str], known: Column) -> DataFrame:
+    """The measures by name and in order from their counts and sums."""
     zero = F.lit(0)
-    return joined.select(
+    return found.select(
         *by,
         (F.coalesce("_sale", zero) + F.coalesce("_cancel", zero)).cast(_MONEY).alias("net_sales"),
         "orders",
@@ -89,16 +94,56 @@ def measures_from_sums(sums: DataFrame, by: list[str]) -> DataFrame:
         "cancelled_units",
         ratio(F.col("_sale"), F.col("orders")).alias("average_order_value"),
         F.coalesce("repeat_customers", zero).alias("repeat_customers"),
-        ratio(F.coalesce("repeat_customers", zero), F.col("known_customers")).alias("repeat_rate"),
+        ratio(F.coalesce("repeat_customers", zero), known).alias("repeat_rate"),
         "cancelled_invoices",
         ratio(F.col("cancelled_invoices"), F.col("_activity")).alias("cancellation_rate"),
     )
 
 
-def kpis(lines: DataFrame, by: list[str] = (), fine: bool = False) -> DataFrame:
-    """Every measure within each combination of ``by`` columns (the filter context)."""
+def _tagged(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Each row of sums twice, keyed by its invoice and by its customer, so one reading serves both."""
+    names = ("sale_amount", "cancel_amount", "units", "cancelled_units", "is_order", "is_cancellation")
+    none = [F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in names]
+    known = F.col("is_order") & F.col("customer_id").isNotNull()
+    kinds = F.array(
+        F.struct(F.lit(True).alias("_of_invoice"), F.col("invoice_no").alias("_key"), *names, F.lit(False).alias("_order")),
+        F.struct(F.lit(False).alias("_of_invoice"), F.col("customer_id").alias("_key"), *none, known.alias("_order")),
+    )
+    return sums.select(*by, F.inline(kinds))
+
+
+def measures_in_one_pass(sums: DataFrame, by: list[str]) -> DataFrame:
+    """``measures_from_sums`` with the sums read once, for lines that are not stored."""
+    per_key = _tagged(sums, by).groupBy(*by, "_of_invoice", "_key").agg(
+        *[F.sum(c).alias(c) for c in ("sale_amount", "cancel_amount", "units", "cancelled_units")],
+        F.max("is_order").alias("is_order"),
+        F.max("is_cancellation").alias("is_cancellation"),
+        count_where(F.col("_order")).alias("_orders"),
+    )
+    order, cancelled, zero = F.col("is_order"), F.col("is_cancellation"), F.lit(0)
+    found = per_key.groupBy(*by).agg(
+        F.sum("sale_amount").alias("_sale"),
+        F.sum("cancel_amount").alias("_cancel"),
+        F.coalesce(F.sum("units"), zero).alias("units_sold"),
+        F.coalesce(F.sum("cancelled_units"), zero).alias("cancelled_units"),
+        count_where(order).alias("orders"),
+        count_where(cancelled).alias("cancelled_invoices"),
+        count_where(order | cancelled).alias("_activity"),
+        count_where(F.col("_orders") >= 1).alias("known_customers"),
+        count_where(F.col("_orders") >= 2).alias("repeat_customers"),
+    )
+    # without a known customer the rate is null, as it is where customers are counted apart
+    return _named(found, by, F.nullif(F.col("known_customers"), zero))
+
+
+def kpis(lines: DataFrame, by: list[str] = (), fine: bool = False, once: bool = False) -> DataFrame:
+    """Every measure within each combination of ``by`` columns (the filter context).
+
+    Lines that are not stored should be read ``once``.
+    """
     by = list(by)
-    return measures_from_sums(invoice_customer_sums(lines, by, fine), by)
+    sums = invoice_customer_sums(lines, by, fine)
+    return measures_in_one_pass(sums, by) if once else measures_from_sums(sums, by)
 
 
 def kpi_levels(lines: DataFrame, levels: list[list[str]]) -> DataFrame:
@@ -107,7 +152,7 @@ def kpi_levels(lines: DataFrame, levels: list[list[str]]) -> DataFrame:
     Distinct counts do not add up, so each level is counted again, but from the
     lines' pre-aggregated sums at the finest level.
     """
-    finest = sorted({c for level in levels for c in level}, key=lambda c: [c in x for x in levels].index(True))
+    finest = list(dict.fromkeys(c for level in levels for c in level))
     sums = invoice_customer_sums(lines, finest)
     contexts = F.array(
         *[
@@ -253,7 +298,7 @@ def top_customers(lines: DataFrame, top: int = 20) -> DataFrame:
     """Known customers by net sales, with their orders and units; UNKNOWN never ranks."""
     known = lines.filter(F.col("customer_id").isNotNull())
     return (
-        kpis(known, ["customer_id"])
+        kpis(known, ["customer_id"], once=True)
         .select("customer_id", "net_sales", "orders", "units_sold", "average_order_value")
         .orderBy(F.col("net_sales").desc(), "customer_id")
         .limit(top)

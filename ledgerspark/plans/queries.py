@@ -649,12 +649,10 @@ def kpi_by_product(x: Layers) -> DataFrame:
 
 @query
 def kpi_by_country(x: Layers) -> DataFrame:
-    _, fact, dims = x.star()
-    found = kpi.kpis(_by_customer_key(fact), ["country_key"])
-    country = F.coalesce("country", F.lit(kpi.UNKNOWN)).alias("country")
-    return found.join(dims["dim_country"].select("country_key", country), "country_key").drop(
-        "country_key"
-    )
+    """Measures per country from the accepted lines; a missing one is UNKNOWN."""
+    lines = x.accepted_contents().withColumn("country", F.coalesce("country", F.lit(kpi.UNKNOWN)))
+    found = kpi.kpis(lines, ["country"], once=True)
+    return found.select(*found.columns[1:], "country")
 
 
 @query

@@ -3,6 +3,8 @@
 from uuid import uuid4
 
 import pytest
+from pyspark.sql import functions as F
+
 from ledgerspark.operators import kpi
 from ledgerspark.plans import queries as registry
 from ledgerspark.plans.layers import Layers
@@ -38,3 +40,34 @@ def same_as_stored(x, name, plain):
 def test_known_customers_store_no_layer(layers):
     assert same_as_stored(layers, "kpi_known_customers", lambda x: kpi.known_customers(x.accepted(), ["batch_month"])) == []
 
+
+def test_kpi_by_country_reads_the_contract_once_and_stores_nothing(layers):
+    plan = registry._REGISTRY["kpi_by_country"](layers)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+
+    def plain(x):
+        lines = x.accepted().withColumn("country", F.coalesce("country", F.lit(kpi.UNKNOWN)))
+        found = kpi.kpis(lines, ["country"])
+        return found.select(*found.columns[1:], "country")
+
+    assert same_as_stored(layers, "kpi_by_country", plain) == []
+
+
+def test_measures_in_one_pass_are_those_of_two(spark):
+    schema = (
+        "c string, classification string, NONSTANDARD_INVOICE boolean, is_cancelled boolean, quantity int, "
+        "unit_price decimal(19,4), invoice_no string, customer_id string, line_amount decimal(30,4)"
+    )
+    data = [
+        ("a", "ACCEPT", False, False, 2, 1, "1", "x", 2),
+        ("a", "ACCEPT", False, False, 2, 1, "2", "x", 2),
+        ("a", "ACCEPT", False, False, 1, 1, "1", None, 1),
+        ("a", "ACCEPT", False, True, -1, 1, "C3", "y", -1),
+        (None, "ACCEPT", False, False, 0, 0, "4", None, 0),
+    ]
+    from decimal import Decimal
+
+    lines = spark.createDataFrame([(*r[:5], Decimal(r[5]), *r[6:8], Decimal(r[8])) for r in data], schema)
+    for by in (["c"], []):
+        for part in (lines, lines.filter("c = 'none'"), lines.filter("c is null")):
+            assert rows(kpi.kpis(part, by, once=True)) == rows(kpi.kpis(part, by))
