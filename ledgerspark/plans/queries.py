@@ -129,7 +129,7 @@ def table_fingerprint(x: Layers) -> DataFrame:
 
 @query
 def transform_summary(x: Layers) -> DataFrame:
-    return contract.transform_summary(x.outcome())
+    return contract.transform_summary(x.outcome_contents())
 
 
 @query
@@ -159,7 +159,7 @@ def reject_reasons(x: Layers) -> DataFrame:
 
 @query
 def classification_counts(x: Layers) -> DataFrame:
-    return reconcile.classification_counts(x.outcome())
+    return reconcile.classification_counts(x.outcome_contents())
 
 
 @query

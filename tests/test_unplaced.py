@@ -5,7 +5,7 @@ from uuid import uuid4
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import kpi
+from ledgerspark.operators import contract, kpi
 from ledgerspark.plans import queries as registry
 from ledgerspark.plans.layers import Layers
 from ledgerspark.session import shared_folder
@@ -71,3 +71,7 @@ def test_measures_in_one_pass_are_those_of_two(spark):
     for by in (["c"], []):
         for part in (lines, lines.filter("c = 'none'"), lines.filter("c is null")):
             assert rows(kpi.kpis(part, by, once=True)) == rows(kpi.kpis(part, by))
+
+
+def test_transform_summary_stores_no_layer(layers):
+    assert same_as_stored(layers, "transform_summary", lambda x: contract.transform_summary(x.outcome())) == []
