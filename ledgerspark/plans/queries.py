@@ -185,7 +185,7 @@ def qualifying_orders(x: Layers) -> DataFrame:
 @query
 def load_contract_violations(x: Layers) -> DataFrame:
     # Every classified line is offered, so the rejected ones show what they break.
-    return reconcile.load_contract_violations(x.outcome())
+    return reconcile.load_contract_violations(x.outcome_once())
 
 
 # -- staging -----------------------------------------------------------------

@@ -5,7 +5,7 @@ from uuid import uuid4
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import contract, kpi
+from ledgerspark.operators import contract, kpi, reconcile
 from ledgerspark.plans import queries as registry
 from ledgerspark.plans.layers import Layers
 from ledgerspark.session import shared_folder
@@ -75,3 +75,8 @@ def test_measures_in_one_pass_are_those_of_two(spark):
 
 def test_transform_summary_stores_no_layer(layers):
     assert same_as_stored(layers, "transform_summary", lambda x: contract.transform_summary(x.outcome())) == []
+
+
+def test_load_contract_is_checked_on_placed_lines_without_the_sinks(layers):
+    left = same_as_stored(layers, "load_contract_violations", lambda x: reconcile.load_contract_violations(x.outcome()))
+    assert left == ["raw"]
