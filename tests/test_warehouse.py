@@ -589,6 +589,22 @@ def test_a_month_that_fails_ends_the_replay_before_it(spark, folder, source, bui
     assert store.mark() == FEB and natural(store) == natural(built)
 
 
+def test_months_of_a_replay_share_what_only_reads(spark, folder, source, built, monkeypatch):
+    from ledgerspark.plans import warehouse as plan
+
+    store, calls = Warehouse(spark, folder), []
+
+    def counted(name, f):
+        return lambda *a, **k: calls.append(name) or f(*a, **k)
+
+    monkeypatch.setattr(plan, "inspect_periods", counted("inspected", plan.inspect_periods))
+    monkeypatch.setattr(reconcile, "period_reconciliation", counted("audited", reconcile.period_reconciliation))
+    monkeypatch.setattr(reconcile, "assert_period", counted("judged", reconcile.assert_period))
+    store.replay(source, DEC, DEC, FEB)
+    assert sorted(calls) == ["audited", "inspected", "judged", "judged", "judged"]
+    assert len(store.snapshots._versions()) == 3 and natural(store) == natural(built)
+
+
 def test_months_of_more_rows_than_one_tasks_are_shuffled_to_the_same_facts(spark, folder, source, built, shuffling):
     store = Warehouse(spark, folder)
     store.replay(source, DEC, DEC, FEB)
