@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.frames import side_by_side
 from ledgerspark.functions.predicates import core_cancellation, core_sale, count_where
+from ledgerspark.operators.warehouse import best_description
+from ledgerspark.schema import ACCEPTED_CLASSES, UNKNOWN_DESCRIPTION
 
 UNKNOWN = "UNKNOWN"
 _MONEY = "decimal(38,4)"
@@ -136,6 +138,56 @@ def measures_in_one_pass(sums: DataFrame, by: list[str]) -> DataFrame:
     return _named(found, by, F.nullif(F.col("known_customers"), zero))
 
 
+def product_measures(lines: DataFrame) -> DataFrame:
+    """Measures per stock code with its canonical description, the lines being read once.
+
+    A line counts for its invoice and for its description; both are rows of one aggregate.
+    """
+    accepted = F.col("classification").isin(*ACCEPTED_CLASSES)
+    marked = lines.select(
+        "stock_code", "invoice_no", "description", "invoice_datetime", "line_amount", "quantity", "is_cancelled",
+        core_sale().alias("_sale"), core_cancellation().alias("_cancel"), accepted.alias("_accepted"),
+    )
+    sale, cancel, quantity, no = F.col("_sale"), F.col("_cancel"), F.col("quantity"), F.lit(False)
+    parts = {
+        "sale_amount": F.when(sale, F.col("line_amount")),
+        "cancel_amount": F.when(cancel, F.col("line_amount")),
+        "units": F.when(sale, quantity),
+        "cancelled_units": F.when(cancel, -quantity),
+        "is_order": sale,
+        "is_cancellation": F.col("is_cancelled"),
+    }
+    # One of the two rows of a line has what the other lacks.
+    times = {"_core": sale & F.col("_accepted"), "_all": F.col("_accepted"), "_time": F.col("invoice_datetime")}
+    lacking = [F.when(no, v).alias(c) for c, v in parts.items()]
+    kinds = F.array(
+        F.struct(
+            F.lit(True).alias("_of_invoice"), F.col("invoice_no").alias("_key"),
+            *[v.alias(c) for c, v in parts.items()], *[F.when(no, v).alias(c) for c, v in times.items()],
+        ),
+        F.struct(no.alias("_of_invoice"), F.col("description").alias("_key"), *lacking, *[v.alias(c) for c, v in times.items()]),
+    )
+    per_key = marked.select("stock_code", F.inline(kinds)).groupBy("stock_code", "_of_invoice", "_key").agg(
+        *[F.sum(c).alias(c) for c in ("sale_amount", "cancel_amount", "units", "cancelled_units")],
+        F.max("is_order").alias("is_order"),
+        F.max("is_cancellation").alias("is_cancellation"),
+        *[count_where(F.col(f"_{tier}")).alias(f"{tier}_count") for tier in ("core", "all")],
+        *[F.max(F.when(F.col(f"_{tier}"), F.col("_time"))).alias(f"{tier}_latest") for tier in ("core", "all")],
+    )
+    named = per_key.withColumn("description", F.when(~F.col("_of_invoice"), F.col("_key")))
+    zero = F.lit(0)
+    found = named.groupBy("stock_code").agg(
+        (F.coalesce(F.sum("sale_amount"), zero) + F.coalesce(F.sum("cancel_amount"), zero)).cast(_MONEY).alias("net_sales"),
+        count_where(F.col("is_order")).alias("orders"),
+        F.coalesce(F.sum("units"), zero).alias("units_sold"),
+        F.coalesce(F.sum("cancelled_units"), zero).alias("cancelled_units"),
+        count_where(F.col("is_cancellation")).alias("cancelled_invoices"),
+        best_description().alias("_best"),
+    )
+    description = F.coalesce("_best.description", F.lit(UNKNOWN_DESCRIPTION)).alias("description")
+    return found.select("stock_code", description, *[c for c in found.columns if c not in ("stock_code", "_best")])
+
+
 def kpis(lines: DataFrame, by: list[str] = (), fine: bool = False, once: bool = False) -> DataFrame:
     """Every measure within each combination of ``by`` columns (the filter context).
 

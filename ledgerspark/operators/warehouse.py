@@ -137,13 +137,13 @@ def description_frequencies(lines: DataFrame) -> DataFrame:
     )
 
 
-def canonical_of_counts(counts: DataFrame) -> DataFrame:
-    """Best description per code: core tier, then frequency, then latest, then text.
+def best_description() -> Column:
+    """Aggregate over description counts: the best one by core tier, frequency, latest time, text.
 
     A minimum over an ordered struct replaces a ranking window: it combines on the
     map side, so a code with very many descriptions is never sorted in one task.
     A description seen on core lines only needs its core candidate, which always
-    ranks before its own all-lines candidate. A code without any description keeps its row.
+    ranks before its own all-lines candidate. Null where there is no description.
     """
     is_core = F.col("core_count") > 0
     count = F.when(is_core, F.col("core_count")).otherwise(F.col("all_count"))
@@ -158,7 +158,12 @@ def canonical_of_counts(counts: DataFrame) -> DataFrame:
         latest.alias("latest"),
     )
     named = F.col("description").isNotNull() & (F.col("all_count") > 0)
-    best = counts.groupBy("stock_code").agg(F.min(F.when(named, rank)).alias("best"))
+    return F.min(F.when(named, rank))
+
+
+def canonical_of_counts(counts: DataFrame) -> DataFrame:
+    """Best description per code; one without any description keeps its row."""
+    best = counts.groupBy("stock_code").agg(best_description().alias("best"))
     return best.select(
         "stock_code",
         F.coalesce("best.description", F.lit(UNKNOWN_DESCRIPTION)).alias("description"),

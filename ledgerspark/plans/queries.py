@@ -630,18 +630,10 @@ def kpi_cancellation_rate(x: Layers) -> DataFrame:
     return kpi.cancellation_rate(x.accepted_contents(), MONTH)
 
 
-def _by_customer_key(fact: DataFrame) -> DataFrame:
-    """Facts whose customers are told apart by key, UNKNOWN being no customer."""
-    key = F.col("customer_key")
-    return fact.withColumn("customer_id", F.when(key != warehouse.UNKNOWN_KEY, key))
-
-
 @query
 def kpi_by_product(x: Layers) -> DataFrame:
-    """Measures per product, joined to its name after aggregation."""
-    _, fact, dims = x.star()
-    found = kpi.kpis(_by_customer_key(fact), ["product_key"], fine=True)
-    return found.join(dims["dim_product"], "product_key").select(
+    """Measures per product from the accepted lines, with its canonical description."""
+    return kpi.product_measures(x.accepted_contents()).select(
         "stock_code", "description", "net_sales", "orders", "units_sold", "cancelled_units",
         "cancelled_invoices",
     )

@@ -53,6 +53,21 @@ def test_kpi_by_country_reads_the_contract_once_and_stores_nothing(layers):
     assert same_as_stored(layers, "kpi_by_country", plain) == []
 
 
+def test_kpi_by_product_reads_the_contract_once_and_stores_nothing(layers):
+    plan = registry._REGISTRY["kpi_by_product"](layers)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+
+    def plain(x):
+        _, fact, dims = x.star()
+        return kpi.kpis(fact.withColumn("customer_id", F.lit(None).cast("string")), ["product_key"]).join(
+            dims["dim_product"], "product_key"
+        ).select(
+            "stock_code", "description", "net_sales", "orders", "units_sold", "cancelled_units", "cancelled_invoices"
+        )
+
+    assert same_as_stored(layers, "kpi_by_product", plain) == []
+
+
 def test_measures_in_one_pass_are_those_of_two(spark):
     schema = (
         "c string, classification string, NONSTANDARD_INVOICE boolean, is_cancelled boolean, quantity int, "
