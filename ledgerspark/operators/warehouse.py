@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.dates import date_key
@@ -198,13 +198,15 @@ def _spread_nulls(natural: str) -> Column:
 
 
 def resolve_keys(lines: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Left-join all four keys; UNKNOWN for missing customers and countries.
+    """Left-join the keys of ``dims``; UNKNOWN for missing customers and countries.
 
     Dimensions are joined as stored tables, so Spark broadcasts those whose files
     are small and shuffles the rest. A missing key stays null for the caller to judge.
     """
     result = lines
     for name, (key, natural) in DIMENSIONS.items():
+        if name not in dims:
+            continue
         member = dims[name].select(F.col(key), F.col(natural).alias("_member"))
         if name == "dim_date":
             result = result.join(
@@ -240,11 +242,13 @@ def fact_rows(
     start: int,
     digits: int = ID_PREFIX_DIGITS,
     rows: int | None = None,
+    large: tuple[str, ...] = (),
 ) -> DataFrame:
     """Fact rows of accepted lines, numbered after ``start`` by (month, row id).
 
     ``digits`` of the ids split a month; ``prefix_digits`` gives them for its size. Few
-    lines, ``rows`` at most, are numbered in one task.
+    lines, ``rows`` at most, are numbered in one task. Lines are not shuffled to meet
+    ``large`` dimensions, only their natural keys are.
 
     A key that does not resolve stops the job inside the same pass, so no line is
     ever dropped by a join and no second pass is needed to check.
@@ -262,8 +266,11 @@ def fact_rows(
             F.substring(row_id, 1, digits).alias("_bucket"),
             F.when(~row_id.eqNullSafe(own), row_id).alias("source_row_id"),
         )
-        keyed = resolve_keys(narrow, dims).repartition(*groups, "_bucket")
-        keyed = keyed.withColumn("source_row_id", F.coalesce(row_id, own))
+        if large:
+            keyed = _keyed_apart(narrow, dims, large, [*groups, "_bucket"])
+        else:
+            keyed = resolve_keys(narrow, dims).repartition(*groups, "_bucket")
+            keyed = keyed.withColumn("source_row_id", F.coalesce(row_id, own))
         resolved = numbered_by_hash_id(
             keyed, "source_row_id", groups, "sales_key", start, digits, lines
         )
@@ -277,6 +284,31 @@ def fact_rows(
     return resolved.withColumns(checked).select(*FACT_COLUMNS, "year", "month")
 
 
+def _keyed_apart(
+    lines: DataFrame, dims: dict[str, DataFrame], large: tuple[str, ...], place: list[str]
+) -> DataFrame:
+    """Lines with all keys and their ids, dealt by ``place``, shuffled themselves only once.
+
+    A dimension too large to be sent to every task is met by a line's place and natural
+    keys alone; what they resolve to is dealt like the lines and taken over by row id.
+    """
+    keys = [DIMENSIONS[name][0] for name in large]
+    naturals = ["invoice_datetime" if name == "dim_date" else DIMENSIONS[name][1] for name in large]
+    others = [F.lit(None).cast("int").alias(key) for key in keys]
+    wide = resolve_keys(lines, {n: d for n, d in dims.items() if n not in large})
+    wide = wide.select(*[c for c in wide.columns if c in FACT_COLUMNS or c not in naturals], *others, F.lit(True).alias("_line"))
+    line = ["source_sheet", "source_row_number", "source_row_id", *place]
+    found = resolve_keys(lines.select(*line, *naturals), {n: dims[n] for n in large})
+    found = found.select(*line, *keys, F.lit(False).alias("_line"))
+    both = wide.unionByName(found, allowMissingColumns=True).repartition(*place)
+    own = source_row_id(F.col("source_sheet"), F.col("source_row_number"))
+    both = both.withColumn("source_row_id", F.coalesce("source_row_id", own))
+    same = Window.partitionBy(*place, "source_row_id")
+    repeated = F.when(F.count_if("_line").over(same) != 1, F.raise_error(F.lit("A row id of accepted lines repeats.")))
+    taken = {key: F.coalesce(repeated.cast("int"), F.max(key).over(same)) for key in keys}
+    return both.withColumns(taken).filter("_line").drop("_line")
+
+
 def with_natural_keys(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Fact rows with their dimension members in place of surrogate keys."""
     result = fact

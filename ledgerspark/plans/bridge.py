@@ -89,8 +89,9 @@ def _joined(spark: SparkSession, sf_dir: str, order_by: list[str]) -> DataFrame:
         "_row_index": c("_metadata.row_index").alias("_row_index"),
     }
     line = table("lineitem").select(*[made.get(name, c(name)) for name in order_by])
-    joined = line.join(order, c("l_orderkey") == c("o_orderkey")).join(
-        table("part").select("p_partkey", "p_name"), c("l_partkey") == c("p_partkey")
+    # A part adds a short name to a line, an order several columns: the parts are met first.
+    joined = line.join(table("part").select("p_partkey", "p_name"), c("l_partkey") == c("p_partkey")).join(
+        order, c("l_orderkey") == c("o_orderkey")
     )
     return joined.select(*order_by, "o_custkey", "o_orderdate", "n_name", "p_name")
 

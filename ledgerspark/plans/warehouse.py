@@ -57,10 +57,11 @@ from ledgerspark.sources.accepted import (
     periods,
     with_partitions,
 )
-from ledgerspark.sources.raw import source_row_id
+from ledgerspark.sources.raw import foreign_ids_only, source_row_id, with_row_ids, without_row_ids
 
 
 LINES_PER_FILE = 1 << 18  # facts of a month that one task numbers and writes
+LARGE_DIMENSION = 1 << 19  # members of a dimension that lines are not shuffled to meet
 REPLAY_BATCH = 12  # months of a replay whose checks share their readings, at most
 REPLAY_ROWS = 1 << 21  # lines of such months, at most, unless one has more
 
@@ -87,7 +88,10 @@ class Warehouse:
         return found
 
     def _read(self, paths: list[str], schema: StructType) -> DataFrame | None:
-        """Folders ``run=...`` of one table are read as its partitions, others each by itself."""
+        """Folders ``run=...`` of one table are read as its partitions, others each by itself.
+
+        Lines and facts are stored without those ids that their sheets and row numbers give.
+        """
         tables: dict[str, list[str]] = {}
         for path in paths:
             base, _, last = path.rpartition("/")
@@ -100,7 +104,8 @@ class Warehouse:
             runs = StructType([*schema.fields, StructField("run", StringType())])
             table = self.spark.read.schema(runs).option("basePath", base).parquet(*folders)
             frames.append(table.select(*schema.names))
-        return reduce(DataFrame.unionByName, frames) if frames else None
+        found = reduce(DataFrame.unionByName, frames) if frames else None
+        return found if found is None or "source_row_id" not in schema.names else with_row_ids(found)
 
     def staging(self, at: Snapshot | None = None) -> DataFrame | None:
         return self._read([p.path for p in (at or self.snapshot()).staging], ACCEPTED_TABLE_SCHEMA)
@@ -239,6 +244,7 @@ class Warehouse:
             draft = self._indexed(draft)
             path = self._folder("staging")
             new = self.unstaged(draft, lines, bounds, odd, rows)
+            new = foreign_ids_only(new) if odd else without_row_ids(new)
             if few(processed) and len(months) == 1:
                 part = self._written(with_partitions(new), path, ACCEPTED_TABLE_SCHEMA, processed, months)
             else:
@@ -496,7 +502,9 @@ class Warehouse:
             fresh.write.parquet(fresh_path)
             new = self.spark.read.schema(scope.schema).parquet(fresh_path)
         digits = prefix_digits(max(months.values()), LINES_PER_FILE, 0)
-        facts = fact_rows(new, self.dims(draft), draft.fact_rows, digits, rows)
+        large = tuple(name for name, (_, members) in draft.dims.items() if members > LARGE_DIMENSION)
+        facts = fact_rows(new, self.dims(draft), draft.fact_rows, digits, rows, large)
+        facts = foreign_ids_only(facts)
         path = self._folder("fact_sales")
         # Numbering has dealt the lines by month and id, so a month's files are its id ranges.
         part = self._written(facts, path, FACT_TABLE_SCHEMA, rows, list(months))

@@ -26,6 +26,27 @@ def source_row_id(sheet: Column, row_number: Column) -> Column:
     return F.sha2(F.concat(sheet, F.lit("|"), row_number.cast("string")), 256)
 
 
+def with_row_ids(lines: DataFrame) -> DataFrame:
+    """Stored lines with all their ids: one that was left out is the digest of sheet and row number."""
+    own = source_row_id(F.col("source_sheet"), F.col("source_row_number"))
+    return lines.withColumn("source_row_id", F.coalesce("source_row_id", own))
+
+
+def foreign_ids_only(lines: DataFrame) -> DataFrame:
+    """Lines to be stored, with only such ids as ``with_row_ids`` cannot derive.
+
+    An id is more than half of what a line takes on disk.
+    """
+    own = source_row_id(F.col("source_sheet"), F.col("source_row_number"))
+    kept = F.when(~F.col("source_row_id").eqNullSafe(own), F.col("source_row_id"))
+    return lines.withColumn("source_row_id", kept)
+
+
+def without_row_ids(lines: DataFrame) -> DataFrame:
+    """The same for lines whose ids are known to be digests."""
+    return lines.withColumn("source_row_id", F.lit(None).cast("string"))
+
+
 def with_row_lineage(df: DataFrame, sheet: str, fmt: str = "parquet") -> DataFrame:
     """Prefix a file-backed frame with sheet, physical row number and row id.
 

@@ -480,6 +480,36 @@ def test_facts_keep_ids_that_are_no_digests(built):
     assert [r.sales_key for r in got] == list(range(1, len(months) + 1))
 
 
+@pytest.mark.parametrize("large", [("dim_customer",), ("dim_customer", "dim_product"), tuple(warehouse.DIMENSIONS)])
+def test_lines_are_shuffled_once_however_large_the_dimensions(spark, built, large):
+    lines, dims = built.staging(), built.dims()
+    odd = F.when(F.col("source_row_number") % 2 == 0, F.sha2(F.reverse("source_row_id"), 256))
+    lines = lines.withColumn("source_row_id", F.coalesce(odd, F.col("source_row_id")))
+    facts = warehouse.fact_rows(lines, dims, 0, 1, large=large)
+    assert sorted(map(str, facts.collect())) == sorted(map(str, warehouse.fact_rows(lines, dims, 0, 1).collect()))
+    plan = facts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len([line for line in plan if "RepartitionByExpression" in line]) == 1
+    with pytest.raises(Exception, match="customer_key"):
+        none = {**dims, "dim_customer": dims["dim_customer"].filter("customer_key = 0")}
+        warehouse.fact_rows(lines, none, 0, 1, large=large).collect()
+    with pytest.raises(Exception, match="repeats"):
+        warehouse.fact_rows(lines.unionByName(lines), dims, 0, 1, large=large).collect()
+
+
+def test_lines_and_facts_are_stored_without_derived_ids(spark, folder, source):
+    store = Warehouse(spark, folder)
+    odd = F.when(F.col("source_row_number") == 2, F.sha2(F.reverse("source_row_id"), 256))
+    lines = source.withColumn("source_row_id", F.coalesce(odd, F.col("source_row_id")))
+    store.load_staging(lines.drop("year", "month"))
+    store.bootstrap()
+    ids = sorted(r.source_row_id for r in lines.collect())
+    foreign = lines.filter("source_row_number = 2").count()
+    for table, found in (("staging", store.staging()), ("fact_sales", store.fact())):
+        kept = spark.read.parquet(f"{folder}/{table}").filter("source_row_id is not null")
+        assert kept.count() == foreign > 0
+        assert sorted(r.source_row_id for r in found.collect()) == ids
+
+
 def test_a_month_of_unknown_customers_keeps_its_row(source):
     unknown = source.withColumn("customer_id", F.when(F.col("batch_month") != F.lit(JAN), F.col("customer_id")))
     rows = {r.batch_month: r for r in kpi.repeat_customers(unknown, ["batch_month"]).collect()}
