@@ -510,6 +510,26 @@ def test_lines_and_facts_are_stored_without_derived_ids(spark, folder, source):
         assert sorted(r.source_row_id for r in found.collect()) == ids
 
 
+def test_rows_of_a_value_that_agrees_are_not_shuffled_with_the_others(built):
+    lines = built.staging()
+    rejected = lines.withColumn("classification", F.lit("REJECT"))
+    columns = ["classification", "source_row_id", "line_amount"]
+    left, right = reconcile.differing_rows(lines.unionByName(rejected), lines, columns, by="classification")
+    assert {r.classification for r in left.collect()} == {"REJECT"} and right.count() == 0
+    found = reconcile.row_diff_counts(lines.unionByName(rejected), lines, columns, "classification")
+    assert {r.side: r.row_count for r in found.collect()} == {"left_only": lines.count(), "right_only": 0}
+
+
+def test_agreeing_layers_are_compared_by_sums(built, monkeypatch):
+    staging, fact, dims = built.staging(), built.fact(), built.dims()
+    one = reconcile.compared_lines(staging, fact, dims).collect()
+    damaged = fact.withColumn("quantity", F.col("quantity") + 1)
+    other = reconcile.compared_lines(staging, damaged, dims).collect()
+    assert reconcile.compared_in_all(staging, damaged, dims).collect() == other != one
+    monkeypatch.setattr(reconcile, "compared_lines", None)
+    assert reconcile.compared_in_all(staging, fact, dims).collect() == one
+
+
 def test_a_month_of_unknown_customers_keeps_its_row(source):
     unknown = source.withColumn("customer_id", F.when(F.col("batch_month") != F.lit(JAN), F.col("customer_id")))
     rows = {r.batch_month: r for r in kpi.repeat_customers(unknown, ["batch_month"]).collect()}
